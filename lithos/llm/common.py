@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.session import ship
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    if not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-lithos-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -58,8 +60,10 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most `rows` rows in this session, so that a batch of very long texts fits a worker's memory."""
+def for_python(spark: SparkSession, rows: int = 512) -> None:
+    """Before Python runs on executors: this package is there, and Arrow batches of this session have at most `rows`
+    rows, so that a batch of very long texts fits a worker's memory."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
+from lithos.llm.language_id import language_id
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op10_language_id(spark, sf_dir):
+    return language_id(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op10_language_id": op10_language_id,
+}
 
 ORACLES = {
     "op3_exact_dedup": """
