@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.common import Scratch, word_count
@@ -95,14 +95,11 @@ def route(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, i
 def cuts(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     """For each pattern the place in the seeded order where its quota is reached: the place of the last document taken
     (`cut`), or null if none is. Each round resolves STEP more digits, over the documents of the boundary bin only."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "cuts")
+    scratch = Scratch(rows.sparkSession, "cuts")
     known = quotas.select("pattern", F.col("rest").alias("left"), F.lit("").alias("prefix"))
     for depth in range(0, DIGITS, STEP):
         inside = rows.join(F.broadcast(known), "pattern").where(F.col("place").startswith(F.col("prefix")))
         bins = inside.groupBy("pattern", F.substring("place", 1, depth + STEP).alias("bin")).agg(F.sum("size").alias("words"))
-        from pyspark.sql import Window
-
         order = Window.partitionBy("pattern").orderBy("bin")
         running = bins.withColumn("upto", F.sum("words").over(order)).join(F.broadcast(known), "pattern")
         before = F.col("upto") - F.col("words")

@@ -5,18 +5,24 @@ from __future__ import annotations
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.language_id import language_id
+from lithos.llm.mixing import mix_query
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_mix_to_weights(spark, sf_dir):
+    return mix_query(documents(spark, sf_dir))
+
+
 def op10_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
 
