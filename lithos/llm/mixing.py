@@ -98,15 +98,15 @@ def cuts(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     scratch = Scratch(rows.sparkSession, "cuts")
     known = quotas.select("pattern", F.col("rest").alias("left"), F.lit("").alias("prefix"))
     for depth in range(0, DIGITS, STEP):
-        inside = rows.join(F.broadcast(known), "pattern").where(F.col("place").startswith(F.col("prefix")))
+        found = F.broadcast(known.select("pattern", "left", "prefix"))
+        inside = rows.join(found, "pattern").where(F.col("place").startswith(F.col("prefix")))
         bins = inside.groupBy("pattern", F.substring("place", 1, depth + STEP).alias("bin")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("pattern").orderBy("bin")
-        running = bins.withColumn("upto", F.sum("words").over(order)).join(F.broadcast(known), "pattern")
+        running = bins.withColumn("upto", F.sum("words").over(order)).join(found, "pattern")
         before = F.col("upto") - F.col("words")
         # the boundary bin: the first whose end lies above what is left
         at = running.where(F.col("upto") > F.col("left")).groupBy("pattern").agg(F.min(F.struct("bin", (F.col("left") - before).alias("left"), "words")).alias("at"))
         known = scratch.save(at.select("pattern", F.col("at.left").alias("left"), F.col("at.bin").alias("prefix"), F.col("at.words").alias("words")))
-        known = known.select("pattern", "left", "prefix", "words")
     return known
 
 
