@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from lithos.llm.bpe import bpe_digests
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 
+#: The tokenizer file of the encoding queries.
+WORD_BPE = "word_bpe_49k.json"
+
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_bpe_round_trip(spark, sf_dir):
+    return bpe_digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 def op9_mix_to_weights(spark, sf_dir):
     return mix_query(documents(spark, sf_dir))
 
@@ -22,6 +32,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
