@@ -14,6 +14,7 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ from lithos.llm.common import Scratch, for_python
 PIECE = 32_768
 #: Characters of a leaf inside an unsplit run, and tokens on either side of the first window.
 LEAF, WINDOW = 512, 8
-#: Distinct runs whose ids a worker keeps, and the longest of them.
-CACHE, CACHED_CHARS = 400_000, 64
+#: Distinct runs in each of the two generations that a worker keeps, the longest of them, and how many are encoded at once.
+CACHE, CACHED_CHARS, AT_ONCE = 200_000, 64, 2000
+#: A text that spells out special tokens is not folded; theirs begin with this.
+SPECIAL = "<|"
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -40,62 +43,88 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, tuple] = {"": ()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def spans(self, text: str, at: int = 0) -> list[tuple[int, int, int]]:
-        """(id, start, end) of each token of `text`, which begins at character `at` of a longer one."""
+    def spans(self, text: str, at: int = 0) -> np.ndarray:
+        """Rows (id, start, end), one a token of `text`, which begins at character `at` of a longer one."""
         e = self.tokenizer.encode(text, add_special_tokens=False)
-        return [(i, a + at, b + at) for i, (a, b) in zip(e.ids, e.offsets)]
+        return rows_of(e) + np.array([0, at, at], dtype=np.int32)
 
-    def tree(self, text: str, at: int, size: int) -> list[tuple[int, int, int]]:
+    def tree(self, text: str, at: int, size: int) -> np.ndarray:
         """Tokens of text[at:at + size]: both halves', joined."""
         if size <= LEAF:
             return self.spans(text[at : at + size], at)
         half = size // 2
         return self.join(text, self.tree(text, at, half), self.tree(text, at + half, size - half), at, at + half, at + size)
 
-    def join(self, text: str, left: list, right: list, begin: int, cut: int, end: int) -> list[tuple[int, int, int]]:
+    def join(self, text: str, left: np.ndarray, right: np.ndarray, begin: int, cut: int, end: int) -> np.ndarray:
         """Tokens of text[begin:end] from those of text[begin:cut] and text[cut:end]."""
         width = WINDOW
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            while i and left[i][1] < left[i - 1][2]:  # several tokens from one character: not apart
+            while i and left[i, 1] < left[i - 1, 2]:  # several tokens from one character: not apart
                 i -= 1
-            while j < len(right) and j and right[j][1] < right[j - 1][2]:
+            while 0 < j < len(right) and right[j, 1] < right[j - 1, 2]:
                 j += 1
-            a = left[i][1] if i else begin
-            b = right[j - 1][2] if j < len(right) else end
+            a = int(left[i, 1]) if i else begin
+            b = int(right[j - 1, 2]) if j < len(right) else end
             new = self.spans(text[a:b], a)
-            place = {t: k for k, t in enumerate(new)}
-            # a token of each side that the window has too; the side's own ends are sound where the text ends
-            first = (0, 0) if not i else next(((p, place[t]) for p, t in enumerate(left[i:], i) if t in place), None)
-            last = (len(right), len(new)) if j == len(right) else next(((p, place[t]) for p, t in zip(range(j - 1, -1, -1), reversed(right[:j])) if t in place), None)
+            place = {tuple(t): k for k, t in enumerate(new.tolist())}
+            # a token of each side that the window has too; a side that the window holds whole needs none
+            before, behind = [tuple(t) for t in left[i:].tolist()], [tuple(t) for t in right[:j].tolist()]
+            first = (0, 0) if not i else next(((p, place[t]) for p, t in enumerate(before, i) if t in place), None)
+            last = (j, len(new)) if j == len(right) else next(((p, place[behind[p]]) for p in range(j - 1, -1, -1) if behind[p] in place), None)
             if first and last and first[1] <= last[1]:
-                return left[: first[0]] + new[first[1] : last[1]] + right[last[0] :]
+                return np.concatenate([left[: first[0]], new[first[1] : last[1]], right[last[0] :]])
             if not i and j == len(right):
                 return new
             width *= 2
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, whole."""
-        parts = [re.split("[ \n]+", t) for t in texts]
-        fresh = [w for w in set(chain.from_iterable(parts)) if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {"": ()}
-            fresh = list(set(chain.from_iterable(parts)))
-        short = [w for w in fresh if len(w) <= LEAF]
-        for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)):
-            self.known[w] = tuple(e.ids)
-        for w in fresh:
-            if len(w) > LEAF:
-                self.known[w] = tuple(t[0] for t in self.tree(w, 0, len(w)))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
-        for w in fresh:
-            if len(w) > CACHED_CHARS:
-                del self.known[w]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, whole: of the runs between spaces and line ends."""
+        parts = [re.split("[ \n]", folded(t)) for t in texts]
+        fresh = []
+        for w in set(chain.from_iterable(parts)) - self.young.keys():
+            if (known := self.old.get(w)) is not None:
+                self.young[w] = known
+            elif len(w) <= LEAF:
+                fresh.append(w)
+            else:
+                self.young[w] = packed(self.tree(w, 0, len(w))[:, 0])
+        for lo in range(0, len(fresh), AT_ONCE):
+            some = fresh[lo : lo + AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.young[w] = packed(e.ids)
+        out = [np.frombuffer(b"".join(map(self.young.__getitem__, p)), dtype=np.int32) for p in parts]
+        if len(self.young) > CACHE:
+            self.old = {w: x for w, x in self.young.items() if len(w) <= CACHED_CHARS}
+            self.young = {}
         return out
 
 
+#: In lower case, a comma or stop behind a letter and before a space or line end is a token of its own.
+MARK = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[ \n])")
+
+
+def folded(text: str) -> str:
+    """A text with the same ids and fewer distinct runs. Lower-casing is the tokenizer's own first step; Python's agrees
+    with it for the characters of Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeError:
+        return text
+    return text if SPECIAL in text else MARK.sub(r" \g<0>", text.lower())
+
+
+def packed(ids) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
+def rows_of(e) -> np.ndarray:
+    return np.array([(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)], dtype=np.int32).reshape(-1, 3)
+
+
 def codec_of(spec: str) -> Codec:
     """The codec of this tokenizer file, built once in a process."""
     import os
@@ -126,97 +155,136 @@ def in_arrow(rows: DataFrame, drop: list[str], fields: list, run) -> DataFrame:
     return rows.mapInArrow(each, schema)
 
 
-SPANS = pa.list_(pa.int32())
+INTS = T.ArrayType(T.IntegerType())
+#: A piece of a long text: what stands before its first space or line end, with its token rows; the ids between that and
+#: the last one (null if there is none: then all is in front); what stands behind, with its rows.
+PART = [T.StructField("front", T.StringType()), T.StructField("front_rows", INTS), T.StructField("ids", INTS), T.StructField("behind", T.StringType()), T.StructField("behind_rows", INTS)]
+
+
+class Part:
+    """A piece of a long text, or several joined."""
+
+    def __init__(self, front, front_rows, ids=None, behind="", behind_rows=None):
+        self.front, self.behind, self.ids = front, behind, None if ids is None else np.asarray(ids, dtype=np.int32)
+        self.front_rows, self.behind_rows = (np.asarray([] if x is None else x, dtype=np.int32).reshape(-1, 3) for x in (front_rows, behind_rows))
+
+    @classmethod
+    def of(cls, codec: Codec, text: str) -> "Part":
+        gaps = [m.start() for m in re.finditer("[ \n]", text)]
+        if not gaps:
+            return cls(text, codec.tree(text, 0, len(text)))
+        front, behind = text[: gaps[0]], text[gaps[-1] + 1 :]
+        return cls(front, codec.tree(front, 0, len(front)), codec.ids([text[gaps[0] : gaps[-1] + 1]])[0], behind, codec.tree(behind, 0, len(behind)))
 
+    def then(self, codec: Codec, other: "Part") -> "Part":
+        a, rows = (self.front, self.front_rows) if self.ids is None else (self.behind, self.behind_rows)
+        cut, run = len(a), a + other.front
+        rows = codec.join(run, rows, other.front_rows + np.array([0, cut, cut], dtype=np.int32), 0, cut, len(run))
+        if self.ids is None:
+            return Part(run, rows, other.ids, other.behind, other.behind_rows)
+        if other.ids is None:
+            return Part(self.front, self.front_rows, self.ids, run, rows)
+        return Part(self.front, self.front_rows, np.concatenate([self.ids, rows[:, 0], other.ids]), other.behind, other.behind_rows)
 
-def tree_encode(texts: DataFrame, shared, piece: int) -> DataFrame:
-    """key, __ids of each distinct (key, __text): pieces encoded by different tasks, joined up the tree."""
+    def all_ids(self) -> np.ndarray:
+        return np.concatenate([self.front_rows[:, 0], np.zeros(0, np.int32) if self.ids is None else self.ids, self.behind_rows[:, 0]])
+
+    @staticmethod
+    def arrays(parts: list["Part"]) -> list:
+        ints = lambda xs: pa.array([None if x is None else x.ravel() for x in xs], pa.list_(pa.int32()))
+        return [pa.array([p.front for p in parts], pa.string()), ints([p.front_rows for p in parts]), ints([p.ids for p in parts]), pa.array([p.behind for p in parts], pa.string()), ints([p.behind_rows for p in parts])]
+
+    @staticmethod
+    def read(batch, mark: str = "") -> list:
+        columns = [[x.values.to_numpy() if x.is_valid else None for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in (batch.column(f.name + mark) for f in PART)]
+        return [None if x[0] is None else Part(*x) for x in zip(*columns)]
+
+
+def ids_array(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def decoded_array(codec: Codec, ids) -> pa.Array:
+    return pa.array([codec.tokenizer.decode(x.tolist(), skip_special_tokens=False) for x in ids], pa.string())
+
+
+def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> DataFrame:
+    """key and `fields`, whose arrays values(codec, ids) gives, of each distinct (key, __text): its pieces are encoded by
+    different tasks and joined up the tree."""
     scratch = Scratch(texts.sparkSession, "bpe")
     n = F.ceil(F.length("__text") / F.lit(piece)).cast("int")
-    cut = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("__text", i * piece + 1, F.lit(piece)))).alias("k", "__text"))
+    cut = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("__text", i * piece + 1, F.lit(piece)))).alias("k", "part"))
     pieces = cut.dropDuplicates(["key", "k"])
 
     def encode(batch):
         codec = codec_of(shared.value)
-        return columns([codec.tree(t, 0, len(t)) for t in batch.column("__text").to_pylist()])
-
-    def columns(tokens):
-        return [pa.array([[t[x] for t in ts] for ts in tokens], SPANS) for x in range(3)]
+        return Part.arrays([Part.of(codec, t) for t in batch.column("part").to_pylist()])
 
     def pair(batch):
         codec = codec_of(shared.value)
-        of = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "key"}
-        texts, out = [], []
-        for x in range(batch.num_rows):
-            left = list(zip(of["ids"][x], of["starts"][x], of["ends"][x]))
-            a, b = of["__text"][x], of["__text2"][x]
-            if b is not None:
-                right = [(i, s + len(a), e + len(a)) for i, s, e in zip(of["ids2"][x], of["starts2"][x], of["ends2"][x])]
-                left = codec.join(a + b, left, right, 0, len(a), len(a) + len(b))
-                a += b
-            texts.append(a)
-            out.append(left)
-        return [pa.array(texts, pa.string()), *columns(out)]
-
-    spans = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
-    level = scratch.save(in_arrow(pieces, [], spans, encode))
+        return Part.arrays([a if b is None else a.then(codec, b) for a, b in zip(Part.read(batch), Part.read(batch, "2"))])
+
+    def finish(batch):
+        return values(codec_of(shared.value), [p.all_ids() for p in Part.read(batch)])
+
+    names = [f.name for f in PART]
+    level = scratch.save(in_arrow(pieces, ["part"], PART, encode))
     while (level.agg(F.max("k")).first()[0] or 0) > 0:
-        odd = level.where("k % 2 = 1").select("key", F.shiftright("k", 1).alias("k"), *(F.col(c).alias(f"{c}2") for c in ("__text", "ids", "starts", "ends")))
+        odd = level.where("k % 2 = 1").select("key", F.shiftright("k", 1).alias("k"), *(F.col(c).alias(f"{c}2") for c in names))
         even = level.where("k % 2 = 0").withColumn("k", F.shiftright("k", 1))
-        both = ["__text", "ids", "starts", "ends"]
         rows = even.join(odd, ["key", "k"], "left")
-        above = scratch.save(in_arrow(rows, [*both, *(f"{c}2" for c in both)], [T.StructField("__text", T.StringType()), *spans], pair))
+        above = scratch.save(in_arrow(rows, [*names, *(f"{c}2" for c in names)], PART, pair))
         scratch.drop(level)
         level = above
-    return level.select("key", F.col("ids").alias("__ids"))
+    return in_arrow(level.drop("k"), names, fields, finish)
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", piece: int = PIECE) -> DataFrame:
-    """`docs` with the column `ids_col` (array<int>), in place of one of that name: the ids that the tokenizer file at
-    `path` gives to the whole text, without special tokens added.
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE) -> DataFrame:
+    """`docs` with the column `ids_col` (array<int>): the ids that the tokenizer file at `path` gives to the whole text,
+    without special tokens added; and, if named, `decoded_col`, what they decode to. They replace columns of their names.
 
     A null text counts as empty; an empty one has no ids. Special tokens that a text spells out are encoded as such, as
     the library does. Rows may repeat; an empty table gives an empty result; all other columns are kept, whatever their
-    names (but __text, __ids and key are the operator's own).
+    names (but __text, __ids, __decoded and __key are the operator's own).
     """
     spark = docs.sparkSession
     for_python(spark)
     shared = spark.sparkContext.broadcast(read_spec(path))
-    carried = [c for c in docs.columns if c != ids_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*carried, text.alias("__text"))
-    ids = T.StructField("__ids", T.ArrayType(T.IntegerType()))
+    carried = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    rows = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    fields = [T.StructField("__ids", INTS), *([T.StructField("__decoded", T.StringType())] if decoded_col else [])]
+
+    def values(codec, ids):
+        return [ids_array(ids), *([decoded_array(codec, ids)] if decoded_col else [])]
 
     def whole(batch):
         codec = codec_of(shared.value)
-        return [pa.array(codec.ids(batch.column("__text").to_pylist()), SPANS)]
+        return values(codec, codec.ids(batch.column("__text").to_pylist()))
 
-    short = in_arrow(rows.where(F.length("__text") <= piece), ["__text"], [ids], whole)
-    long = rows.where(F.length("__text") > piece).withColumn("key", F.sha2("__text", 256))
-    roots = tree_encode(long.select("key", "__text"), shared, piece)
-    joined = long.drop("__text").join(roots, "key").select(*carried, "__ids")
-    return short.unionByName(joined).withColumnRenamed("__ids", ids_col)
+    short = in_arrow(rows.where(F.length("__text") <= piece), ["__text"], fields, whole)
+    long = rows.where(F.length("__text") > piece).withColumn("__key", F.sha2("__text", 256))
+    roots = tree_encode(long.select(F.col("__key").alias("key"), "__text"), shared, piece, fields, values)
+    joined = long.drop("__text").join(roots.withColumnRenamed("key", "__key"), "__key").drop("__key")
+    return short.unionByName(joined).withColumnsRenamed({"__ids": ids_col, "__decoded": decoded_col or "__decoded"})
 
 
-def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """`rows` with the column `text_col`: what the tokenizer's decode() gives for `ids_col`, special tokens kept. Null
+def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """`rows` with the column `decoded_col`: what the tokenizer's decode() gives for `ids_col`, special tokens kept. Null
     ids give an empty text; an id that the file doesn't have adds nothing, as in the library."""
     spark = rows.sparkSession
     for_python(spark)
     shared = spark.sparkContext.broadcast(read_spec(path))
 
     def run(batch):
-        ids = [x or [] for x in batch.column(ids_col).to_pylist()]
-        return [pa.array(codec_of(shared.value).tokenizer.decode_batch(ids, skip_special_tokens=False), pa.string())]
+        return [decoded_array(codec_of(shared.value), (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(ids_col)))]
 
-    return in_arrow(rows.drop(text_col), [], [T.StructField(text_col, T.StringType())], run)
+    return in_arrow(rows.drop(decoded_col), [], [T.StructField(decoded_col, T.StringType())], run)
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of `docs` (doc_id, text)."""
-    encoded = bpe_encode(docs.select("doc_id", "text"), path).drop("text")
-    decoded = bpe_decode(encoded, path)
-    return decoded.select(
+    rows = bpe_encode(docs.select("doc_id", "text"), path, decoded_col="decoded").drop("text")
+    return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
