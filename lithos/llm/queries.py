@@ -9,6 +9,7 @@ from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
+from lithos.llm.near_dedup import near_dedup
 
 #: The tokenizer file of the encoding queries.
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +23,10 @@ def op4_bpe_round_trip(spark, sf_dir):
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup(documents(spark, sf_dir), size=2)
+
+
 def op9_mix_to_weights(spark, sf_dir):
     return mix_query(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_near_dedup": op6_near_dedup,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
