@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from lithos.llm.bpe import bpe_digests
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
+from lithos.llm.exact_search import exact_top_k
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
@@ -23,6 +25,11 @@ def op4_bpe_round_trip(spark, sf_dir):
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op5_exact_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir), size=2)
 
@@ -38,12 +45,22 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_near_dedup": op6_near_dedup,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS n FROM p)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
