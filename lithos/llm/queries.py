@@ -9,6 +9,7 @@ from lithos.llm.bpe import bpe_digests
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.exact_search import exact_top_k
+from lithos.llm.html_text import html_text
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
@@ -34,6 +35,11 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir), size=2)
 
 
+def op7_html_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_mix_to_weights(spark, sf_dir):
     return mix_query(documents(spark, sf_dir))
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_near_dedup": op6_near_dedup,
+    "op7_html_text": op7_html_text,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
