@@ -13,9 +13,17 @@ from lithos.llm.html_text import html_text
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
+from lithos.llm.token_counts import token_counts, vocabulary
 
 #: The tokenizer file of the encoding queries.
 WORD_BPE = "word_bpe_49k.json"
+#: The file whose pieces and scores are the unigram vocabulary of the counting query.
+PIECES = "piece_bpe_32k.model"
+
+
+def op2_token_counts(spark, sf_dir):
+    pieces = vocabulary(public_tokenizers.path(PIECES))
+    return token_counts(documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -49,6 +57,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_top_k": op5_exact_top_k,
