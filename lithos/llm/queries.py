@@ -13,7 +13,9 @@ from lithos.llm.html_text import html_text
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
+from lithos.llm.quotation import link_quotations
 from lithos.llm.token_counts import token_counts, vocabulary
+from lithos.llm.warc import audit_pages
 
 #: The tokenizer file of the encoding queries.
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +23,10 @@ WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_quotation_linking(spark, sf_dir):
+    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_token_counts(spark, sf_dir):
     pieces = vocabulary(public_tokenizers.path(PIECES))
     return token_counts(documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
@@ -48,6 +54,10 @@ def op7_html_text(spark, sf_dir):
     return html_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_merkle_audit(spark, sf_dir):
+    return audit_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_mix_to_weights(spark, sf_dir):
     return mix_query(documents(spark, sf_dir))
 
@@ -57,17 +67,48 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_near_dedup": op6_near_dedup,
     "op7_html_text": op7_html_text,
+    "op8_merkle_audit": op8_merkle_audit,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
+    "op1_quotation_linking": r"""
+        WITH RECURSIVE m AS (SELECT *, coalesce(text, '') AS raw, row_number() OVER () AS rid FROM conversations),
+        x AS (SELECT rid, regexp_split_to_array(raw, '\r\n|\n|\r') AS lines FROM m),
+        y AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM x),
+        l AS (
+            SELECT rid, pos, length(regexp_replace(regexp_extract(line, '^[\t ]*((?:>[\t ]*)*)', 1), '[^>]', '', 'g')) AS level,
+                   regexp_replace(line, '^[\t ]*((?:>[\t ]*)*)', '') AS content FROM y),
+        n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS below FROM l),
+        own AS (
+            SELECT rid, trim(coalesce(string_agg(content, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (below > 0 AND regexp_matches(
+                   lower(content), '^(?:on|le|am|el) .* (?:wrote|écrit|schrieb|escribió)[\t ]*:$'))), ''), E' \t\r\n') AS own FROM n GROUP BY rid),
+        deep AS (SELECT rid, level, string_agg(content, ' ' ORDER BY pos) AS body FROM l WHERE level > 0 GROUP BY rid, level),
+        cut AS (
+            SELECT rid, level, trim(unnest(regexp_extract_all(lower(regexp_replace(body, '[\t\n\v\f\r ]+', ' ', 'g')), '[^.!?]+[.!?]*')), ' ') AS passage
+            FROM (SELECT rid, 0 AS level, own AS body FROM own UNION ALL SELECT rid, level, body FROM deep)),
+        p AS (SELECT DISTINCT rid, level, passage, conv_id, turn FROM cut JOIN m USING (rid) WHERE passage <> ''),
+        first AS (SELECT conv_id, passage, min(turn) AS first FROM p WHERE level = 0 AND turn IS NOT NULL GROUP BY ALL),
+        found AS (SELECT rid, p.conv_id, turn, level, first FROM p JOIN first f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.passage = f.passage AND first < turn AND level > 0),
+        counts AS (SELECT rid, count(*) AS n_linked FROM found GROUP BY rid),
+        up AS (SELECT conv_id, turn, arg_max(first, -level * 1000000000 + first) AS parent FROM found GROUP BY conv_id, turn),
+        walk AS (
+            SELECT conv_id, turn, parent AS root, 1 AS depth FROM up UNION ALL
+            SELECT w.conv_id, w.turn, u.parent, depth + 1 FROM walk w JOIN up u ON u.conv_id IS NOT DISTINCT FROM w.conv_id AND u.turn = w.root),
+        roots AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM walk GROUP BY conv_id, turn)
+        SELECT m.conv_id, m.turn, m.role, own.own AS text, (SELECT count(*) FROM p WHERE p.rid = m.rid AND level > 0) AS n_quoted,
+               coalesce(n_linked, 0) AS n_linked, parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0) AS depth
+        FROM m JOIN own USING (rid) LEFT JOIN counts USING (rid)
+        LEFT JOIN up ON up.conv_id IS NOT DISTINCT FROM m.conv_id AND up.turn = m.turn
+        LEFT JOIN roots ON roots.conv_id IS NOT DISTINCT FROM m.conv_id AND roots.turn = m.turn""",
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -81,4 +122,19 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_merkle_audit": """
+        WITH t AS (
+            SELECT page_id, page_id // 1000 AS archive, url, html,
+                   CASE WHEN page_id % 50 = 7 THEN replace(html, '<p>', '<P>') ELSE html END AS other FROM pages),
+        h AS (
+            SELECT *, E'WARC/1.0\\r\\nWARC-Type: resource\\r\\nWARC-Target-URI: ' || coalesce(url, '') || E'\\r\\nWARC-Date: 2024-01-01T00:00:00Z\\r\\nWARC-Record-ID: <urn:page:'
+                   || page_id || E'>\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ' AS head FROM t),
+        r AS (
+            SELECT page_id, archive, head || strlen(html) || E'\\r\\n\\r\\n' || html AS a, head || strlen(other) || E'\\r\\n\\r\\n' || other AS b FROM h),
+        o AS (
+            SELECT page_id, archive, sha256(a) AS a, CASE WHEN page_id % 50 = 13 THEN NULL ELSE sha256(b) END AS b,
+                   coalesce(sum(strlen(a) + 4) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r)
+        SELECT archive, CAST(place AS BIGINT) AS "offset", sha256(a || ':1') AS left_digest, sha256(b || ':1') AS right_digest,
+               CASE WHEN b IS NULL THEN 'missing' ELSE 'changed' END AS status
+        FROM o WHERE b IS DISTINCT FROM a""",
 }
