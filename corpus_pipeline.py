@@ -2,12 +2,67 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from lithos.llm.bpe import bpe_encode
 from lithos.llm.common import Scratch, documents
+from lithos.llm.exact_dedup import exact_dedup
+from lithos.llm.language_id import UNDETERMINED, identify, language_samples
+from lithos.llm.mixing import mix
+from lithos.llm.near_dedup import near_dedup
+from lithos.llm.queries import WORD_BPE
 
-STAGES: list = []
+#: No SQL says what the language, mixing and encoding stages do; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def ids_with(docs, facts, *columns):
+    """`docs` joined to one row of `facts` an id; null ids meet null ids."""
+    one = facts.groupBy(F.col("doc_id").alias("__id")).agg(*(F.first(c).alias(c) for c in columns))
+    return docs.join(one, docs["doc_id"].eqNullSafe(one["__id"])).drop("__id")
+
+
+def keep_language(spark, docs, sf_dir):
+    """Documents whose language can be told stay: those with letters. Labels are read to learn from only."""
+    samples = language_samples(docs)
+    return identify(docs, samples).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def drop_copies(spark, docs, sf_dir):
+    """Of identical texts the document with the largest id stays."""
+    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of linked documents (shingles of five words, similarity of 0.8 or more) the one with the smallest id stays."""
+    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents of the mix, as often as it takes them: each at most twice. A document that it doesn't take goes."""
+    facts = ids_with(docs, mix(docs), "size", "taken")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    repeated = facts.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return repeated.select(*docs.columns)
+
+
+def encode(spark, docs, sf_dir):
+    """Ids of every document's whole text, with the text's columns dropped but for its id, language and source."""
+    return bpe_encode(docs, public_tokenizers.path(WORD_BPE)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list = [
+    ("language_id", keep_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mix_to_weights", mix_sources),
+    ("bpe_encode", encode),
+]
+
+
 def run(spark, sf_dir):
     """All stages in turn over the documents of `sf_dir`."""
     scratch = Scratch(spark, "pipeline")
