@@ -78,7 +78,7 @@ def edges(ring: Column) -> Column:
 def point_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     """Even-odd test by ray casting; an edge holds its lower end and not its upper one."""
     def crossed(e):
-        (ay, ax), (by, bx) = ((e[p]["lat"], e[p]["lon"]) for p in ("a", "b"))
+        (ay, ax), (by, bx) = ((e.getField(p).getField("lat"), e.getField(p).getField("lon")) for p in ("a", "b"))
         spans = ((ay <= lat) & (lat < by)) | ((by <= lat) & (lat < ay))
         return spans & (lon < (bx - ax) * (lat - ay) / F.when(by == ay, F.lit(1.0)).otherwise(by - ay) + ax)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.functions.maths import spherical_variogram
-from lithos.operators.joins import inverse_distance, nearest, pair_semivariance, two_nearest_blend
+from lithos.operators.joins import inverse_distance, nearest, pair_semivariance, part, two_nearest_blend
 from lithos.operators.order import folds
 
 
@@ -38,7 +38,7 @@ def krige(points: DataFrame, sites: DataFrame, value: str, k: int, rng: float, s
     Each point's system is of k + 1 equations and solved in one batch with others of its size."""
     near = nearest(points, sites, k, point_id, site_id).join(sites.select(site_id, "lat", "lon", value), site_id)
     packed = near.groupBy(point_id).agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "lat", "lon", F.col(value).cast("double").alias("v")))).alias("near"))
-    rows = packed.select(point_id, *(F.transform("near", lambda x, c=c: x[c].cast("double")).alias(c) for c in ("dist", "lat", "lon", "v")))
+    rows = packed.select(point_id, *(part("near", c).cast("array<double>").alias(c) for c in ("dist", "lat", "lon", "v")))
 
     def gamma(d):
         q = np.minimum(d / rng, 1.0) if rng else np.ones_like(d)

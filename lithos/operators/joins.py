@@ -172,10 +172,15 @@ def inverted(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("r2").agg(F.sort_array(F.collect_list(F.struct("r1", "w"))).alias("members"))
 
 
+def part(array: str, name: str) -> Column:
+    """The field `name` of each struct of an array."""
+    return F.transform(array, lambda v: v.getField(name))
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0, point_id: str = "id") -> DataFrame:
     """`points` (lat, lon) with the polygon (name, ring) that holds each; the one with the smallest area of several, then
     the first name. Boxes are dealt into cells of `cell` degrees, so that a point meets the polygons of its cell only."""
-    lat, lon = (F.transform("ring", lambda v, c=c: v[c]) for c in ("lat", "lon"))
+    lat, lon = (part("ring", c) for c in ("lat", "lon"))
     boxed = polygons.select("name", "ring", geo.ring_area(F.col("ring")).alias("area"), *(f(x).alias(n) for n, f, x in (("s", F.array_min, lat), ("n", F.array_max, lat), ("w", F.array_min, lon), ("e", F.array_max, lon))))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     celled = boxed.withColumn("__y", F.explode(span("s", "n"))).withColumn("__x", F.explode(span("w", "e")))
