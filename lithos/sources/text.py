@@ -207,7 +207,7 @@ def kml_polygons(spark: SparkSession, path: str, name: str = "name") -> DataFram
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Placemark.*?</Placemark>"), F.lit(0))).alias("mark"))
     field = F.coalesce(F.nullif(F.regexp_extract("mark", rf'(?s)<SimpleData name="{name}">\s*(.*?)\s*</SimpleData>', 1), F.lit("")), F.regexp_extract("mark", rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1))
     blocks = whole.select(F.translate(F.lower(field), " ", "_").alias("name"), F.posexplode(F.regexp_extract_all("mark", F.lit(r"(?s)<coordinates>\s*(.*?)\s*</coordinates>"), F.lit(1))).alias("part", "text"))
-    vertex = lambda t: F.struct(F.get(F.split(t, ","), F.lit(1)).cast("double").alias("lat"), F.get(F.split(t, ","), F.lit(0)).cast("double").alias("lon"))
+    vertex = lambda t: F.struct(F.get(F.split(t, ","), F.lit(1)).try_cast("double").alias("lat"), F.get(F.split(t, ","), F.lit(0)).try_cast("double").alias("lon"))
     rings = blocks.select("name", "part", F.transform(tokens("text"), vertex).alias("ring"))
     return rings.withColumn("closed", F.get("ring", F.lit(0)) == F.element_at("ring", -1))
 
@@ -216,10 +216,10 @@ def mif_polygons(spark: SparkSession, mif: str, mid: str) -> DataFrame:
     """name, part, ring of MIF regions, named by the second column of the MID line of the same number."""
     text = spark.read.text(mif, wholetext=True).select(F.regexp_replace("value", r"\r", "").alias("v"))
     regions = text.select(F.posexplode(F.slice(F.split("v", r"(?im)^\s*Region\s+\d+\s*$"), 2, 1_000_000)).alias("at", "body"))
-    coords = r"(?m)^\s*(-?\d+(?:\.\d+)?)\s+(-?\d+(?:\.\d+)?)\s*$"
-    parts = regions.select("at", F.posexplode(F.filter(F.split("body", r"(?m)^\s*\d+\s*$"), lambda b: b.rlike(coords))).alias("part", "text"))
-    pair = lambda t: F.split(F.trim(t), r"\s+")
-    ring = F.transform(F.regexp_extract_all("text", F.lit(coords), F.lit(0)), lambda t: F.struct(F.get(pair(t), F.lit(1)).cast("double").alias("lat"), F.get(pair(t), F.lit(0)).cast("double").alias("lon")))
+    coords = r"(?m)^[ \t]*(-?\d+(?:\.\d+)?)[ \t]+(-?\d+(?:\.\d+)?)[ \t]*$"
+    parts = regions.select("at", F.posexplode(F.filter(F.split("body", r"(?m)^[ \t]*\d+[ \t]*$"), lambda b: b.rlike(coords))).alias("part", "text"))
+    number_of = lambda t, i: F.regexp_extract(t, coords, i).cast("double")
+    ring = F.transform(F.regexp_extract_all("text", F.lit(coords), F.lit(0)), lambda t: F.struct(number_of(t, 2).alias("lat"), number_of(t, 1).alias("lon")))
     names = spark.read.text(mid, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("at", "line"))
     named = names.select("at", F.trim(F.translate(F.get(F.split("line", ","), F.lit(1)), '"', "")).alias("name"))
     return parts.join(named, "at").select("name", "part", ring.alias("ring"))
