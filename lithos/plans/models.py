@@ -141,3 +141,30 @@ def stream_best_model(spark, sf_dir):
     q = running_best(tail(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("""SELECT user_id AS sid, count(*) AS packets, count(DISTINCT event_type) AS observers FROM events GROUP BY 1""")
+def packets(spark, sf_dir):
+    from lithos.operators.features import packets as of
+
+    return of(table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_type").alias("rid")))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS r, o_orderstatus AS c, sum(CAST(o_totalprice * 100 AS BIGINT))::DOUBLE / 1e9 AS v FROM orders GROUP BY ALL)
+    SELECT a.r, b.r AS c, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.c = b.c GROUP BY ALL""")
+def matrix_product(spark, sf_dir):
+    from lithos.operators.features import matrix_product as of
+
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("r"), F.col("o_orderstatus").alias("c")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 1e9).alias("v"))
+    return rounded(of(m, m.select(F.col("c").alias("r"), F.col("r").alias("c"), "v")))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS zone, CAST(floor((c_acctbal + 1000) / 2000) AS INTEGER) AS b, count(*) AS n FROM customer GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY zone ORDER BY b) AS upto, sum(n) OVER (PARTITION BY zone) AS t, row_number() OVER (PARTITION BY zone ORDER BY b) - 1 AS i FROM c),
+    h AS (SELECT zone, min((i, n, upto, t)) AS h FROM r WHERE upto >= 0.5::DOUBLE * t GROUP BY 1), p AS (SELECT zone, h[1] + (0.5::DOUBLE * h[4] - (h[3] - h[2])) / h[2] AS p FROM h)
+    SELECT zone, round(-1000 + floor(p) * 2000 + 2000 * (p - floor(p)), 4) AS median FROM p""")
+def bracket_medians(spark, sf_dir):
+    from lithos.operators.features import bracket_median
+
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.floor((F.col("c_acctbal") + 1000) / 2000).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(bracket_median(counts, "zone", "b", "n", [-1000 + 2000 * i for i in range(8)]), 4)
