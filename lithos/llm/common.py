@@ -1,63 +1,55 @@
-"""What the operators of this subpackage share: scratch tables in the shared folder and hashing."""
+"""What the operators of this subpackage share: scratch tables in the shared folder, and what Python workers hold."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import functools
+import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.scratch import Scratch, shared_dir  # noqa: F401  (for the operators)
 from lithos.session import ship
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new temporary one.
-
-    Raises ValueError on a cluster that names none, because a machine-local folder would lose data there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.partition("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="spark-lithos-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage and to keep a costly result from being computed twice.
-
-    A table outlives the executor that wrote it. The result of an operator may read the last tables, so only those
-    that nothing reads any more are dropped; the rest goes with the folder.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/lithos-{label}-{uuid.uuid4().hex}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write `df` as Parquet and return a DataFrame that reads it back."""
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of save() that nothing reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+_held: dict = {}
+
+
+def held(key, build):
+    """The object of this key, built once in a Python worker. A worker holds one at a time: workers are used by one operator
+    after another, and what each keeps would add up."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def trimmed(run):
+    """A function over Arrow batches that takes memory from the system's pool and gives it back when its partition ends, so
+    that idle workers hold little."""
+
+    @functools.wraps(run)
+    def each(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        release()
+
+    return each
+
+
+def release() -> None:
+    """Give freed memory of this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def for_python(spark: SparkSession, rows: int = 512) -> None:

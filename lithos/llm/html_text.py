@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python
+from lithos.llm.common import for_python, held, trimmed
 
 # Elements of HTML by what they mean here.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "noframes", "noembed", "textarea", "select", "title")
@@ -245,9 +245,10 @@ def html_text(pages: DataFrame, html_col: str = "html", text_col: str = "text")
     source = "__page"
 
     def run(batches):
+        held("html", object)
         for batch in batches:
             texts = pa.array([main_text(x or "") for x in batch.column(source).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), texts], names=[*carried, text_col])
 
     schema = T.StructType([*(pages.schema[c] for c in carried), T.StructField(text_col, T.StringType())])
-    return pages.select(*carried, F.col(html_col).alias(source)).mapInArrow(run, schema)
+    return pages.select(*carried, F.col(html_col).alias(source)).mapInArrow(trimmed(run), schema)

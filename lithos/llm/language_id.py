@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python
+from lithos.llm.common import for_python, held, trimmed
 
 UNDETERMINED = "und"
 #: The classifier is fitted on at most this many documents a language, a window of so many characters from each.
@@ -27,8 +27,6 @@ MOST_LANGUAGES = 1000
 SEGMENT, LANES = 256, 16_384
 FAIL = 1 << 30
 
-_models: dict[str, "Model"] = {}
-
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the minimal automaton that accepts every substring of `symbols`; state 0 is the start."""
@@ -85,14 +83,16 @@ class Model:
         return self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
 
     def table(self, following: list[dict[int, int]]) -> np.ndarray:
-        """Offset of the next state's row; with FAIL set where the match ends and a phrase begins at this character."""
-        w = self.width
-        out = np.full((len(following), w), FAIL, dtype=np.int32)
+        """Offset of the next state's row; with FAIL set where a phrase begins at this character. The last row stands for
+        the begin of a text and for what follows a character that occurs nowhere and is a phrase of its own."""
+        w, n = self.width, len(following)
+        out = np.full((n + 1, w), FAIL | n * w, dtype=np.int32)
         for c, to in following[0].items():
             out[:, c] = FAIL | to * w
-        at = np.repeat(np.arange(len(following)), [len(x) for x in following])
+        at = np.repeat(np.arange(n), [len(x) for x in following])
         out[at, [c for x in following for c in x]] = [to * w for x in following for to in x.values()]
-        out[:, 0] = FAIL
+        out[0] = out[n]
+        out[:, 0] = FAIL | n * w
         return out.ravel()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -112,7 +112,7 @@ class Model:
             active = np.searchsorted(-lengths[lanes], -np.arange(SEGMENT), side="left")
             grid = flat[begins[lanes][None, :] + np.arange(SEGMENT)[:, None]]
             for k, table in enumerate(self.tables):
-                state = np.zeros(len(lanes), dtype=np.int32)
+                state = np.full(len(lanes), len(table) - self.width, dtype=np.int32)
                 count = np.zeros(len(lanes), dtype=np.int32)
                 for row, n in zip(grid, active):
                     if not n:
@@ -120,7 +120,7 @@ class Model:
                     step = table.take(state[:n] + row[:n])
                     count[:n] += step >> 30
                     state[:n] = step & (FAIL - 1)
-                out[:, k] += np.bincount(of[lanes], weights=count + 1, minlength=len(texts)).astype(np.int64)
+                out[:, k] += np.bincount(of[lanes], weights=count, minlength=len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -140,10 +140,7 @@ class Model:
 def model_of(samples: dict[str, list[str]]) -> Model:
     """The model of these samples, built once in a process."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "replace")).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return held(("language", key), lambda: Model(samples))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,7 +203,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
             yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "lang_pred", "score"])
 
     text = F.col(text_col)
-    return rows.select("*", text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(run, schema)
+    return rows.select("*", text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(trimmed(run), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

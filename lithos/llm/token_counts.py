@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python
+from lithos.llm.common import for_python, held, trimmed
 
 SPACE = "▁"
 #: Penalty of an unknown character below the least score of the vocabulary.
 UNKNOWN = 10.0
 #: Words in each of the two generations that a worker keeps, and the longest of them.
-CACHE, CACHED_CHARS = 200_000, 64
-
-_counters: dict[int, "Counter"] = {}
+CACHE, CACHED_CHARS = 100_000, 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -94,11 +92,7 @@ def words(text: str) -> list[str]:
 
 def counter_of(pieces: list[tuple[str, float]]) -> Counter:
     """The counter of this vocabulary, built once in a process."""
-    key = hash(tuple(pieces))
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(pieces)
-    return _counters[key]
+    return held(("tokens", hash(tuple(pieces))), lambda: Counter(pieces))
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], text_col: str = "text") -> DataFrame:
@@ -124,4 +118,4 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], text_col: str
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*(docs.schema[c] for c in carried), *own])
-    return docs.select(*carried, F.col(text_col).alias(source)).mapInArrow(run, schema)
+    return docs.select(*carried, F.col(text_col).alias(source)).mapInArrow(trimmed(run), schema)
