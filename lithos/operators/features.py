@@ -182,3 +182,50 @@ def evolved(rows: DataFrame, names: list[str], target: str, population: int = 16
         children = [E.perturbed(E.crossover(rng.choice(best), rng.choice(best), rng), rng) for _ in range(population - len(best))]
         ranked = scored([*best, *children])
     return ranked[0][2], ranked[0][0]
+
+
+#: Steps (lati, loni) of the eight directions.
+STEPS = {"N": (1, 0), "NE": (1, 1), "E": (0, 1), "SE": (-1, 1), "S": (-1, 0), "SW": (-1, -1), "W": (0, -1), "NW": (1, -1)}
+
+
+def stepped(cells: DataFrame, direction: Column) -> DataFrame:
+    """Cells moved one step in the direction that a column names; unknown ones stay."""
+    move = lambda k: F.coalesce(F.create_map(*(x for d, s in STEPS.items() for x in (F.lit(d), F.lit(s[k]))))[direction], F.lit(0))
+    return cells.withColumns({"lati": F.col("lati") + move(0), "loni": F.col("loni") + move(1)})
+
+
+def city(districts: DataFrame, box: tuple[float, float, float, float], centre: tuple[float, float]) -> DataFrame:
+    """Districts (lat, lon) inside a box (south, north, west, east) with their distance to its centre in km."""
+    inside = districts.where(geo.in_box(F.col("lat"), F.col("lon"), *box))
+    return inside.withColumn("to_centre", geo.haversine(F.col("lat"), F.col("lon"), F.lit(centre[0]), F.lit(centre[1])) / 1000)
+
+
+def solved(systems: DataFrame, ident: str, a: str = "a", b: str = "b") -> DataFrame:
+    """ident and x of the linear systems a x = b (array<array<double>>, array<double>), a few unknowns each, by elimination
+    with pivoting; null where a is singular."""
+    import numpy as np
+
+    def solve(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for i, m, v in zip(pdf[ident], pdf[a], pdf[b]):
+                try:
+                    out.append((i, np.linalg.solve(np.stack([np.asarray(r, dtype=float) for r in m]), np.asarray(v, dtype=float)).tolist()))
+                except np.linalg.LinAlgError:
+                    out.append((i, None))
+            yield pd.DataFrame(out, columns=[ident, "x"])
+
+    rows = systems.select(ident, a, b)
+    return rows.mapInPandas(solve, f"{ident} {dict(rows.dtypes)[ident]}, x array<double>")
+
+
+def log_error(df: DataFrame, actual: str, predicted: str, by=None) -> DataFrame:
+    """Root of the mean squared difference of logarithms."""
+    return df.groupBy(*keys_of(by)).agg(F.sqrt(F.avg(F.pow(F.ln(predicted) - F.ln(actual), F.lit(2.0)))).alias("rms_log"))
+
+
+def household_statistics(households: DataFrame, zone: str, value: str, people: str) -> DataFrame:
+    """Total, mean per household and per person of a value, by zone."""
+    return households.groupBy(zone).agg(F.sum(value).alias("total"), F.avg(value).alias("per_household"), F.try_divide(F.sum(value), F.sum(people)).alias("per_person"))

@@ -174,3 +174,18 @@ def refined(tree: DataFrame, edges: DataFrame, longest: float, least_leg: float)
     best = two.groupBy("src", "dst").agg(F.min(F.struct((F.col("aw") + F.col("bw")).alias("w"), F.col("ad").alias("mid"), "aw", "bw")).alias("m"))
     new = best.select("src", F.col("m.mid").alias("dst"), F.col("m.aw").alias("w")).union(best.select("m.mid", "dst", "m.bw"))
     return tree.join(best.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w").union(new).distinct()
+
+
+def layered(walk: DataFrame, routes: DataFrame, wait: float) -> DataFrame:
+    """Edges between (layer, node) names of a public-transport graph: walking before a ride, rides by route, walking after.
+    Boarding a route (route, src, dst, w) costs the wait; who has left the last ride walks on to the destination."""
+    name = lambda layer, c: F.concat_ws(":", layer if isinstance(layer, Column) else F.lit(layer), c)
+    on_foot = [walk.select(name(x, "src").alias("src"), name(x, "dst").alias("dst"), "w") for x in ("before", "after")]
+    rides = routes.select(name(F.col("route"), "src").alias("src"), name(F.col("route"), "dst").alias("dst"), "w")
+    stops = routes.select("route", F.col("src").alias("n")).union(routes.select("route", "dst")).distinct()
+    changes = [stops.select(name(x, "n").alias("src"), name(F.col("route"), "n").alias("dst"), F.lit(float(wait)).alias("w")) for x in ("before", "after")]
+    leave = stops.select(name(F.col("route"), "n").alias("src"), name("after", "n").alias("dst"), F.lit(0.0).alias("w"))
+    out = rides
+    for part in (*on_foot, *changes, leave):
+        out = out.union(part)
+    return out.distinct()

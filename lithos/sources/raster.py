@@ -117,3 +117,15 @@ def classified_pixels(pixels: DataFrame, rules: list[tuple]) -> DataFrame:
     for category, r0, r1, g0, g1, b0, b1 in reversed(rules):
         value = F.when(F.col("r").between(r0, r1) & F.col("g").between(g0, g1) & F.col("b").between(b0, b1), category).otherwise(value)
     return pixels.select("lati", "loni", value.alias("value"))
+
+
+def any_rule(pixels: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Pixels (lati, loni, r, g, b) with value 1 where any rule (r0, r1, g0, g1, b0, b1) holds them, else 0."""
+    found = classified_pixels(pixels, [(1, *r) for r in rules])
+    return found.withColumn("value", F.greatest("value", F.lit(0)))
+
+
+def pixel_places(pixels: DataFrame, south: float, west: float, north: float, east: float, width: int, height: int) -> DataFrame:
+    """Pixels (x from the west, y from the north) of an image tile with the lat and lon of their centres."""
+    lat = north - (F.col("y") + 0.5) * ((north - south) / height)
+    return pixels.withColumns({"lat": lat, "lon": west + (F.col("x") + 0.5) * ((east - west) / width)})

@@ -81,3 +81,47 @@ def mapping_lines(mapping: DataFrame) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("value").write.text(path)
+
+
+def probability_lines(pmf: DataFrame, grid: Grid) -> DataFrame:
+    """line, value of a probability grid's text, the northernmost row first. A row of the grid is one group."""
+    every = grid.cells(pmf.sparkSession).join(pmf.select("lati", "loni", "p"), ["lati", "loni"], "left")
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loni", "p"))), lambda x: F.coalesce(x["p"], F.lit(0.0)).cast("string")), " ")
+    return every.groupBy("lati").agg(row.alias("value")).select((grid.latsteps - 1 - F.col("lati")).alias("line"), "value")
+
+
+def likely_track(pmf: DataFrame, grid: Grid) -> DataFrame:
+    """A KML line through the best cell of each second, a source each."""
+    from lithos.operators.grid import best_cell
+
+    best = best_cell(pmf.withColumnRenamed("p", "value"), ["sid", "t"])
+    return tracks(best.select("sid", "t", grid.lat(F.col("lati")).alias("lat"), grid.lon(F.col("loni")).alias("lon")), "sid", "t")
+
+
+def quintile_report(df: DataFrame, rows: dict[str, str], weight: str) -> DataFrame:
+    """row, mean and q1 to q5 for named columns: weighted means over all and by fifths of the weight."""
+    from lithos.operators.stats import weighted_quintiles
+
+    out = None
+    for name, value in rows.items():
+        q = weighted_quintiles(df, value, weight).groupBy().pivot("bucket", list(range(5))).agg(F.first("mean"))
+        mean = df.agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
+        one = mean.crossJoin(q).select(F.lit(name).alias("row"), "mean", *(F.col(str(i)).alias(f"q{i + 1}") for i in range(5)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+class Outputs:
+    """Named results; a name that is there already is an error unless it may be replaced."""
+
+    def __init__(self):
+        self.tables: dict[str, DataFrame] = {}
+
+    def put(self, name: str, df: DataFrame, replace: bool = False) -> None:
+        if name in self.tables and not replace:
+            raise ValueError(f"output {name} is there already")
+        self.tables[name] = df
+
+    def write(self, folder: str) -> None:
+        for name, df in self.tables.items():
+            df.write.parquet(f"{folder}/{name}")

@@ -270,3 +270,26 @@ def line_of(rows: DataFrame, text: str, fold: bool = False) -> int:
     value = F.lower("value") if fold else F.col("value")
     found = rows.where(F.contains(value, F.lit(text.lower() if fold else text))).agg(F.min("line")).first()[0]
     return -1 if found is None else found
+
+
+def models_by_width(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """params, misfit of lines that hold `dims` numbers and a misfit, with or without words between them; others are dropped."""
+    numbers = F.transform(F.regexp_extract_all("value", F.lit(r"(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])"), F.lit(0)), lambda x: x.cast("double"))
+    rows = lines(spark, path).select(numbers.alias("p")).where(F.size("p") == dims + 1)
+    return rows.select(F.slice("p", 1, dims).alias("params"), F.element_at("p", -1).alias("misfit"))
+
+
+def first_lines(rows: DataFrame, key: Column) -> DataFrame:
+    """path, key and the number of its first line in each file of numbered()."""
+    return rows.select("path", "line", key.alias("key")).where("key IS NOT NULL AND key <> ''").groupBy("path", "key").agg(F.min("line").alias("line"))
+
+
+def in_order(keys: DataFrame, table: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The value of each key of a list, in the list's order; KeyError if one has none."""
+    return require_all(keys, table.select(key), key).join(table.select(key, value), key).orderBy(order)
+
+
+def complete_records(rows: DataFrame, line: int, marker: str) -> DataFrame:
+    """Lines of the files of numbered() that don't carry a marker of an incomplete record on a given line."""
+    bad = rows.where((F.col("line") == line) & F.contains("value", F.lit(marker))).select("path")
+    return rows.join(bad, "path", "left_anti")
