@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recipes = scratch.save(
         cut.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform("chunks", lambda c: identifier(c, bits, seed)).alias("recipe"))
     )
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join reads plain tables and Spark can split the rows of a hot recipe
+    groups = scratch.save(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return recipes.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
