@@ -299,8 +299,8 @@ def nearest_match(cells: DataFrame, places: DataFrame, wanted: str, most: int =
 def best_cell(cells: DataFrame, by=None) -> DataFrame:
     """The cell with the largest value, the southernmost and westernmost of several."""
     keys = [by] if isinstance(by, str) else list(by or [])
-    top = cells.groupBy(*keys).agg(F.max(F.struct("value", -F.col("lati"), -F.col("loni"), "lati", "loni")).alias("t"))
-    return top.select(*keys, "t.lati", "t.loni", "t.value")
+    top = cells.groupBy(*keys).agg(F.max(F.struct("value", -F.col("lati"), -F.col("loni"), "lati", "loni")).alias("__top"))
+    return top.select(*keys, "__top.lati", "__top.loni", "__top.value")
 
 
 def rasterised(points: DataFrame, grid: Grid, value: str | None = None) -> DataFrame:
