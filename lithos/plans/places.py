@@ -122,11 +122,11 @@ def bbox_filter(spark, sf_dir):
     return rounded(points.where(geo.in_box(points.lat, points.lon, -34.105, -33.495, 150.595, 151.205)).select("id", "lat", "lon"))
 
 
-@query("SELECT c_nationkey, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice BETWEEN 135000 AND 2000000 GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS n, round(avg(o_totalprice), 9) AS mean FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice BETWEEN 135000 AND 2000000 GROUP BY 1")
 def band_filter_mean(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where(F.col("o_totalprice").between(135000, 2000000)).select("o_custkey", "o_totalprice")
     joined = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return rounded(joined.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")), 4)
+    return rounded(joined.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")), 9)
 
 
 MAPPED = f"WITH {FLOWS}, w AS (SELECT r1, r2, n / sum(n) OVER (PARTITION BY r1) AS w FROM flows), v AS (SELECT c_nationkey AS r1, sum(c_acctbal) AS v FROM customer GROUP BY 1)"
@@ -188,10 +188,10 @@ def sectors(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT o_orderstatus, o_orderpriority AS dim, avg(o_totalprice) AS v FROM orders GROUP BY ALL)
-    SELECT o_orderstatus, round(sum(v * CASE dim WHEN '1-URGENT' THEN 0.5::DOUBLE WHEN '2-HIGH' THEN 0.3::DOUBLE ELSE 0 END), 4) AS score FROM t GROUP BY 1""")
+    SELECT o_orderstatus, round(sum(v * CASE dim WHEN '1-URGENT' THEN 0.5::DOUBLE WHEN '2-HIGH' THEN 0.3::DOUBLE ELSE 0 END), 8) AS score FROM t GROUP BY 1""")
 def scored_options(spark, sf_dir):
     t = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("v"))
-    return rounded(J.scored_options(t, "o_orderstatus", "o_orderpriority", "v", {"1-URGENT": 0.5, "2-HIGH": 0.3}).select("o_orderstatus", "score"), 4)
+    return rounded(J.scored_options(t, "o_orderstatus", "o_orderpriority", "v", {"1-URGENT": 0.5, "2-HIGH": 0.3}).select("o_orderstatus", "score"), 8)
 
 
 @query()
