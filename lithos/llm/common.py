@@ -31,14 +31,22 @@ def held(key, build):
     return _held[key]
 
 
+#: Allocations from so many bytes on are pages of their own, which go back to the system when they are freed; and so many
+#: arenas are used (mallopt's M_MMAP_THRESHOLD, M_TRIM_THRESHOLD and M_ARENA_MAX of the GNU C library).
+ALLOCATOR = ((-3, 1 << 20), (-1, 1 << 20), (-8, 2))
+
+
 def trimmed(run):
-    """A function over Arrow batches that takes memory from the system's pool and gives it back when its partition ends, so
-    that idle workers hold little."""
+    """A function over Arrow batches whose worker keeps nothing when its partition ends: an executor may have several idle
+    workers."""
 
     @functools.wraps(run)
     def each(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(AttributeError, OSError):
+            for option in ALLOCATOR:
+                ctypes.CDLL(None).mallopt(*option)
         yield from run(batches)
+        _held.clear()
         release()
 
     return each

@@ -24,7 +24,7 @@ UNDETERMINED = "und"
 SAMPLE_DOCS, SAMPLE_WINDOW, SAMPLE_CHARS = 200, 1024, 32_768
 MOST_LANGUAGES = 1000
 #: Characters parsed at a stretch; of that many segments at once.
-SEGMENT, LANES = 256, 16_384
+SEGMENT, LANES = 256, 8_192
 FAIL = 1 << 30
 
 
