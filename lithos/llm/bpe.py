@@ -11,6 +11,8 @@ its ids kept in a bounded cache.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from itertools import chain
 
@@ -20,27 +22,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import Scratch, for_python
+from lithos.llm.common import Scratch, for_python, held, trimmed
 
 #: Texts above this many characters are dealt out to tasks in pieces of it.
 PIECE = 32_768
 #: Characters of a leaf inside an unsplit run, and tokens on either side of the first window.
 LEAF, WINDOW = 512, 8
 #: Distinct runs in each of the two generations that a worker keeps, the longest of them, and how many are encoded at once.
-CACHE, CACHED_CHARS, AT_ONCE = 200_000, 64, 2000
+CACHE, CACHED_CHARS, AT_ONCE = 100_000, 64, 2000
 #: A text that spells out special tokens is not folded; theirs begin with this.
 SPECIAL = "<|"
 
-_codecs: dict[str, "Codec"] = {}
-
 
 class Codec:
-    """A tokenizer file (the JSON of the tokenizers library) whose tokens never hold a space or line end."""
+    """A tokenizer file (the JSON of the tokenizers library) that composes, folds white space, lower-cases, splits by letters,
+    digits and others without white space, and then encodes the bytes of each part. Other files are refused."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        kinds = json.loads(spec)
+        steps = [[x["type"] for x in (kinds[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            raise ValueError("needs a tokenizer that lower-cases, splits without white space and encodes bytes")
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.young: dict[str, bytes] = {}
@@ -89,7 +95,10 @@ class Codec:
             if (known := self.old.get(w)) is not None:
                 self.young[w] = known
             elif len(w) <= LEAF:
-                fresh.append(w)
+                if (plain := letters(w)) is not None:
+                    self.young[w] = packed([t.id for t in self.model.tokenize(plain)])
+                else:
+                    fresh.append(w)
             else:
                 self.young[w] = packed(self.tree(w, 0, len(w))[:, 0])
         for lo in range(0, len(fresh), AT_ONCE):
@@ -117,6 +126,31 @@ def folded(text: str) -> str:
     return text if SPECIAL in text else MARK.sub(r" \g<0>", text.lower())
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte of a byte-level vocabulary: itself where it is printable, else the next free
+    one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTES = byte_characters()
+
+
+def letters(word: str) -> str | None:
+    """A word of small letters of Latin-1 as the vocabulary writes it; None for other words. Such a word is one part, which
+    the steps before the encoding leave as it is."""
+    if not word.isalpha() or not word.islower():
+        return None
+    if word.isascii():
+        return word
+    try:
+        word.encode("latin-1")
+    except UnicodeError:
+        return None
+    return word.encode().decode("latin-1").translate(BYTES) if word == word.lower() else None
+
+
 def packed(ids) -> bytes:
     return np.array(ids, dtype=np.int32).tobytes()
 
@@ -127,14 +161,8 @@ def rows_of(e) -> np.ndarray:
 
 def codec_of(spec: str) -> Codec:
     """The codec of this tokenizer file, built once in a process."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return held(("bpe", hashlib.sha256(spec.encode()).hexdigest()), lambda: Codec(spec))
 
 
 def read_spec(path: str) -> str:
@@ -152,7 +180,7 @@ def in_arrow(rows: DataFrame, drop: list[str], fields: list, run) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *run(batch)], names=names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(trimmed(each), schema)
 
 
 INTS = T.ArrayType(T.IntegerType())
