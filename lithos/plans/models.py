@@ -32,8 +32,11 @@ def density_marginal(spark, sf_dir):
 
 @query()
 def confidence_bounds(spark, sf_dir):
-    models = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("params"))
-    hist = D.marginals(models, [(-0.5, 0.5)] * 4, 20)
+    models = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("params"))
+    finite = F.filter("params", lambda x: F.abs(x) < float("inf"))
+    dims, reach = models.agg(F.max(F.size("params")), F.max(F.array_max(F.transform(finite, F.abs)))).first()
+    reach = max(0.5, reach or 0.0)  # no value lies outside
+    hist = D.marginals(models, [(-reach, reach)] * (dims or 0), 20)
     return D.confidence(hist, 0.9).join(D.modes(hist), "dim").orderBy("dim")
 
 
