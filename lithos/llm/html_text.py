@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements and links (other inline elements count as part of their block). Menus, forms,
-notices and the like that say so by their name are taken out. Every node has a density: its characters per tag, adjusted
+notices and the like that say so by their name are taken out, unless they hold the page's main text. Every node has a density: its characters per tag, adjusted
 by the share of them that stands in links. A node's sum is that of its children's densities; the node with the largest
 sum holds the article, and the least density on the path from it to the body is the threshold by which further parts of
 the page are searched in the same way.
@@ -34,19 +34,23 @@ OUT_NAMES = {
     "cookie", "cookies", "copyright", "disqus", "footer", "form", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pager",
     "pagination", "paywall", "popup", "promo", "promoted", "recommended", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets",
 }
+#: Names that leave no doubt, however much text they hold; and words that say nothing beside another name.
+READERS = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr"}
+PLAIN_WORDS = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "entry", "form", "global", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "thread", "title", "top", "wrap", "wrapper"}
 PAGE_HEADERS = {"header", "site-header", "page-header", "top-header", "main-header", "global-header", "siteheader", "pageheader"}
 # end of fixed values
 
 #: What stands in a tag behind its name; quotes count behind an equals sign only. It always ends, at the page's end at last.
 INNER = r"(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*"
-#: A comment, an element whose content is no text, a tag, or another declaration.
+#: A self-closed drawing or formula, a comment, an element whose content is no text, a tag, or another declaration.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){INNER}(?:>|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({INNER})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"<(?:svg|math)(?=[\s/>]){INNER}+(?<=/)>|<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){INNER}(?:>|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({INNER})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+HEADING = re.compile(r"h[1-6]")
 #: A name that speaks of other elements, as has-sidebar.
 OF_OTHERS = re.compile(r"(?:has|with|no|without|hide|show)[_-]", re.I)
 
@@ -55,7 +59,7 @@ class Node:
     __slots__ = ("tag", "up", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: "Node | None"):
-        self.tag, self.up, self.parts, self.out = tag, up, [], False
+        self.tag, self.up, self.parts, self.out = tag, up, [], ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -63,26 +67,65 @@ class Node:
         return [x for x in self.parts if x.__class__ is Node and not x.out]
 
 
-def unwanted(tag: str, attributes: str, up: Node) -> bool:
-    """Whether an element says by its kind, role or names that it is no part of an article."""
+def named(token: str) -> str:
+    """What a class or id says by all of its words: nothing if one of them may belong to an article."""
+    words = {w.lower() for w in WORDS.findall(token)}
+    if words & OUT_NAMES and words <= OUT_NAMES | PLAIN_WORDS and not OF_OTHERS.match(token):
+        return "readers" if words & READERS else "name"
+    return ""
+
+
+def unwanted(tag: str, attributes: str, up: Node) -> str:
+    """Why an element is no part of an article, by its kind, role or names; empty if it may be one."""
     if tag in OUT:
-        return True
+        return "form" if tag == "form" else "kind"
     if tag == "header":  # of the page; an article's own holds its title
-        return not inside(up, "article")
+        return "" if inside(up, "article") else "kind"
     if attributes and tag not in ("body", "html", "article", "main"):
+        why = ""
         for m in NAMES.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return "kind"
             if name == "role" and value.lower() in OUT_ROLES:
-                return True
-            if name in ("class", "id"):
+                why = why or "name"
+            if name == "class" or name == "id" and not HEADING.fullmatch(tag):  # a heading's id repeats its text
                 for token in value.split():
-                    if OF_OTHERS.match(token):
-                        continue
-                    if any(w.lower() in OUT_NAMES for w in WORDS.findall(token)) or token.lower() in PAGE_HEADERS and not inside(up, "article"):
-                        return True
-    return False
+                    said = named(token) or ("name" if token.lower() in PAGE_HEADERS and not inside(up, "article") else "")
+                    why = said if said == "readers" else why or said
+        return why
+    return ""
+
+
+def spare(root: Node) -> None:
+    """Take back what is held against elements with the page's text in them: those with its main element or most of its
+    plain paragraphs (of its plain text, where it has none), and by name or as a form those with its only articles.
+    Reader comments and consent notices are spared only where no plain paragraph stands outside."""
+    order, todo = [], [(root, False, False, False)]
+    paragraphs, plain, mains, posts = {}, {}, {}, {}
+    free = False  # whether an article or main element stands outside of all unwanted ones
+    while todo:
+        node, in_p, in_a, in_out = todo.pop()
+        in_p, in_a, in_out = in_p or node.tag == "p", in_a or node.tag == "a", in_out or bool(node.out)
+        own = 0 if in_a else sum(len(x.strip()) for x in node.parts if x.__class__ is str)
+        key = id(node)
+        plain[key], paragraphs[key], mains[key], posts[key] = own, own if in_p else 0, node.tag == "main", node.tag == "article"
+        free = free or not in_out and node.tag in ("article", "main")
+        order.append(node)
+        todo.extend((x, in_p, in_a, in_out) for x in node.parts if x.__class__ is Node)
+    for node in reversed(order[1:]):
+        for counts in (plain, paragraphs, mains, posts):
+            counts[id(node.up)] += counts[id(node)]
+    all_plain, all_paragraphs = plain[id(root)], paragraphs[id(root)]
+    for node in order:
+        if not node.out:
+            continue
+        key = id(node)
+        text, whole = (paragraphs[key], all_paragraphs) if all_paragraphs else (plain[key], all_plain)
+        if node.out == "readers":
+            node.out = "" if text == whole else node.out
+        elif mains[key] or 2 * text > whole or node.out == "form" and 2 * plain[key] > all_plain or node.out != "kind" and posts[key] and not free:
+            node.out = ""
 
 
 def inside(node: Node | None, tag: str) -> bool:
@@ -130,6 +173,7 @@ def tree(page: str, judge=unwanted) -> Node:
                 at = node
     if place < len(page):
         at.parts.append(page[place:])
+    spare(root)
     return root
 
 
@@ -227,7 +271,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str) -> str:
     """The main text of one page; empty if it has none. Where all of a page's text stands in unwanted elements, their
     names are not held against them."""
-    for judge in (unwanted, lambda tag, attributes, up: tag in OUT):
+    for judge in (unwanted, lambda tag, attributes, up: ("form" if tag == "form" else "kind") if tag in OUT else ""):
         text = " ".join(b for n in articles(tree(page, judge)) for b in blocks(n))
         if text:
             break

@@ -37,3 +37,30 @@ def test_table(spark):
     found = html_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert sorted(((r.page_id, r.text) for r in found.collect()), key=repr) == sorted([(1, TEXT), (2, ""), (None, ""), (1, TEXT)], key=repr)
     assert html_text(found.limit(0)).collect() == []
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story says something plain, at some length, about its subject.</p>" for i in range(4))
+TOLD = " ".join(f"Paragraph {i} of the story says something plain, at some length, about its subject." for i in range(4))
+
+
+def test_names_around_an_article():
+    stray = "<div>Stray line</div>"
+    for page in (
+        f"{stray}<div class='content-sidebar-wrap'>{STORY}</div>",
+        f"{stray}<div class='elementor-widget'>{STORY}</div>",
+        f"{stray}<div class='sidebar'><article>{STORY}</article></div>",
+        f"{stray}<div id='modal'><main>{STORY}</main></div>",
+        f"{stray}<div class='widget'>{STORY}</div>",
+        f"<form id='aspnetForm'>{STORY}</form>",
+        f"<form>{STORY.replace('<p>', '<div>').replace('</p>', '</div>')}</form>",
+    ):
+        assert TOLD in main_text(page), page
+    assert "Earlier" in main_text(f"<article>{STORY}<section id='related-work'><h2 id='social-impact'>Earlier</h2>{STORY}</section></article>")
+
+
+def test_long_comments_stay_out():
+    assert main_text(f"<article>{STORY}</article><div class='comment-list'>{STORY.replace('story', 'reader') * 3}</div>") == TOLD
+
+
+def test_self_closed_drawing():
+    assert main_text(f"<svg class='x > y' width=\"1\" />{STORY}") == TOLD and main_text(f"<p>a<math/>b</p><svg><text>no</text></svg>{STORY}").startswith("ab ")
