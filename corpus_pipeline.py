@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lithos.llm.bpe import bpe_encode
 from lithos.llm.common import Scratch, documents
 from lithos.llm.exact_dedup import exact_dedup
-from lithos.llm.language_id import UNDETERMINED, identify, language_samples
+from lithos.llm.language_id import UNDETERMINED, identify, language_samples, lettered
 from lithos.llm.mixing import mix
 from lithos.llm.near_dedup import near_dedup
 from lithos.llm.queries import WORD_BPE
@@ -24,8 +24,11 @@ def ids_with(docs, facts, *columns):
 
 
 def keep_language(spark, docs, sf_dir):
-    """Documents whose language can be told stay: those with letters. Labels are read to learn from only."""
+    """Documents whose language can be told stay: those with letters. Labels are read to learn from only; where there are
+    none to learn from, documents with letters stay all the same."""
     samples = language_samples(docs)
+    if not samples:
+        return docs.where(lettered(F.col("text")))
     return identify(docs, samples).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 

@@ -174,6 +174,11 @@ def language_samples(labelled: DataFrame, id_col="doc_id", text_col="text", lang
     return out
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter; a null one has none."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
     """`docs` with two more columns, lang_pred and score, in place of columns of these names.
 
@@ -203,7 +208,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
             yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "lang_pred", "score"])
 
     text = F.col(text_col)
-    return rows.select("*", text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(trimmed(run), schema)
+    return rows.select("*", text.alias("__text"), lettered(text).alias("__letters")).mapInArrow(trimmed(run), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -49,3 +49,11 @@ def test_empty(spark):
     for _, f in C.STAGES:
         docs = f(spark, docs, None)
     assert docs.collect() == []
+
+
+def test_language_without_labels(spark):
+    rows = [(i, t, None, "s", 0) for i, (t, *_) in enumerate([("one text",), ("été",), ("123",), ("",), (None,)])]
+    kept = C.keep_language(spark, spark.createDataFrame(rows, SCHEMA), None)
+    assert {r.doc_id for r in kept.collect()} == {0, 1}
+    unlettered = spark.createDataFrame([(1, "123", "en", "s", 3), (None, "abc", "en", "s", 3), (3, "abc", None, "s", 3)], SCHEMA)
+    assert C.keep_language(spark, unlettered, None).count() == 2
