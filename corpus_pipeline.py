@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lithos.llm.bpe import bpe_encode
-from lithos.llm.common import Scratch, documents
+from lithos.llm.common import Scratch, documents, word_count
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.language_id import UNDETERMINED, identify, language_samples, lettered
 from lithos.llm.mixing import mix
@@ -17,10 +17,16 @@ from lithos.llm.queries import WORD_BPE
 ORACLE_SQL = None
 
 
-def ids_with(docs, facts, *columns):
-    """`docs` joined to one row of `facts` an id; null ids meet null ids."""
-    one = facts.groupBy(F.col("doc_id").alias("__id")).agg(*(F.first(c).alias(c) for c in columns))
-    return docs.join(one, docs["doc_id"].eqNullSafe(one["__id"])).drop("__id")
+def numbered(spark, docs):
+    """`docs` written with a number of its own for each row, because ids may repeat or be null."""
+    return Scratch(spark, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def one_a_group(rows, groups, best):
+    """The rows that come first by `best` of each group (__row, __group), without their numbers."""
+    ids = rows.select("__row", "doc_id").join(groups, "__row")
+    kept = ids.groupBy("__group").agg(best.alias("__best")).select("__best.__row")
+    return rows.join(kept, "__row", "left_semi").drop("__row")
 
 
 def keep_language(spark, docs, sf_dir):
@@ -33,22 +39,29 @@ def keep_language(spark, docs, sf_dir):
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of identical texts the document with the largest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of identical texts one row with the largest id stays."""
+    rows = numbered(spark, docs)
+    groups = exact_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("__group"))
+    return one_a_group(rows, groups, F.max(F.struct("doc_id", "__row")))
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of linked documents (shingles of five words, similarity of 0.8 or more) the one with the smallest id stays."""
-    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of linked documents (shingles of five words, similarity of 0.8 or more) one row with the smallest id stays; null ids
+    come last."""
+    rows = numbered(spark, docs)
+    groups = near_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    return one_a_group(rows, groups, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")))
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents of the mix, as often as it takes them: each at most twice. A document that it doesn't take goes."""
-    facts = ids_with(docs, mix(docs), "size", "taken")
+    """Documents of the mix, as often as it takes them: each at most twice. A document that it doesn't take goes. Rows with
+    the same id, size and source are taken alike, so these are what a row is joined to its decision by."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    repeated = facts.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    keys = F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.get("pattern", F.lit(0)).alias("__source")
+    facts = mix(docs).groupBy(*keys).agg(F.first(times).alias("__times")).where("__times > 0")
+    rows = docs.withColumn("__words", word_count(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(facts["__id"]) & (rows["__words"] == facts["__size"]) & rows["source"].eqNullSafe(facts["__source"])
+    repeated = rows.join(facts, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return repeated.select(*docs.columns)
 
 

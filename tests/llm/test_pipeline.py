@@ -57,3 +57,23 @@ def test_language_without_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 1}
     unlettered = spark.createDataFrame([(1, "123", "en", "s", 3), (None, "abc", "en", "s", 3), (3, "abc", None, "s", 3)], SCHEMA)
     assert C.keep_language(spark, unlettered, None).count() == 2
+
+
+def test_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    one, two, three, four = (" ".join(r.choice("abcdefghijklmnop") * r.randint(1, 6) for _ in range(80)) for _ in range(4))
+    close = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    exact = make([(None, one, "a"), (None, two, "a"), (5, two, "a"), (7, three, "a"), (7, two, "a"), (8, three, "a"), (9, four, "a"), (9, four, "b")])
+    assert sorted(((x.doc_id, x.text) for x in C.drop_copies(spark, exact, None).collect()), key=repr) == sorted([(None, one), (7, two), (8, three), (9, four)], key=repr)
+    near = make([(None, one, "a"), (None, close(one), "a"), (None, two, "a"), (3, close(two), "a"), (4, three, "a"), (4, close(three), "a"), (4, four, "a"), (6, close(four), "b")])
+    kept = [(x.doc_id, x.text) for x in C.drop_near_copies(spark, near, None).collect()]
+    assert len(kept) == 4 and (3, close(two)) in kept and (4, four) in kept and sum(i is None for i, _ in kept) == 1 and sum(i == 4 for i, _ in kept) == 2
+    texts = [" ".join(["w"] * n) for n in range(1, 40)]
+    mixed = make([(n % 3 or None, t, "abc"[n % 2]) for n, t in enumerate(texts)])
+    wanted = {(x.doc_id, x.size, x.pattern[0]): x.taken // x.size for x in mix(mixed).collect()}
+    found = {}
+    for x in C.mix_sources(spark, mixed, None).collect():
+        k = x.doc_id, len(x.text.split()), x.source
+        found[k] = found.get(k, 0) + 1
+    assert found == {k: n for k, n in wanted.items() if n}
