@@ -97,12 +97,14 @@ def mean_speed(pairs: DataFrame, by: str = "sid") -> DataFrame:
     return pairs.groupBy(by).agg(F.avg(F.try_divide(d, F.col("t1") - F.col("t0"))).alias("speed"))
 
 
-def sight_map(blocked: DataFrame, observers: DataFrame, grid: Grid, samples: int = 20) -> DataFrame:
-    """rid, lati, loni, sight: whether none of `samples` points on the way from an observer to a cell's centre lies in a
-    blocked cell."""
+def sight_map(blocked: DataFrame, observers: DataFrame, grid: Grid, per_cell: int = 4) -> DataFrame:
+    """rid, lati, loni, sight: whether none of the points on the way from an observer to a cell's centre lies in a blocked
+    cell. There are `per_cell` points for each cell of the way's length at least, both ends among them."""
     cells = grid.cells(blocked.sparkSession).select(*PLACE, grid.lat(F.col("lati")).alias("clat"), grid.lon(F.col("loni")).alias("clon"))
-    ways = observers.join(F.broadcast(cells)).withColumn("__s", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))))
-    share = F.col("__s") / samples
+    ways = observers.join(F.broadcast(cells))
+    length = F.hypot((F.col("clat") - F.col("lat")) / grid.dlat, (F.col("clon") - F.col("lon")) / grid.dlon)
+    ways = ways.withColumn("__n", F.greatest(F.lit(1), F.ceil(length * per_cell))).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long"))))
+    share = F.col("__s") / F.col("__n")
     at = ways.select("rid", *PLACE, grid.lati(F.col("lat") + (F.col("clat") - F.col("lat")) * share).alias("__i"), grid.loni(F.col("lon") + (F.col("clon") - F.col("lon")) * share).alias("__j"))
     walls = F.broadcast(blocked.select(F.col("lati").alias("__i"), F.col("loni").alias("__j"), F.lit(1).alias("__b")))
     return at.join(walls, ["__i", "__j"], "left").groupBy("rid", *PLACE).agg(F.max("__b").isNull().alias("sight"))
