@@ -31,15 +31,20 @@ def write_warc(records: DataFrame, path: str, record_col: str = "record", compre
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """type, url, date, record_id, length, content of each record of WARC files. Files are split at records; a record whose
-    content holds the text that begins another one is the only one that this can't read, and comes out cut short."""
+    """type, url, date, record_id, length, content of each record of WARC files. Files are split at records. Raises where a
+    content hasn't the bytes of its Content-Length, as that of a record that holds the text that begins another one."""
     raw = spark.read.option("lineSep", f"{END}WARC/1.0\r\n").text(path)
-    whole = F.regexp_replace(F.regexp_replace("value", r"\AWARC/1\.0\r\n", ""), r"(?:\r\n\r\n)\z", "")
+    whole = F.regexp_replace("value", r"\AWARC/1\.0\r\n", "")
     at = F.instr("whole", END)
-    cut = raw.select(whole.alias("whole")).where("whole <> ''")
+    cut = raw.select(whole.alias("whole")).where(F.regexp_replace("whole", r"\r\n", "") != "")
     cut = cut.select(F.when(at > 0, F.expr("substring(whole, 1, instr(whole, '\r\n\r\n') - 1)")).otherwise(F.col("whole")).alias("head"), F.when(at > 0, F.expr("substring(whole, instr(whole, '\r\n\r\n') + 4)")).otherwise(F.lit("")).alias("content"))
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
-    return cut.select(field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("date"), field("WARC-Record-ID").alias("record_id"), field("Content-Length").cast("long").alias("length"), "content")
+    length, content = field("Content-Length").cast("long"), F.col("content")
+    # a file's last record has its closing line ends still
+    closed = content.endswith(END) & (length.isNull() | (F.octet_length(content) == length + len(END)))
+    content = F.when(closed, F.expr("substring(content, 1, length(content) - 4)")).otherwise(content)
+    whole = F.when(length.isNull() | (F.octet_length(content) == length), content).otherwise(F.raise_error(F.concat(F.lit("content of another length than its Content-Length: "), F.col("head"))))
+    return cut.select(field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("date"), field("WARC-Record-ID").alias("record_id"), length.alias("length"), whole.alias("content"))
 
 
 def layout(records: DataFrame, archive_col: str = "archive", name_col: str = "name") -> DataFrame:

@@ -42,3 +42,13 @@ def test_files_round_trip(spark, tmp_path):
 def test_nulls_and_repeats_in_pages(spark):
     pages = spark.createDataFrame([(7, "u", "<p>a"), (7, "u", "<p>a"), (None, None, None), (13, "u", "x"), (5, "u", "<p>")], "page_id long, url string, html string")
     assert {x.status for x in W.audit_pages(pages).collect()} == {"changed", "missing"}
+
+
+def test_records_within_records(spark, tmp_path):
+    inner = "a page about\r\n\r\nWARC/1.0\r\nWARC-Type: resource\r\n\r\nrest"
+    for name, text in (("ends", "x\r\n\r\n"), ("holds", inner)):
+        records = spark.createDataFrame([("u", 1, text), ("u", 2, "y")], "url string, page_id long, html string").coalesce(1)
+        W.write_warc(records.select(W.record(F.col("url"), F.col("page_id"), F.col("html")).alias("record")), str(tmp_path / name))
+    assert {x.content for x in W.read_warc(spark, str(tmp_path / "ends")).collect()} == {"x\r\n\r\n", "y"}
+    with pytest.raises(Exception, match="Content-Length"):
+        W.read_warc(spark, str(tmp_path / "holds")).collect()
