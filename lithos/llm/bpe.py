@@ -1,11 +1,13 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is encoded in halves of halves: its leaves are encoded on their own, in parallel, and neighbours are then joined
-pairwise up the tree. At a join the text of a few tokens from both sides is encoded again, in a window that grows until
-the new tokens meet a token of the left side and one of the right side with the same id and place; from there on both
-sides stand, because whether a BPE sequence is the right one depends on neighbouring tokens only. Where the tokenizer
-always drops a character (a space or line end), the pieces around it are independent and a leaf is one such piece, with
-its ids kept in a bounded cache.
+A text is composed and lower-cased first, as the tokenizer does. It is then encoded in halves of halves: its leaves are
+encoded on their own, in parallel, and neighbours are joined pairwise up the tree. At a join the text of a few tokens from
+both sides is encoded again, in a window that grows until the new tokens meet a token of the left side and one of the right
+side with the same id and place; from there on both sides stand, because whether a BPE sequence is the right one depends on
+neighbouring tokens only. That holds for merges and not for the composition of characters, so a cut never falls where
+characters may compose or change places, or inside a special token: what stands around such a place is held back, as text,
+until both of its sides are there. Where the tokenizer always drops a character (a space or line end), the runs around it
+are independent and a leaf is one such run, with its ids kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,8 +34,23 @@ PIECE = 32_768
 LEAF, WINDOW = 512, 8
 #: Distinct runs in each of the two generations that a worker keeps, the longest of them, and how many are encoded at once.
 CACHE, CACHED_CHARS, AT_ONCE = 100_000, 64, 2000
-#: A text that spells out special tokens is not folded; theirs begin with this.
-SPECIAL = "<|"
+
+@lru_cache(None)
+def composers() -> frozenset:
+    """Characters that may compose with the one before: seconds of canonical pairs, vowels and final consonants of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+@lru_cache(65_536)
+def apart(c: str) -> bool:
+    """Whether nothing that stands before this character can change it or what follows it, or be changed by it, when a text
+    is composed. An unassigned character may come to do so in a later version of Unicode."""
+    if c < "\u0300":
+        return True
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.category(c) != "Cn" and not unicodedata.combining(first) and first not in composers()
 
 
 class Codec:
@@ -43,18 +62,52 @@ class Codec:
 
         kinds = json.loads(spec)
         steps = [[x["type"] for x in (kinds[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
-        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+        added = kinds["added_tokens"]
+        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"[ \n]", x["content"]) for x in added):
             raise ValueError("needs a tokenizer that lower-cases, splits without white space and encodes bytes")
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.special = {x["content"]: x["id"] for x in added}
+        #: Special tokens as they stand in a text, which the tokenizer looks for before it does anything else.
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=lambda x: (-len(x), x)))) or r"(?!)")
+        self.begins, self.ends, self.reach = {x[0] for x in self.special}, {x[-1] for x in self.special}, max(map(len, self.special), default=1) - 1
+        #: The tokenizer of texts that are composed and lower-cased already; what looks like a special token there is none.
+        self.inner = Tokenizer.from_str(json.dumps(kinds | {"normalizer": None, "added_tokens": [], "padding": None, "truncation": None}))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def normal(self, text: str) -> str:
+        """A text without special tokens, composed and lower-cased. Characters of Latin-1 don't compose, and Python lower-cases
+        them as the tokenizer does; a comma or stop that is a token of its own is set apart, so that fewer runs are distinct."""
+        try:
+            text.encode("latin-1")
+        except UnicodeError:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return MARK.sub(r" \g<0>", text.lower())
+
+    def pieces(self, text: str) -> list:
+        """The independent pieces of a text in order: normalised runs, and the ids of special tokens that it spells out."""
+        out, at = [], 0
+        if self.special and not self.begins.isdisjoint(text):
+            for m in self.specials.finditer(text):
+                out += [*GAP.split(self.normal(text[at : m.start()])), self.special[m[0]]]
+                at = m.end()
+        return out + GAP.split(self.normal(text[at:]))
+
+    def cuts(self, text: str) -> tuple[int, int]:
+        """Where the first and the last place are at which `text`, cut from a longer one, may be cut again: characters on
+        both sides don't compose, and no special token lies across. Its length twice if there is none."""
+        n, r = len(text), self.reach
+        inside = {i for m in self.specials.finditer(text) for i in range(m.start() + 1, m.end())}
+        first = max((i + 1 for i in range(min(r, n)) if text[i] in self.ends), default=0)
+        first = next((i for i in range(first, n) if i not in inside and apart(text[i])), n)
+        last = next((i for i in range(max(0, n - r), n) if text[i] in self.begins), n - 1)
+        last = next((i for i in range(last, first, -1) if i not in inside and apart(text[i])), first)
+        return first, last
+
     def spans(self, text: str, at: int = 0) -> np.ndarray:
-        """Rows (id, start, end), one a token of `text`, which begins at character `at` of a longer one."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
+        """Rows (id, start, end), one a token of a normalised text, which begins at character `at` of a longer one."""
+        e = self.inner.encode(text, add_special_tokens=False)
         return rows_of(e) + np.array([0, at, at], dtype=np.int32)
 
     def tree(self, text: str, at: int, size: int) -> np.ndarray:
@@ -87,12 +140,20 @@ class Codec:
                 return new
             width *= 2
 
+    def rows(self, text: str) -> tuple[str, np.ndarray]:
+        """A text without gaps, normalised, and its token rows."""
+        run = self.normal(text)
+        return run, self.tree(run, 0, len(run))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, whole: of the runs between spaces and line ends."""
-        parts = [re.split("[ \n]", folded(t)) for t in texts]
+        """Ids of each text, whole. Equal texts are encoded once."""
+        whole = list(dict.fromkeys(texts))
+        parts = [self.pieces(t) for t in whole]
         fresh = []
         for w in set(chain.from_iterable(parts)) - self.young.keys():
-            if (known := self.old.get(w)) is not None:
+            if w.__class__ is int:
+                self.young[w] = packed([w])
+            elif (known := self.old.get(w)) is not None:
                 self.young[w] = known
             elif len(w) <= LEAF:
                 if (plain := letters(w)) is not None:
@@ -103,29 +164,20 @@ class Codec:
                 self.young[w] = packed(self.tree(w, 0, len(w))[:, 0])
         for lo in range(0, len(fresh), AT_ONCE):
             some = fresh[lo : lo + AT_ONCE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            for w, e in zip(some, self.inner.encode_batch_fast(some, add_special_tokens=False)):
                 self.young[w] = packed(e.ids)
-        out = [np.frombuffer(b"".join(map(self.young.__getitem__, p)), dtype=np.int32) for p in parts]
+        found = {t: np.frombuffer(b"".join(map(self.young.__getitem__, p)), dtype=np.int32) for t, p in zip(whole, parts)}
         if len(self.young) > CACHE:
-            self.old = {w: x for w, x in self.young.items() if len(w) <= CACHED_CHARS}
+            self.old = {w: x for w, x in self.young.items() if w.__class__ is int or len(w) <= CACHED_CHARS}
             self.young = {}
-        return out
+        return [found[t] for t in texts]
 
 
+GAP = re.compile("[ \n]")
 #: In lower case, a comma or stop behind a letter and before a space or line end is a token of its own.
 MARK = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[ \n])")
 
 
-def folded(text: str) -> str:
-    """A text with the same ids and fewer distinct runs. Lower-casing is the tokenizer's own first step; Python's agrees
-    with it for the characters of Latin-1."""
-    try:
-        text.encode("latin-1")
-    except UnicodeError:
-        return text
-    return text if SPECIAL in text else MARK.sub(r" \g<0>", text.lower())
-
-
 def byte_characters() -> dict[int, str]:
     """The character that stands for each byte of a byte-level vocabulary: itself where it is printable, else the next free
     one from 256 on."""
@@ -184,48 +236,80 @@ def in_arrow(rows: DataFrame, drop: list[str], fields: list, run) -> DataFrame:
 
 
 INTS = T.ArrayType(T.IntegerType())
-#: A piece of a long text: what stands before its first space or line end, with its token rows; the ids between that and
-#: the last one (null if there is none: then all is in front); what stands behind, with its rows.
-PART = [T.StructField("front", T.StringType()), T.StructField("front_rows", INTS), T.StructField("ids", INTS), T.StructField("behind", T.StringType()), T.StructField("behind_rows", INTS)]
+#: A piece of a long text: text that is held back at its begin; what stands before its first gap (space, line end, special
+#: token), normalised, with its token rows; the ids between that and the last gap (null if there is none: then all is in
+#: front); what stands behind, with its rows; text that is held back at its end. A null front: all of it is held back.
+PART = [
+    T.StructField("head", T.StringType()), T.StructField("front", T.StringType()), T.StructField("front_rows", INTS), T.StructField("ids", INTS),
+    T.StructField("behind", T.StringType()), T.StructField("behind_rows", INTS), T.StructField("tail", T.StringType()),
+]
 
 
-class Part:
-    """A piece of a long text, or several joined."""
+class Run:
+    """Normalised text in tokens: a run up to its first gap, ids up to its last one (None without gaps), a run behind."""
 
-    def __init__(self, front, front_rows, ids=None, behind="", behind_rows=None):
+    def __init__(self, front="", front_rows=None, ids=None, behind="", behind_rows=None):
         self.front, self.behind, self.ids = front, behind, None if ids is None else np.asarray(ids, dtype=np.int32)
         self.front_rows, self.behind_rows = (np.asarray([] if x is None else x, dtype=np.int32).reshape(-1, 3) for x in (front_rows, behind_rows))
 
     @classmethod
-    def of(cls, codec: Codec, text: str) -> "Part":
-        gaps = [m.start() for m in re.finditer("[ \n]", text)]
+    def of(cls, codec: Codec, text: str) -> "Run":
+        gaps = [m.span() for m in codec.specials.finditer(text)] + [m.span() for m in GAP.finditer(text)]
         if not gaps:
-            return cls(text, codec.tree(text, 0, len(text)))
-        front, behind = text[: gaps[0]], text[gaps[-1] + 1 :]
-        return cls(front, codec.tree(front, 0, len(front)), codec.ids([text[gaps[0] : gaps[-1] + 1]])[0], behind, codec.tree(behind, 0, len(behind)))
+            return cls(*codec.rows(text))
+        first, last = min(a for a, _ in gaps), max(b for _, b in gaps)
+        return cls(*codec.rows(text[:first]), codec.ids([text[first:last]])[0], *codec.rows(text[last:]))
 
-    def then(self, codec: Codec, other: "Part") -> "Part":
+    def then(self, codec: Codec, other: "Run") -> "Run":
         a, rows = (self.front, self.front_rows) if self.ids is None else (self.behind, self.behind_rows)
         cut, run = len(a), a + other.front
         rows = codec.join(run, rows, other.front_rows + np.array([0, cut, cut], dtype=np.int32), 0, cut, len(run))
         if self.ids is None:
-            return Part(run, rows, other.ids, other.behind, other.behind_rows)
+            return Run(run, rows, other.ids, other.behind, other.behind_rows)
         if other.ids is None:
-            return Part(self.front, self.front_rows, self.ids, run, rows)
-        return Part(self.front, self.front_rows, np.concatenate([self.ids, rows[:, 0], other.ids]), other.behind, other.behind_rows)
+            return Run(self.front, self.front_rows, self.ids, run, rows)
+        return Run(self.front, self.front_rows, np.concatenate([self.ids, rows[:, 0], other.ids]), other.behind, other.behind_rows)
 
     def all_ids(self) -> np.ndarray:
         return np.concatenate([self.front_rows[:, 0], np.zeros(0, np.int32) if self.ids is None else self.ids, self.behind_rows[:, 0]])
 
+
+class Part:
+    """A piece of a long text, or several joined: a run between texts that are held back. Without a run, all is in `head`."""
+
+    def __init__(self, head: str, run: Run | None, tail: str = ""):
+        self.head, self.run, self.tail = head, run, tail
+
+    @classmethod
+    def of(cls, codec: Codec, text: str) -> "Part":
+        first, last = codec.cuts(text)
+        return cls(text[:first], Run.of(codec, text[first:last]) if first < len(text) else None, text[last:])
+
+    def then(self, codec: Codec, other: "Part") -> "Part":
+        if self.run is None:
+            return Part(self.head + other.head, other.run, other.tail)
+        if other.run is None:
+            return Part(self.head, self.run, self.tail + other.head)
+        middle = Run.of(codec, self.tail + other.head)
+        return Part(self.head, self.run.then(codec, middle).then(codec, other.run), other.tail)
+
+    def all_ids(self, codec: Codec) -> np.ndarray:
+        """Ids of a whole text, of which nothing is held back any more."""
+        ends = [Run.of(codec, x) for x in (self.head, self.tail)]
+        return (ends[0] if self.run is None else ends[0].then(codec, self.run).then(codec, ends[1])).all_ids()
+
     @staticmethod
     def arrays(parts: list["Part"]) -> list:
+        runs = [p.run or Run() for p in parts]
+        text = lambda xs: pa.array(xs, pa.string())
         ints = lambda xs: pa.array([None if x is None else x.ravel() for x in xs], pa.list_(pa.int32()))
-        return [pa.array([p.front for p in parts], pa.string()), ints([p.front_rows for p in parts]), ints([p.ids for p in parts]), pa.array([p.behind for p in parts], pa.string()), ints([p.behind_rows for p in parts])]
+        front = text([None if p.run is None else p.run.front for p in parts])
+        return [text([p.head for p in parts]), front, ints([r.front_rows for r in runs]), ints([r.ids for r in runs]), text([r.behind for r in runs]), ints([r.behind_rows for r in runs]), text([p.tail for p in parts])]
 
     @staticmethod
     def read(batch, mark: str = "") -> list:
         columns = [[x.values.to_numpy() if x.is_valid else None for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in (batch.column(f.name + mark) for f in PART)]
-        return [None if x[0] is None else Part(*x) for x in zip(*columns)]
+        return [None if x[0] is None else Part(x[0], None if x[1] is None else Run(*x[1:6]), x[6]) for x in zip(*columns)]
 
 
 def ids_array(ids: list[np.ndarray]) -> pa.ListArray:
@@ -238,7 +322,7 @@ def decoded_array(codec: Codec, ids) -> pa.Array:
 
 def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> DataFrame:
     """key and `fields`, whose arrays values(codec, ids) gives, of each distinct (key, __text): its pieces are encoded by
-    different tasks and joined up the tree."""
+    different tasks and joined up the tree. Pieces are longer than any special token, so that one lies in two at most."""
     scratch = Scratch(texts.sparkSession, "bpe")
     n = F.ceil(F.length("__text") / F.lit(piece)).cast("int")
     cut = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("__text", i * piece + 1, F.lit(piece)))).alias("k", "part"))
@@ -246,6 +330,8 @@ def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> D
 
     def encode(batch):
         codec = codec_of(shared.value)
+        if piece <= codec.reach:
+            raise ValueError("pieces must be longer than special tokens")
         return Part.arrays([Part.of(codec, t) for t in batch.column("part").to_pylist()])
 
     def pair(batch):
@@ -253,7 +339,8 @@ def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> D
         return Part.arrays([a if b is None else a.then(codec, b) for a, b in zip(Part.read(batch), Part.read(batch, "2"))])
 
     def finish(batch):
-        return values(codec_of(shared.value), [p.all_ids() for p in Part.read(batch)])
+        codec = codec_of(shared.value)
+        return values(codec, [p.all_ids(codec) for p in Part.read(batch)])
 
     names = [f.name for f in PART]
     level = scratch.save(in_arrow(pieces, ["part"], PART, encode))
@@ -267,9 +354,10 @@ def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> D
     return in_arrow(level.drop("k"), names, fields, finish)
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE, keep_text: bool = True) -> DataFrame:
     """`docs` with the column `ids_col` (array<int>): the ids that the tokenizer file at `path` gives to the whole text,
     without special tokens added; and, if named, `decoded_col`, what they decode to. They replace columns of their names.
+    Without `keep_text` the column `text_col` is left out, so that it doesn't come back from Python.
 
     A null text counts as empty; an empty one has no ids. Special tokens that a text spells out are encoded as such, as
     the library does. Rows may repeat; an empty table gives an empty result; all other columns are kept, whatever their
@@ -278,7 +366,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     spark = docs.sparkSession
     for_python(spark)
     shared = spark.sparkContext.broadcast(read_spec(path))
-    carried = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    carried = [c for c in docs.columns if c not in (ids_col, decoded_col) and (keep_text or c != text_col)]
     rows = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     fields = [T.StructField("__ids", INTS), *([T.StructField("__decoded", T.StringType())] if decoded_col else [])]
 
@@ -311,7 +399,7 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: st
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of `docs` (doc_id, text)."""
-    rows = bpe_encode(docs.select("doc_id", "text"), path, decoded_col="decoded").drop("text")
+    rows = bpe_encode(docs.select("doc_id", "text"), path, decoded_col="decoded", keep_text=False)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import lithos.llm.bpe as B
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-POOLS = ["abcdefghij", "theinganersto", "'strelvd!?.,", "éèüßÅÄ", "é̀å", "0123", "İIŞ", "日本語", " \t\x85", "<|endoftext|>", "😀👍", "\n"]
+POOLS = ["abcdefghij", "theinganersto", "'strelvd!?.,", "éèüßÅÄ", "é̀å", "0123", "İIŞ", "日本語", " \t\x85", "<|endoftext|>", "😀👍", "\n", "".join(map(chr, [0x110C, 0x1161, 0x11AF, 0x11B0, 0x1112, 0x1175])), "m" + "".join(map(chr, [0x302, 0x31F, 0x32D, 0x30A, 0x338])) + "ae<>", "각하훍", "".join(map(chr, [0xF71, 0xF72, 0xF73, 0xF40, 0x344, 0x345, 0x3B1])), "'s'll"]
 
 
 @pytest.fixture(scope="module")
@@ -23,19 +23,36 @@ def texts(seed, n, sizes=(0, 5, 40, 700, 3000)):
         yield "".join(r.choice(pool) for _ in range(r.choice(sizes)))
 
 
+def by_parts(codec, text, size):
+    parts = [B.Part.of(codec, text[q : q + size]) for q in range(0, len(text), size)]
+    while len(parts) > 1:
+        parts = [parts[q].then(codec, parts[q + 1]) if q + 1 < len(parts) else parts[q] for q in range(0, len(parts), 2)]
+    return parts[0].all_ids(codec).tolist() if parts else []
+
+
 @pytest.mark.parametrize("leaf, window", [(8, 1), (64, 2), (512, 8)])
 def test_trees_and_parts(library, monkeypatch, leaf, window):
     monkeypatch.setattr(B, "LEAF", leaf)
     monkeypatch.setattr(B, "WINDOW", window)
     codec = B.Codec(B.read_spec(PATH))
-    for t in texts(leaf, 60):
+    for n, t in enumerate(texts(leaf, 400)):
         ids = library.encode(t, add_special_tokens=False).ids
-        assert codec.tree(t, 0, len(t))[:, 0].tolist() == ids
         assert codec.ids([t])[0].tolist() == ids
-        parts = [B.Part.of(codec, t[q : q + 97]) for q in range(0, len(t), 97)]
-        while len(parts) > 1:
-            parts = [parts[q].then(codec, parts[q + 1]) if q + 1 < len(parts) else parts[q] for q in range(0, len(parts), 2)]
-        assert not parts or parts[0].all_ids().tolist() == ids
+        for size in (3, 7, 97) if n % 10 == 0 or len(t) < 50 else (97,):
+            assert by_parts(codec, t, size) == ids, (size, t)
+
+
+def test_composition_at_every_cut(library):
+    codec = B.Codec(B.read_spec(PATH))
+    some = ["m\u110c\u0302\u031f\u11af\u11b0\u032d\u030a", "0123456789a<|endoftext|>\u0338b" * 3, "<|END<|endoftext|><|startoftext|>>\u0338", "\u1112\u1161\u11ab\u1100\u1173\u11af" * 3, "\u0f73\u0f71x\u0344", "e\u0301\u0323 \u0308a\u030a"]
+    for t in some:
+        ids = library.encode(t, add_special_tokens=False).ids
+        for size in range(16 if "<|" in t else 1, len(t) + 1):
+            assert by_parts(codec, t, size) == ids, (size, t)
+    for unit in ("\u1112\u1161\u11ab", "a\u0302\u031f", "\u1100\u1161o\u0323\u0302"):
+        t = unit * 600
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert codec.ids([t])[0].tolist() == ids and by_parts(codec, t, 100) == ids
 
 
 def test_query_shape_and_long_texts(spark, library):
