@@ -13,7 +13,7 @@ from lithos.llm.html_text import html_text
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
-from lithos.llm.quotation import link_quotations
+from lithos.llm.quotation import link_quotations, with_planted_quotes
 from lithos.llm.token_counts import token_counts, vocabulary
 from lithos.llm.warc import audit_pages
 
@@ -24,7 +24,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def op1_quotation_linking(spark, sf_dir):
-    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return link_quotations(with_planted_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op2_token_counts(spark, sf_dir):
@@ -81,7 +81,16 @@ QUERIES = {
 
 ORACLES = {
     "op1_quotation_linking": r"""
-        WITH RECURSIVE m AS (SELECT *, coalesce(text, '') AS raw, row_number() OVER () AS rid FROM conversations),
+        WITH RECURSIVE base AS (SELECT conv_id, turn, min(text) AS said FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
+        planted AS (
+            SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 4
+                     WHEN 1 THEN '> ' || split_part(a.said, chr(10), 1)
+                     WHEN 2 THEN 'On the turn before, the other one wrote:' || chr(10) || '> ' || replace(replace(a.said, chr(10), ' '), ', ', ',' || chr(10) || '> ')
+                     WHEN 3 THEN '>> ' || replace(b.said, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(a.said, chr(10), chr(10) || '> ') END
+                     || chr(10) || c.text, c.text) AS text
+            FROM conversations c LEFT JOIN base a ON a.conv_id IS NOT DISTINCT FROM c.conv_id AND a.turn = c.turn - 1
+            LEFT JOIN base b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.turn = c.turn - 2),
+        m AS (SELECT *, coalesce(text, '') AS raw, row_number() OVER () AS rid FROM planted),
         x AS (SELECT rid, regexp_split_to_array(raw, '\r\n|\n|\r') AS lines FROM m),
         y AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM x),
         l AS (
@@ -105,7 +114,8 @@ ORACLES = {
             SELECT w.conv_id, w.turn, u.parent, depth + 1 FROM walk w JOIN up u ON u.conv_id IS NOT DISTINCT FROM w.conv_id AND u.turn = w.root),
         roots AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM walk GROUP BY conv_id, turn)
         SELECT m.conv_id, m.turn, m.role, own.own AS text, (SELECT count(*) FROM p WHERE p.rid = m.rid AND level > 0) AS n_quoted,
-               coalesce(n_linked, 0) AS n_linked, parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0) AS depth
+               coalesce(n_linked, 0) AS n_linked, parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0) AS depth,
+               CASE WHEN m.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root, m.turn) NULLS LAST, m.turn NULLS LAST) END AS position
         FROM m JOIN own USING (rid) LEFT JOIN counts USING (rid)
         LEFT JOIN up ON up.conv_id IS NOT DISTINCT FROM m.conv_id AND up.turn = m.turn
         LEFT JOIN roots ON roots.conv_id IS NOT DISTINCT FROM m.conv_id AND roots.turn = m.turn""",
