@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,8 @@ PERCENT = 80
 DEVIATIONS = 6.0
 #: Members outside a band's largest component that may meet all its members at once: of MinHash bands, of rare shingles.
 FEW, MINOR = 2, 16
-#: Documents of either side of a block.
-STRANGERS, EVERYBODY = 256, 1024
+#: Documents of either side of a block, and shingles of all of them, on average: blocks are as many as both call for.
+STRANGERS, EVERYBODY, SHINGLES = 256, 1024, 1 << 21
 #: Counters of shingles' rarity; 4 MB.
 COUNTERS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -181,10 +182,14 @@ class Confirm:
         same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         likely = self.scratch.save(near.where(same >= self.same).select("a", "b", "na", "nb"))
         # the texts of these pairs only are read again; a small list of them is broadcast, by Spark's own size check
-        ids = self.scratch.save(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        ids = self.scratch.save(likely.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")))
         full = self.scratch.save(full_sets(self.docs.join(ids, "id", "left_semi"), self.size))
-        one, two = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in ("a", "b"))
-        seen = likely.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
+        # the set of the one with more pairs comes last, so that it isn't moved with each of them
+        one, two = (ids.select(F.col("id").alias(x), F.col("pairs").alias(f"p{x}")) for x in ("a", "b"))
+        turned = F.col("pa") > F.col("pb")
+        met = likely.join(one, "a").join(two, "b").withColumn("few", F.when(turned, F.col("b")).otherwise(F.col("a"))).withColumn("many", F.when(turned, F.col("a")).otherwise(F.col("b")))
+        one, two = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"w{x}")) for x in ("few", "many"))
+        seen = met.join(one, "few").join(two, "many").withColumn("both", F.size(F.array_intersect("wfew", "wmany")))
         out = self.scratch.save(seen.where(100 * F.col("both") >= self.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
         for old in (likely, ids, full):
             self.scratch.drop(old)
@@ -231,12 +236,13 @@ def prefixes(full: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         held("near", object)
         for batch in batches:
-            for i in range(batch.num_rows):
-                s = batch.column("shingles")[i].values.to_numpy()
-                n = len(s)
-                k = n - (n * percent + 99) // 100 + 1
-                rare = np.lexsort((s, shared.value[s % COUNTERS]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(s[rare]), pa.array([batch.column("id")[i].as_py()] * k, batch.schema.field("id").type), pa.array(np.full(k, n))], names=["band", "id", "n"])
+            sets = [x.values.to_numpy() for x in batch.column("shingles")]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            most = size - (size * percent + 99) // 100 + 1
+            rare = [s[np.lexsort((s, shared.value[s % COUNTERS]))[:k]] for s, k in zip(sets, most)]
+            of = np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+            bands = np.concatenate([np.zeros(0, np.int64), *rare])
+            yield pa.RecordBatch.from_arrays([pa.array(bands), batch.column("id").take(pa.array(of)), pa.array(size[of])], names=["band", "id", "n"])
 
     fields = [T.StructField("band", T.LongType()), full.schema["id"], T.StructField("n", T.LongType())]
     return full.mapInArrow(trimmed(run), T.StructType(fields))
@@ -307,19 +313,33 @@ def link_bands(member: DataFrame, confirm: Confirm, scratch: Scratch) -> DataFra
         dominated = F.col("minor") > MINOR
         pairs = pairs.union(known.meet(rows, known.outside(rows, state.where(~dominated))))
         groups = rows.join(state.where(dominated).select("band", "main"), "band")
-        strangers = scratch.save(groups.where("component <> main").select("main", "id").distinct())
-        everybody = scratch.save(groups.select("main", "id").distinct())
+        strangers = scratch.save(groups.where("component <> main").select("main", "id", "n").distinct())
+        everybody = scratch.save(groups.select("main", "id", "n").distinct())
         met = scratch.save(in_blocks(strangers, everybody, full, confirm.percent))
     known.merge(confirm(scratch.save(pairs.distinct())).union(met))
     return known.table
 
 
+def shared_counts(sets: list[np.ndarray], others):
+    """For each of `others`, how many elements it shares with each of `sets`; all are sorted and hold an element once. What
+    it takes is the size of the sets."""
+    size = [len(x) for x in sets]
+    every = np.concatenate([np.zeros(0, np.int64), *sets])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], np.repeat(np.arange(len(sets)), size)[order]
+    for s in others:
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        yield np.bincount(of[at], minlength=len(sets))
+
+
 def in_blocks(strangers: DataFrame, everybody: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the strangers of a group (main, id) and everybody of it. Both are dealt into blocks of bounded size that meet in a task of their own, so that no pair that is no link
-    becomes a row."""
+    """Links (a, b) between the strangers of a group (main, id, n) and everybody of it. Both are dealt into blocks of bounded
+    size, in documents and in shingles, that meet in a task of their own, so that no pair that is no link becomes a row."""
     def dealt(side, most):
-        sizes = side.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-        return side, sizes
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / SHINGLES)).cast("int")
+        return side.select("main", "id"), side.groupBy("main").agg(blocks.alias("blocks"))
 
     (left, of_left), (right, of_right) = dealt(strangers, STRANGERS), dealt(everybody, EVERYBODY)
     both = of_left.withColumnRenamed("blocks", "lb").join(of_right.withColumnRenamed("blocks", "rb"), "main")
@@ -333,18 +353,13 @@ def in_blocks(strangers: DataFrame, everybody: DataFrame, full: DataFrame, perce
         out_a, out_b = [], []
         if a.num_rows and b.num_rows:
             ids, sets = a.column("id").to_pylist(), [x.values.to_numpy() for x in a.column("shingles")]
-            vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
             size = np.array([len(x) for x in sets])
-            has = np.zeros((len(vocabulary), len(sets)), dtype=np.uint8)
-            has[at, np.repeat(np.arange(len(sets)), size)] = 1
-            for other, x in zip(b.column("id_"), b.column("shingles_")):
-                s = x.values.to_numpy()
-                i = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-                n = has[i[vocabulary[i] == s]].sum(axis=0, dtype=np.int64)
-                for k in np.flatnonzero(100 * n >= percent * (size + len(s) - n)):
-                    if ids[k] != other.as_py():
+            others = (x.values.to_numpy() for x in b.column("shingles_"))
+            for other, m, n in zip(b.column("id_").to_pylist(), pc.list_value_length(b.column("shingles_")).to_pylist(), shared_counts(sets, others)):
+                for k in np.flatnonzero(100 * n >= percent * (size + m - n)):
+                    if ids[k] != other:
                         out_a.append(ids[k])
-                        out_b.append(other.as_py())
+                        out_b.append(other)
         return pa.table({"x": pa.array(out_a, a.schema.field("id").type), "y": pa.array(out_b, a.schema.field("id").type)})
 
     key = ["main", "l", "r"]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -81,3 +82,20 @@ def test_word_hashes_follow_words():
     assert hashes[0] == hashes[2] == hashes[5] == hashes[6] and len({*hashes.tolist()}) == 6
     again, _ = word_hashes(pa.array(["zz", *texts]).slice(1))
     assert again.tolist() == hashes.tolist()
+
+
+def test_blocks_of_long_texts_need_little_memory():
+    """256 sets of 20,000 shingles in a block: what is shared is counted in the size of the sets."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 1 << 62, 20_000)) for _ in range(256)]
+    others = [np.unique(np.concatenate([sets[k][:15_000], sets[k + 1][:100], r.integers(0, 1 << 62, 3_000)])) for k in range(4)]
+    tracemalloc.start()
+    found = list(N.shared_counts(sets, others))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    for n, other in zip(found, others):
+        assert n.tolist() == [len(np.intersect1d(x, other)) for x in sets]
+    assert list(N.shared_counts([np.zeros(0, np.int64)], [sets[0]]))[0].tolist() == [0]
