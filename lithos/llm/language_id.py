@@ -8,7 +8,6 @@ that run through the automata side by side, so that numpy steps many segments at
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 
 import numpy as np
@@ -25,7 +24,8 @@ SAMPLE_DOCS, SAMPLE_WINDOW, SAMPLE_CHARS = 200, 1024, 32_768
 MOST_LANGUAGES = 1000
 #: Characters parsed at a stretch; of that many segments at once.
 SEGMENT, LANES = 256, 8_192
-FAIL = 1 << 30
+#: Parts into which a language's rows are dealt before its lowest are taken; places of an automaton for each transition.
+DEALT, PLACES = 256, 4
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -58,8 +58,46 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return following
 
 
+class Automaton:
+    """A suffix automaton in flat arrays: the transition of state s on class c stands at base[s] + c, if check says s there.
+    Rows of states interleave, so that the arrays grow with the number of transitions and not with the alphabet."""
+
+    def __init__(self, following: list[dict[int, int]], width: int):
+        n = len(following)
+        rows = [sorted((c, to) for c, to in x.items() if c) for x in following]  # class 0 matches nothing
+        wide_first = sorted(range(n), key=lambda s: -len(rows[s]))
+        state = np.array([s for s in wide_first for _ in rows[s]], dtype=np.int32)
+        code, to = np.array([x for s in wide_first for x in rows[s]], dtype=np.int32).reshape(-1, 2).T
+        size = PLACES * len(state) + 2 * width + 1
+        self.base, self.check, self.to = np.zeros(n + 1, dtype=np.int32), np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        r = np.random.default_rng(n)
+        left = np.arange(len(state))
+        while len(left):  # rows take random places; those that meet a taken one, or a wider row's, try again
+            bases = r.integers(0, size - width, n + 1, dtype=np.int32)
+            place = bases[state[left]] + code[left]
+            first = np.zeros(len(left), dtype=bool)
+            first[np.unique(place, return_index=True)[1]] = True
+            good = np.ones(n, dtype=bool)
+            good[state[left][~first | (self.check[place] >= 0)]] = False
+            done = good[state[left]]
+            at = left[done]
+            self.base[state[at]] = bases[state[at]]
+            self.check[place[done]], self.to[place[done]] = state[at], to[at]
+            left = left[~done]
+        #: Where a phrase stands after its first character; state n, without transitions, for one that occurs nowhere.
+        self.start = n
+        self.first = np.full(width, n, dtype=np.int32)
+        self.first[[c for c, _ in rows[0]]] = [x for _, x in rows[0]]
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more character each, and whether a phrase begins with it."""
+        at = self.base.take(state) + code
+        fresh = self.check.take(at) != state
+        return np.where(fresh, self.first.take(code), self.to.take(at)), fresh
+
+
 class Model:
-    """The languages' automata as flat tables over classes of characters.
+    """The languages' automata over classes of characters.
 
     Class 0 stands for letters that no sample has and for the seams between sampled windows: nothing matches it. Class 1
     stands for all that isn't a letter.
@@ -72,29 +110,15 @@ class Model:
         self.classes = np.zeros(0x110000, dtype=np.int32)
         self.classes[: 0x110000] = [0 if unicodedata.category(chr(c))[0] == "L" else 1 for c in range(0x110000)]
         self.classes[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        self.width = len(letters) + 2
-        self.tables, self.cost = [], []
+        self.automata, self.cost = [], []
         for language in self.languages:
             symbols = [s for x in folded[language] for s in [*self.codes(x).tolist(), 0]]
-            self.tables.append(self.table(suffix_automaton(symbols)))
+            self.automata.append(Automaton(suffix_automaton(symbols), len(letters) + 2))
             self.cost.append(np.log2(max(2, len(symbols))))
 
     def codes(self, text: str) -> np.ndarray:
         return self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
 
-    def table(self, following: list[dict[int, int]]) -> np.ndarray:
-        """Offset of the next state's row; with FAIL set where a phrase begins at this character. The last row stands for
-        the begin of a text and for what follows a character that occurs nowhere and is a phrase of its own."""
-        w, n = self.width, len(following)
-        out = np.full((n + 1, w), FAIL | n * w, dtype=np.int32)
-        for c, to in following[0].items():
-            out[:, c] = FAIL | to * w
-        at = np.repeat(np.arange(n), [len(x) for x in following])
-        out[at, [c for x in following for c in x]] = [to * w for x in following for to in x.values()]
-        out[0] = out[n]
-        out[:, 0] = FAIL | n * w
-        return out.ravel()
-
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text (row) takes in each language (column)."""
         parts = [self.codes(x.lower()) for x in texts]
@@ -111,15 +135,14 @@ class Model:
             lanes = order[lo : lo + LANES]
             active = np.searchsorted(-lengths[lanes], -np.arange(SEGMENT), side="left")
             grid = flat[begins[lanes][None, :] + np.arange(SEGMENT)[:, None]]
-            for k, table in enumerate(self.tables):
-                state = np.full(len(lanes), len(table) - self.width, dtype=np.int32)
+            for k, automaton in enumerate(self.automata):
+                state = np.full(len(lanes), automaton.start, dtype=np.int32)
                 count = np.zeros(len(lanes), dtype=np.int32)
                 for row, n in zip(grid, active):
                     if not n:
                         break
-                    step = table.take(state[:n] + row[:n])
-                    count[:n] += step >> 30
-                    state[:n] = step & (FAIL - 1)
+                    state[:n], fresh = automaton.step(state[:n], row[:n])
+                    count[:n] += fresh
                 out[:, k] += np.bincount(of[lanes], weights=count, minlength=len(texts)).astype(np.int64)
         return out
 
@@ -137,27 +160,29 @@ class Model:
         return [self.languages[i] for i in best], np.clip(score, 0, 1).tolist()
 
 
-def model_of(samples: dict[str, list[str]]) -> Model:
-    """The model of these samples, built once in a process."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "replace")).hexdigest()
-    return held(("language", key), lambda: Model(samples))
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text leaves 1 when divided by 3. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def lowest(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first `n` rows of each lang, with their rank."""
+    for keys in (["lang", F.pmod(F.xxhash64(*order), F.lit(DEALT))], ["lang"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    return rows
+
+
 def language_samples(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs: int = SAMPLE_DOCS, window: int = SAMPLE_WINDOW, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Bounded samples: of each language the `docs` documents whose ids hash lowest, a seeded window from each, `chars`
-    characters in all. Ids are ranked before any text is read; the second ranking bounds repeated ids."""
+    characters in all. Ids are ranked before any text is read; the second ranking bounds repeated ids. Both rank within DEALT
+    parts of a language first, so that no task sees more than these parts' lowest."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.xxhash64(F.lit(5), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("rank") <= docs)
+    chosen = lowest(rows.select("id", "lang"), [place, F.col("id")], docs)
     texts = rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
     begin = F.pmod(F.xxhash64(F.lit(6), "id"), F.greatest(F.lit(1), F.length("text") - window)) + 1
     cut = texts.select("lang", place.alias("place"), F.col("text").substr(begin.cast("int"), F.lit(window)).alias("part"))
-    bounded = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "part"))).where(F.col("rank") <= docs)
+    bounded = lowest(cut, [F.col("place"), F.col("part")], docs)
     samples: dict[str, list[str]] = {}
     for row in bounded.limit(MOST_LANGUAGES * docs + 1).toLocalIterator():
         samples.setdefault(row.lang, []).append((row.rank, row.part))
@@ -188,11 +213,12 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
     for_python(spark)
     rows = docs.drop("lang_pred", "score")
     carried = [c for c in rows.columns]
-    shared = spark.sparkContext.broadcast(samples)
+    shared = spark.sparkContext.broadcast(Model(samples) if samples else None)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        model = model_of(shared.value) if shared.value else None
+        held("language", object)
+        model = shared.value
         for batch in batches:
             texts, letters = batch.column("__text").to_pylist(), batch.column("__letters").to_pylist()
             at = [i for i, ok in enumerate(letters) if ok and model]

@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import lithos.llm.language_id as L
 from lithos.llm.language_id import Model, identify, language_id, language_samples
 
 SF = "/root/testdata/sf0.01"
@@ -43,3 +45,36 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, schema)
     assert {r.lang_pred for r in identify(docs, {}).collect()} == {"und"}
     assert set(language_samples(docs)) == {"en", "fr"}
+
+
+def longest_matches(text, sample):
+    """Phrases of the greedy parse, by search; letters that the sample doesn't have match nothing."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def test_phrases_against_search():
+    r = random.Random(4)
+    for alphabet in ("abc ", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))):
+        samples = {k: ["".join(r.choice(alphabet) for _ in range(600))] for k in "xyz"}
+        model = L.Model(samples)
+        texts = ["".join(r.choice(alphabet + "q") for _ in range(r.randint(1, L.SEGMENT))) for _ in range(60)]
+        found = model.phrases(texts)
+        for t, row in zip(texts, found):
+            assert row.tolist() == [longest_matches(t, samples[k][0]) for k in "xyz"]
+
+
+def test_wide_alphabets_need_little_memory():
+    """Samples with 20,000 letters beside ten languages with few: arrays grow with transitions, not with letters."""
+    r = random.Random(5)
+    wide = [chr(0x4E00 + i) for i in range(20_000)]
+    samples = {"wide": ["".join(r.sample(wide, 20_000)), "".join(r.choice(wide) for _ in range(12_000))]}
+    samples |= {f"l{k}": ["".join(r.choice("etaoin shrdlu") for _ in range(2000))] for k in range(10)}
+    model = L.Model(samples)
+    assert sum(x.nbytes for a in model.automata for x in (a.base, a.check, a.to, a.first)) < 50e6
+    assert model.predict([samples["wide"][0][:300], samples["l3"][0][100:900]])[0] == ["wide", "l3"]
