@@ -14,7 +14,7 @@ from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
 from lithos.llm.quotation import link_quotations, with_planted_quotes
-from lithos.llm.token_counts import token_counts, vocabulary
+from lithos.llm.token_counts import falls_back, token_counts, vocabulary
 from lithos.llm.warc import audit_pages
 
 #: The tokenizer file of the encoding queries.
@@ -28,8 +28,8 @@ def op1_quotation_linking(spark, sf_dir):
 
 
 def op2_token_counts(spark, sf_dir):
-    pieces = vocabulary(public_tokenizers.path(PIECES))
-    return token_counts(documents(spark, sf_dir).select("doc_id", "text"), pieces).drop("text")
+    path = public_tokenizers.path(PIECES)
+    return token_counts(documents(spark, sf_dir).select("doc_id", "text"), vocabulary(path), byte_fallback=falls_back(path), keep_text=False)
 
 
 def op3_exact_dedup(spark, sf_dir):

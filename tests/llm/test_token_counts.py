@@ -1,29 +1,39 @@
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import lithos.llm.token_counts as T
 
 
-def library(pieces):
-    t = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces], 0, False))
-    t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
+def library(pieces, byte_fallback=False):
+    """The Unigram model of the library over whole texts, with spaces marked."""
+    some = [(f"<0x{i:02X}>", 0.0) for i in range(256)] if byte_fallback else []
+    t = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces, *some], 0, byte_fallback))
+    t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", False)
     return t
 
 
-def test_real_vocabulary():
-    pieces = T.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    ours, theirs, r = T.Counter(pieces), library(pieces), random.Random(2)
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_real_vocabulary(byte_fallback):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert T.falls_back(path)
+    pieces = T.vocabulary(path)
+    ours, theirs, r = T.Counter(pieces, byte_fallback), library(pieces, byte_fallback), random.Random(2)
+    assert ours.apart and T.units("a    b ▁c") == ["a", "▁▁▁b", "▁c"]
+    texts = ["a    b      c def main():\n        return  x", "   ", "  x", " x", "x  "]
     for _ in range(400):
-        x = "".join(r.choice(["the", "a", " ", "  ", "\n", "é", "日", "ing", "😀", "\t", "xq", "▁", "of"]) for _ in range(r.randint(0, 30)))
+        texts.append("".join(r.choice(["the", "a", " ", "  ", "     ", "\n", "é", "日", "ing", "😀", "\t", "xq", "▁", "of", "\U00012345"]) for _ in range(r.randint(0, 30))))
+    for x in texts:
         assert ours.counts([x])[0][0] == len(theirs.encode(x, add_special_tokens=False).ids), x
 
 
 def test_ties_of_small_vocabularies():
     r = random.Random(7)
-    for _ in range(150):
-        pieces = list(dict([("▁", -1.0)] + [("".join(r.choice("ab▁"[:2]) for _ in range(r.randint(1, 4))), r.choice([-1.0, -2.0, -0.5, -3.0])) for _ in range(r.randint(1, 8))]).items())
+    for k in range(150):
+        letters = "ab▁"[: 2 + k % 2]  # with every other vocabulary, pieces go on from words into spaces
+        pieces = list(dict([("▁", -1.0)] + [("".join(r.choice(letters) for _ in range(r.randint(1, 4))), r.choice([-1.0, -2.0, -0.5, -3.0])) for _ in range(r.randint(1, 8))]).items())
         ours, theirs = T.Counter(pieces), library(pieces)
         for _ in range(10):
             x = "".join(r.choice("abc ") for _ in range(r.randint(0, 15)))
