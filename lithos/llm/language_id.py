@@ -204,17 +204,17 @@ def lettered(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """`docs` with two more columns, lang_pred and score, in place of columns of these names.
+def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """`docs` with two more columns, `pred_col` and `score_col`, in place of columns of these names.
 
     `und` with score 0 for a null or empty text, one without a letter, and every text where there are no samples.
     """
     spark = docs.sparkSession
     for_python(spark)
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(pred_col, score_col)
     carried = [c for c in rows.columns]
     shared = spark.sparkContext.broadcast(Model(samples) if samples else None)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         held("language", object)
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
                         said[j], scores[j] = x, s
                     begin, chars = k, 0
             kept = [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*carried, pred_col, score_col])
 
     text = F.col(text_col)
     return rows.select("*", text.alias("__text"), lettered(text).alias("__letters")).mapInArrow(trimmed(run), schema)
