@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lithos.llm.common import Scratch, word_count
 
-#: The flow runs on the driver over one row a membership pattern; more of them are refused.
+#: The flow runs on the driver over one row a membership pattern; more of them are refused, because these rows, a few words
+#: each, are all that the driver holds. Patterns and sources that overlap with no others cost a step each.
 MOST_PATTERNS = 100_000
 SEED = "mix-1"
 #: Digits of the seeded order (hexadecimal) that one histogram resolves, and of the whole order.
@@ -40,7 +41,33 @@ def weighted_targets(sizes: dict, weights: dict, total: float, most: float) -> d
 
 
 def route(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, int]:
-    """Words that each pattern gives: a min-cost flow from patterns to the sources that they belong to.
+    """Words that each pattern gives: a min-cost flow from patterns to the sources that they belong to, each group of
+    overlapping sources on its own."""
+    up = {s: s for s in quota}
+
+    def top(s):
+        while up[s] != s:
+            up[s] = up[up[s]]
+            s = up[s]
+        return s
+
+    for p in capacity:
+        for s in p[1:]:
+            up[top(s)] = top(p[0])
+    groups: dict = {}
+    for p in capacity:
+        groups.setdefault(top(p[0]), []).append(p)
+    out = {}
+    for some in groups.values():
+        if len(some) == 1 and len(some[0]) == 1:
+            out[some[0]] = min(copies * capacity[some[0]], quota[some[0][0]])
+        else:
+            out |= flow({p: capacity[p] for p in some}, {s: quota[s] for p in some for s in p}, copies)
+    return out
+
+
+def flow(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, int]:
+    """The flow of one group.
 
     The k-th time that a pattern's words are taken costs 2k + 1 a word: successive shortest paths over the arcs
     start -> pattern (one for each copy), pattern -> source, source -> end.
@@ -85,20 +112,21 @@ def route(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, i
         while a:
             path.append(via[a])
             a = arcs[via[a] ^ 1][0]
-        flow = min(arcs[i][1] for i in path)
+        more = min(arcs[i][1] for i in path)
         for i in path:
-            arcs[i][1] -= flow
-            arcs[i ^ 1][1] += flow
+            arcs[i][1] -= more
+            arcs[i ^ 1][1] += more
     return {p: sum(arcs[i ^ 1][1] for i in taken[p]) for p in patterns}
 
 
 def cuts(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     """For each pattern the place in the seeded order where its quota is reached: the place of the last document taken
-    (`cut`), or null if none is. Each round resolves STEP more digits, over the documents of the boundary bin only."""
+    (`cut`), or null if none is. Each round resolves STEP more digits, over the documents of the boundary bin only: the
+    window of a pattern has 16 ** STEP bins at most, whatever the number of its documents."""
     scratch = Scratch(rows.sparkSession, "cuts")
     known = quotas.select("pattern", F.col("rest").alias("left"), F.lit("").alias("prefix"))
     for depth in range(0, DIGITS, STEP):
-        found = F.broadcast(known.select("pattern", "left", "prefix"))
+        found = known.select("pattern", "left", "prefix")
         inside = rows.join(found, "pattern").where(F.col("place").startswith(F.col("prefix")))
         bins = inside.groupBy("pattern", F.substring("place", 1, depth + STEP).alias("bin")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("pattern").orderBy("bin")
@@ -110,7 +138,7 @@ def cuts(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     return known
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = SEED, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of `docs` (doc_id, text, source).
 
     A size is a number of words; a null text has none. Sources rank by code point, null last, and take `weights` in
@@ -122,19 +150,19 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: i
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     member = F.array("source")
-    return mix_patterns(sized.withColumn("pattern", member), weights, share, most, seed)
+    return mix_patterns(sized.withColumn("pattern", member), weights, share, most, seed, most_patterns)
 
 
-def mix_patterns(sized: DataFrame, weights: tuple, share: float, most: int, seed: str) -> DataFrame:
+def mix_patterns(sized: DataFrame, weights: tuple, share: float, most: int, seed: str, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """mix() for rows (doc_id, size, pattern): pattern is the sorted array of the sources that a document belongs to.
     source_size and target are sums over the sources of the pattern."""
     spark = sized.sparkSession
     scratch = Scratch(spark, "mix")
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
     rows = scratch.save(sized.select("doc_id", "size", "pattern", F.substring(F.md5(key), 1, DIGITS).alias("place")))
-    groups = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(groups) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    groups = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()
+    if len(groups) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns")
     capacity = {tuple(g.pattern): g.size for g in groups}
     sizes: dict = {}
     for p, n in capacity.items():
@@ -155,7 +183,7 @@ def mix_patterns(sized: DataFrame, weights: tuple, share: float, most: int, seed
     decided = plan.join(cut.select("pattern", "left", "words", F.col("prefix").alias("cut")), "pattern", "left")
     extra = (F.col("rest") > 0) & ((F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & (2 * F.col("left") >= F.col("words"))))
     times = F.col("full") + F.when(extra, 1).otherwise(0)
-    out = rows.join(F.broadcast(decided), "pattern")
+    out = rows.join(decided, "pattern")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "pattern")
 
 

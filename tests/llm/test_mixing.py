@@ -1,5 +1,9 @@
+import itertools
+import random
+
 import pytest
 
+import lithos.llm.mixing as M
 from lithos.llm.mixing import mix, mix_patterns, route, weighted_targets
 
 SCHEMA = "doc_id long, text string, source string"
@@ -50,3 +54,39 @@ def test_overlapping_sources(spark):
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, None, 5, "x")], SCHEMA + ", size int, pattern string")
     assert mix(df).first().taken == 0 and mix(df.limit(0)).collect() == []
+
+
+def best_flow(capacity, quota, copies):
+    """The least cost of a largest flow, over all flows."""
+    arcs = [(p, s) for p in capacity for s in p]
+    best = None
+    for amounts in itertools.product(*(range(copies * capacity[p] + 1) for p, _ in arcs)):
+        given, got = dict.fromkeys(capacity, 0), dict.fromkeys(quota, 0)
+        for (p, s), n in zip(arcs, amounts):
+            given[p] += n
+            got[s] += n
+        if all(given[p] <= copies * capacity[p] for p in capacity) and all(got[s] <= quota[s] for s in quota):
+            found = -sum(amounts), cost_of(given, capacity, copies)
+            best = found if best is None or found < best else best
+    return best
+
+
+def cost_of(given, capacity, copies):
+    return sum((2 * k + 1) * max(0, min(capacity[p], given[p] - k * capacity[p])) for p in capacity for k in range(copies))
+
+
+def test_route_against_all_flows():
+    r = random.Random(8)
+    for _ in range(60):
+        sources = "abc"[: r.randint(1, 3)]
+        patterns = {tuple(sorted(r.sample(sources, r.randint(1, min(2, len(sources)))))) for _ in range(r.randint(1, 3))}
+        capacity = {p: r.randint(0, 2) for p in patterns}
+        quota = {s: r.randint(0, 5) for p in patterns for s in p}
+        given = M.route(capacity, quota, 2)
+        assert (-sum(given.values()), cost_of(given, capacity, 2)) == best_flow(capacity, quota, 2)
+
+
+def test_many_sources_that_do_not_overlap():
+    capacity = {(f"s{i}",): i for i in range(50_000)}
+    given = M.route(capacity, {s: 3 for (s,) in capacity}, 2)
+    assert all(n == min(2 * i, 3) for i, n in enumerate(given.values()))
