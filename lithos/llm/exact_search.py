@@ -3,7 +3,8 @@
 Vectors are cut into segments, coarse to fine. The means and deviations of two vectors' segments bound their distance from
 below, d^2 >= sum of width * ((mean - mean')^2 + (deviation - deviation')^2), and so their inner product
 (|q|^2 + |v|^2 - d^2) / 2 from above. Candidates that some level rules out against a query's k-th best score so far are
-dropped; the survivors of the finest level get exact scores. Queries and candidates meet in blocks of bounded size.
+dropped; the survivors of the finest level get exact scores. Queries and candidates meet in blocks of bounded size. A first
+block of candidates gives each query a k-th best score to begin with, so that the others return what may still be better.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([p.mean(axis=1) * r for p, r in zip(parts, root)] + [p.std(axis=1) * r for p, r in zip(parts, root)], axis=1)
 
 
-def block_best(query_ids, queries: np.ndarray, ids, vectors: np.ndarray, id_order: np.ndarray, k: int):
-    """(query row, candidate row, score) of each query's k best of this block; ties to the first in `id_order`."""
+def block_best(query_ids, queries: np.ndarray, ids, vectors: np.ndarray, id_order: np.ndarray, k: int, known: np.ndarray | None = None):
+    """(query row, candidate row, score) of each query's k best of this block; ties to the first in `id_order`. What lies below
+    the score `known` of a query is left out."""
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
     if exact >= 2.0**63:
         raise ArithmeticError("scores don't fit 64 bits")
@@ -48,11 +50,13 @@ def block_best(query_ids, queries: np.ndarray, ids, vectors: np.ndarray, id_orde
     place[id_order] = np.arange(len(ids))
     slack = 1e-9 * (1 + np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1)).max(initial=0))
     wq, wv = queries.astype(whole), vectors.astype(whole)
-    seed = min(len(ids), 16 * k)
+    known = np.full(len(q), -np.inf) if known is None else known
+    seed = 0 if np.isfinite(known).all() else min(len(ids), 16 * k)
     out_q, out_v, out_s = [], [], []
     start = (wq @ wv[:seed].T).astype(np.float64)
     start[query_ids[:, None] == ids[None, :seed]] = -np.inf
     floor = np.partition(start, max(0, seed - k), axis=1)[:, max(0, seed - k)] if seed >= k else np.full(len(q), -np.inf)
+    floor = np.maximum(floor, known)
     for lo in range(0, len(ids), 512):
         hi = min(lo + 512, len(ids))
         a = b = None
@@ -100,7 +104,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     left = rows.select("dim", chunk.alias("chunk"), spread(blocks).alias("block"), "id", "v")
-    right = asked.select("dim", spread(chunks).alias("chunk"), block.alias("block"), "id", "v")
+
+    def meeting(queries: DataFrame, first: int, last: int) -> DataFrame:
+        """What the blocks of candidates from `first` to `last` find."""
+        right = queries.select("dim", F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<long>")).alias("chunk"), block.alias("block"), "id", "v", "known")
+        key = ["dim", "chunk", "block"]
+        some = left.where(F.col("chunk").between(first, last))
+        return some.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long")
 
     def search(key, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -116,10 +126,15 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
         if None in ids:  # no query has a null id: these take the place of an id that isn't asked here
             free = next(x for x in range(len(asked_ids) + 1) if x not in set(asked_ids.tolist()))
             names[[i for i, x in enumerate(ids) if x is None]] = free
-        a, b, s = block_best(asked_ids, matrix(queries), names, matrix(candidates), np.array(order), k)
+        known = queries.column("known").to_numpy()
+        a, b, s = block_best(asked_ids, matrix(queries), names, matrix(candidates), np.array(order), k, np.where(np.isnan(known), -np.inf, known))
         return pa.table({"query_id": pa.array(asked_ids[a]), "vec_id": pa.array([ids[i] for i in b], pa.int64()), "score": pa.array(s)})
 
-    key = ["dim", "chunk", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long")
+    found = meeting(asked.withColumn("known", F.lit(None).cast("double")), 0, 0)
+    if chunks > 1:
+        found = scratch.save(found)
+        floors = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        floors = floors.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).cast("double").alias("known"))
+        found = found.union(meeting(scratch.save(asked.join(floors, "id", "left")), 1, chunks - 1))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
