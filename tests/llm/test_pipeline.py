@@ -77,3 +77,13 @@ def test_null_and_repeated_ids(spark):
         k = x.doc_id, len(x.text.split()), x.source
         found[k] = found.get(k, 0) + 1
     assert found == {k: n for k, n in wanted.items() if n}
+
+
+def test_clashing_columns(spark):
+    extra = ", size int, taken string, score int, lang_pred string, pattern string, kept boolean, component_id string, keep_id string, ids string, n_tokens string, __x int"
+    row = (7, "x", 7, "x", "x", None, "x", "x", "x", "x", 7)
+    docs = spark.createDataFrame([(i, f"text number {w} in words", "en", "s", 0, *row) for i, w in enumerate("one two three".split())], SCHEMA + extra)
+    for _, f in C.STAGES[:-1]:
+        docs = Scratch(spark, "test").save(f(spark, docs, None))
+        assert {tuple(r)[5:] for r in docs.collect()} == {row}
+    assert C.encode(spark, docs, None).count() == docs.count()
