@@ -35,7 +35,8 @@ def keep_language(spark, docs, sf_dir):
     samples = language_samples(docs)
     if not samples:
         return docs.where(lettered(F.col("text")))
-    return identify(docs, samples).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    told = identify(docs, samples, pred_col="__lang_pred", score_col="__score")
+    return told.where(F.col("__lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def drop_copies(spark, docs, sf_dir):
@@ -66,8 +67,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode(spark, docs, sf_dir):
-    """Ids of every document's whole text, with the text's columns dropped but for its id, language and source."""
-    return bpe_encode(docs, public_tokenizers.path(WORD_BPE)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Ids of every document's whole text, with the text's columns dropped but for its id, language and source. The copies that
+    the mix makes of a document stand side by side, and equal texts of a batch are encoded once."""
+    return bpe_encode(docs, public_tokenizers.path(WORD_BPE), keep_text=False).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list = [
