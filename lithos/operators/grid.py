@@ -255,7 +255,8 @@ def adjacency(regions: DataFrame) -> DataFrame:
 
 
 def centroids(regions: DataFrame, grid: Grid) -> DataFrame:
-    return regions.where("value IS NOT NULL").groupBy(F.col("value").alias("region")).agg(F.avg(grid.lat(F.col("lati"))).alias("lat"), F.avg(grid.lon(F.col("loni"))).alias("lon"))
+    """The place of the mean cell of each region; indices are averaged, which is exact, and scaled once."""
+    return regions.where("value IS NOT NULL").groupBy(F.col("value").alias("region")).agg(grid.lat(F.avg("lati")).alias("lat"), grid.lon(F.avg("loni")).alias("lon"))
 
 
 def areas(regions: DataFrame, grid: Grid) -> DataFrame:

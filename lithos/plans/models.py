@@ -23,11 +23,12 @@ def expr_tree_eval(spark, sf_dir):
     return rounded(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum(E.column(TREE)).alias("total")), 3)
 
 
-@query("""WITH m AS (SELECT unnest([1, 2, 3, 4]) - 1 AS dim, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings), c AS (SELECT dim, CAST(least(floor((x + 0.5) / 0.1::DOUBLE), 9) AS INTEGER) AS bin, count(*) AS cnt FROM m WHERE x BETWEEN -0.5 AND 0.5 GROUP BY ALL)
-    SELECT CAST(d AS INTEGER) AS dim, CAST(b AS INTEGER) AS bin, coalesce(cnt, 0) AS cnt FROM range(4) t(d) CROSS JOIN range(10) u(b) LEFT JOIN c ON c.dim = d AND c.bin = b""")
+@query("""WITH m AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT dim, CAST(least(floor((x + 0.5) / 0.1::DOUBLE), 9) AS INTEGER) AS bin, count(*) AS cnt FROM m WHERE x BETWEEN -0.5 AND 0.5 GROUP BY ALL)
+    SELECT CAST(d AS INTEGER) AS dim, CAST(b AS INTEGER) AS bin, coalesce(cnt, 0) AS cnt FROM (SELECT DISTINCT dim AS d FROM m) t CROSS JOIN range(10) u(b) LEFT JOIN c ON c.dim = d AND c.bin = b""")
 def density_marginal(spark, sf_dir):
-    models = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("params"))
-    return D.marginals(models, [(-0.5, 0.5)] * 4, 10).select("dim", "bin", "cnt")
+    models = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("params"))
+    dims = models.agg(F.max(F.size("params"))).first()[0] or 0
+    return D.marginals(models, [(-0.5, 0.5)] * dims, 10).select("dim", "bin", "cnt")
 
 
 @query()
@@ -41,13 +42,13 @@ def confidence_bounds(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT event_type AS rid, CAST(row_number() OVER (ORDER BY event_type) AS DOUBLE) AS k FROM events GROUP BY 1), ob AS (SELECT rid, -34.4::DOUBLE + k * 0.0625::DOUBLE AS lat, 150.1::DOUBLE + k * 0.125::DOUBLE AS lon FROM o),
-    s AS (SELECT user_id AS sid, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS t, event_type AS rid, avg(-value / 4) AS dbm, count(*) AS n FROM events WHERE user_id < 10 GROUP BY ALL),
+    s AS (SELECT user_id AS sid, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS t, event_type AS rid, avg(-value / 4) AS dbm, count(*) AS n FROM events GROUP BY ALL),
     c AS (SELECT i AS lati, j AS loni, -34.5::DOUBLE + (i + 0.5) * (1.5::DOUBLE / 8) AS clat, 150.0::DOUBLE + (j + 0.5) * (1.7::DOUBLE / 8) AS clon FROM range(8) a(i), range(8) b(j)),
     m AS (SELECT rid, lati, loni, -30.0::DOUBLE - 20 * log10(greatest(2 * 6372795.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(clat) - radians(lat)) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin((radians(clon) - radians(lon)) / 2), 2)))), 1)) AS ex FROM ob, c),
     j AS (SELECT sid, t, lati, loni, sum(n * (-0.5 * ((dbm - ex) / 6) * ((dbm - ex) / 6))) AS logp FROM s JOIN m USING (rid) GROUP BY ALL), x AS (SELECT *, max(logp) OVER (PARTITION BY sid, t) AS top FROM j)
     SELECT sid, t, CAST(lati AS INTEGER) AS lati, CAST(loni AS INTEGER) AS loni, round(exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY sid, t), 6) AS p FROM x""")
 def signal_pmf(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("user_id < 10")
+    events = table(spark, sf_dir, "events")
     obs = events.select(F.col("user_id").alias("sid"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("t"), F.col("event_type").alias("rid"), (-F.col("value") / 4).alias("dbm"))
     types = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
     observers = spark.createDataFrame([(x, -34.4 + k * 0.0625, 150.1 + k * 0.125, 0.0) for k, x in enumerate(types, 1)], "rid string, lat double, lon double, z double")

@@ -11,43 +11,42 @@ from lithos.plans import views as V
 from lithos.plans.registry import query
 from lithos.plans.views import FLOWS, rounded, table
 
-#: Edges between nations that trade with each other, as long as they trade rarely: whole numbers, so that sums are exact.
-EDGES = f"{FLOWS}, edges AS (SELECT r1 AS src, r2 AS dst, CAST(1 + (1000 // n) AS DOUBLE) AS w FROM flows WHERE r1 <> r2 AND (r1 * 7 + r2 * 3) % 5 < 2)"
-PATHS = f"""{EDGES}, walk(origin, node, dist, hops) AS (SELECT DISTINCT src, src, 0.0::DOUBLE, 0 FROM edges WHERE src < 5 UNION ALL
-    SELECT origin, e.dst, min(p.dist + e.w), p.hops + 1 FROM walk p JOIN edges e ON p.node = e.src WHERE p.hops < 8 GROUP BY origin, e.dst, p.hops), best AS (SELECT origin, node, min(dist) AS dist FROM walk GROUP BY ALL)"""
+#: Edges between nations that trade with each other: whole numbers, so that sums are exact.
+EDGES = f"{FLOWS}, edges AS (SELECT r1 AS src, r2 AS dst, CAST(1 + (1000 // n) AS DOUBLE) AS w FROM flows WHERE r1 <> r2)"
+PATHS = f"""{EDGES}, walk(origin, node, dist, hops) AS (SELECT DISTINCT src, src, 0.0::DOUBLE, 0 FROM edges UNION ALL
+    SELECT origin, e.dst, min(p.dist + e.w), p.hops + 1 FROM walk p JOIN edges e ON p.node = e.src WHERE p.hops < 24 GROUP BY origin, e.dst, p.hops), best AS (SELECT origin, node, min(dist) AS dist, arg_min(hops, (dist, hops)) AS hops FROM walk GROUP BY ALL)"""
 
 
-def _all_edges(spark, sf_dir):
+def _edges(spark, sf_dir):
     f = V.flows(spark, sf_dir).where("r1 <> r2")
     return f.select(F.col("r1").alias("src"), F.col("r2").alias("dst"), (1 + F.floor(F.lit(1000) / F.col("n"))).cast("double").alias("w"))
 
 
-def _edges(spark, sf_dir):
-    """The part of the edges that EDGES takes, for the queries whose SQL reads it."""
-    return _all_edges(spark, sf_dir).where("(src * 7 + dst * 3) % 5 < 2")
-
-
 @query(f"WITH RECURSIVE {PATHS} SELECT origin, node, dist FROM best")
 def shortest_paths(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    return N.shortest_paths(edges, edges.where("src < 5").select("src"), most=8).select("origin", "node", "dist")
+    return N.shortest_paths(edges, edges.select("src")).select("origin", "node", "dist")
 
 
 @query(f"WITH RECURSIVE {PATHS} SELECT a.origin, a.node AS dest, a.dist * 0.5 AS cost, b.dist * 0.5 AS back FROM best a LEFT JOIN best b ON a.origin = b.node AND a.node = b.origin")
 def cost_matrix(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    return N.cost_matrix(N.shortest_paths(edges, edges.where("src < 5").select("src"), most=8), 0.5)
+    return N.cost_matrix(N.shortest_paths(edges, edges.select("src")), 0.5)
 
 
-@query()
+@query(f"WITH RECURSIVE {PATHS} SELECT origin, hops, count(*) AS nodes, max(dist) AS farthest FROM best GROUP BY ALL")
 def path_lengths(spark, sf_dir):
-    edges = _all_edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     return N.shortest_paths(edges, edges.select("src")).groupBy("origin", "hops").agg(F.count(F.lit(1)).alias("nodes"), F.max("dist").alias("farthest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PATHS}, prev AS (SELECT b.origin, b.node, min(e.src) AS prev FROM best b JOIN best a ON a.origin = b.origin JOIN edges e ON e.src = a.node AND e.dst = b.node
+        WHERE a.dist + e.w = b.dist AND a.hops + 1 = b.hops GROUP BY ALL),
+    climb AS (SELECT r1 AS origin, r2 AS node, n FROM flows UNION ALL SELECT c.origin, p.prev, c.n FROM climb c JOIN prev p ON p.origin = c.origin AND p.node = c.node)
+    SELECT p.prev AS src, p.node AS dst, sum(c.n)::DOUBLE AS trips, any_value(e.w) AS w, sum(c.n)::DOUBLE * any_value(e.w) AS work
+    FROM climb c JOIN prev p ON p.origin = c.origin AND p.node = c.node JOIN edges e ON e.src = p.prev AND e.dst = p.node GROUP BY ALL""")
 def edge_loads(spark, sf_dir):
-    edges = _all_edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     paths = N.shortest_paths(edges, edges.select("src"))
     trips = V.flows(spark, sf_dir).select(F.col("r1").alias("origin"), F.col("r2").alias("dest"), F.col("n").alias("trips"))
     return N.edge_loads(paths, trips, edges)
@@ -56,7 +55,7 @@ def edge_loads(spark, sf_dir):
 @query()
 def amalgamated_zones(spark, sf_dir):
     zones = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone")).agg(F.count(F.lit(1)).alias("cnt"), F.lit(1.0).alias("area"), F.avg("c_acctbal").alias("value"))
-    links = _all_edges(spark, sf_dir).select("src", "dst")
+    links = _edges(spark, sf_dir).select("src", "dst")
     return N.amalgamated(zones, links.union(links.select("dst", "src")), 150, 5.0)
 
 

@@ -119,9 +119,9 @@ def adjacency(spark, sf_dir):
     return G.adjacency(V.regions(spark, sf_dir))
 
 
-@query(f"WITH {REGIONS} SELECT value AS region, round(avg(-34.5::DOUBLE + (lati + 0.5) * (1.5::DOUBLE / 40)), 6) AS lat, round(avg(150.0::DOUBLE + (loni + 0.5) * (1.7::DOUBLE / 40)), 6) AS lon FROM regions GROUP BY 1")
+@query(f"WITH {REGIONS} SELECT value AS region, round(-34.5::DOUBLE + (avg(lati) + 0.5) * (1.5::DOUBLE / 40), 11) AS lat, round(150.0::DOUBLE + (avg(loni) + 0.5) * (1.7::DOUBLE / 40), 11) AS lon FROM regions GROUP BY 1")
 def centroids(spark, sf_dir):
-    return rounded(G.centroids(V.regions(spark, sf_dir), GRID))
+    return rounded(G.centroids(V.regions(spark, sf_dir), GRID), 11)
 
 
 @query(f"""WITH {REGIONS} SELECT value AS region, count(*) AS cells, round(count(*) * radians(1.5::DOUBLE / 40) * 6372.795::DOUBLE * radians(1.7::DOUBLE / 40) * 6372.795::DOUBLE * cos(radians(-33.75::DOUBLE)), 4) AS km2

@@ -88,7 +88,10 @@ def share_threshold(spark, sf_dir):
     return rounded(S.dominant_shares(S.shares(counts, "n", "p_brand"), "p_brand", "share", drop=0.01).select("p_brand", "p_type", "new_share"), 9)
 
 
-@query()
+@query("""WITH RECURSIVE it(k, lo, hi, m, s, n) AS (SELECT 0, min(l_extendedprice), max(l_extendedprice), avg(l_extendedprice), stddev_pop(l_extendedprice), count(l_extendedprice) FROM lineitem UNION ALL
+    SELECT it.k + 1, min(l_extendedprice), max(l_extendedprice), avg(l_extendedprice), stddev_pop(l_extendedprice), count(*) FROM it JOIN lineitem ON l_extendedprice BETWEEN it.lo AND it.hi AND abs(l_extendedprice - it.m) < 2 * it.s
+    GROUP BY it.k, it.n HAVING count(*) < it.n), last AS (SELECT arg_max(lo, k) AS lo, arg_max(hi, k) AS hi FROM it)
+    SELECT NOT l_extendedprice BETWEEN lo AND hi AS clipped, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem, last GROUP BY 1""")
 def sigma_clip_3(spark, sf_dir):
     flags = S.sigma_flags(table(spark, sf_dir, "lineitem"), "l_extendedprice", 2.0)
     return flags.groupBy("clipped").agg(F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
@@ -191,10 +194,13 @@ def pow_fit(spark, sf_dir):
     return _fit(spark, sf_dir, "pow")
 
 
-@query()
+@query("""WITH t AS (SELECT l_quantity::DOUBLE AS x, l_quantity::DOUBLE * l_quantity AS x2, l_extendedprice AS y FROM lineitem),
+    m AS (SELECT var_pop(x) AS uu, var_pop(x2) AS vv, covar_pop(x, x2) AS uv, covar_pop(x, y) AS uy, covar_pop(x2, y) AS vy, avg(x) AS mx, avg(x2) AS mx2, avg(y) AS my FROM t),
+    s AS (SELECT *, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS a, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b FROM m)
+    SELECT round(a, 4) AS a, round(b, 4) AS b, round(my - b * mx - a * mx2, 4) AS c FROM s""")
 def poly2_fit(spark, sf_dir):
     c = S.fit_polynomial(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 2)
-    return spark.createDataFrame([tuple(c)], "a double, b double, c double")
+    return rounded(spark.createDataFrame([tuple(c)], "a double, b double, c double"), 4)
 
 
 @query("""WITH t AS (SELECT sum(l_quantity) AS w FROM lineitem), v AS (SELECT l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1),
