@@ -35,7 +35,7 @@ def fit_variogram(sites: DataFrame, ident: str, value: str, metres: float, lags:
 
 def krige(points: DataFrame, sites: DataFrame, value: str, k: int, rng: float, sill: float, point_id: str = "id", site_id: str = "site") -> DataFrame:
     """Ordinary kriging of each point from its k nearest sites with a spherical variogram: point_id, estimate, variance.
-    Each point's system is of k + 1 equations and solved in one batch with others of its size."""
+    Each point's system is of k + 1 equations; systems of one size are solved as one stack."""
     near = nearest(points, sites, k, point_id, site_id).join(sites.select(site_id, "lat", "lon", value), site_id)
     packed = near.groupBy(point_id).agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "lat", "lon", F.col(value).cast("double").alias("v")))).alias("near"))
     rows = packed.select(point_id, *(part("near", c).cast("array<double>").alias(c) for c in ("dist", "lat", "lon", "v")))
@@ -47,18 +47,18 @@ def krige(points: DataFrame, sites: DataFrame, value: str, k: int, rng: float, s
     def solve(frames):
         import pandas as pd
 
+        half = lambda x: np.sin(x / 2) ** 2
         for pdf in frames:
-            out = []
-            for _, row in pdf.iterrows():
-                lat, lon, d = (np.radians(np.asarray(row["lat"])), np.radians(np.asarray(row["lon"])), np.asarray(row["dist"]))
-                half = lambda x: np.sin(x / 2) ** 2
-                h = half(lat[:, None] - lat[None, :]) + np.cos(lat)[:, None] * np.cos(lat)[None, :] * half(lon[:, None] - lon[None, :])
-                n = len(lat)
-                a, b = np.ones((n + 1, n + 1)), np.ones(n + 1)
-                a[:n, :n], a[n, n], b[:n] = gamma(2 * 6372795.0 * np.arcsin(np.sqrt(np.minimum(1, h)))), 0.0, gamma(d)
-                w = np.linalg.lstsq(a, b, rcond=None)[0]
-                out.append((row[point_id], float(w[:n] @ np.asarray(row["v"])), float(w @ b)))
-            yield pd.DataFrame(out, columns=[point_id, "estimate", "variance"])
+            out = [pd.DataFrame({point_id: pdf[point_id].iloc[:0], "estimate": [], "variance": []})]
+            for n, some in pdf.groupby(pdf["dist"].map(len)):
+                dist, lat, lon, v = (np.array(some[c].tolist(), dtype=float).reshape(-1, n) for c in ("dist", "lat", "lon", "v"))
+                lat, lon = np.radians(lat), np.radians(lon)
+                h = half(lat[:, :, None] - lat[:, None, :]) + np.cos(lat)[:, :, None] * np.cos(lat)[:, None, :] * half(lon[:, :, None] - lon[:, None, :])
+                a, b = np.ones((len(some), n + 1, n + 1)), np.ones((len(some), n + 1))
+                a[:, :n, :n], a[:, n, n], b[:, :n] = gamma(2 * 6372795.0 * np.arcsin(np.sqrt(np.minimum(1, h)))), 0.0, gamma(dist)
+                w = np.einsum("bij,bj->bi", np.linalg.pinv(a), b)  # the least weights, where two sites share a place
+                out.append(pd.DataFrame({point_id: some[point_id].to_numpy(), "estimate": (w[:, :n] * v).sum(axis=1), "variance": (w * b).sum(axis=1)}))
+            yield pd.concat(out[1:] or out, ignore_index=True)
 
     return rows.mapInPandas(solve, f"{point_id} {dict(rows.dtypes)[point_id]}, estimate double, variance double")
 

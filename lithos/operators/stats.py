@@ -142,19 +142,29 @@ def residual_outliers(df: DataFrame, actual: str, predicted: str, k: float = 3.0
     return df.crossJoin(F.broadcast(facts)).withColumn("outlier", F.coalesce(F.abs(r - F.col("__m")) > k * F.col("__s"), F.lit(False))).drop("__m", "__s")
 
 
+def elements(df: DataFrame, value: str, places: list[int]) -> list:
+    """The values at these places (from 0) of the sorted column, nulls left out; None beyond its end. Equal values are counted
+    first; running sums over ranges of the distinct ones find the places, so that no task sees all of them."""
+    from lithos.operators.order import prefix
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = prefix(counts, ["v"], "n", out="upto")
+    inside = F.exists(F.array(*map(F.lit, places)), lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("n")))
+    found = run.where(inside).select("v", "n", "upto").collect()  # as many rows as places at most
+    return [next((r.v for r in found if r.upto - r.n <= i < r.upto), None) for i in places]
+
+
 def percentile_band(df: DataFrame, values: list[str], p: float) -> DataFrame:
     """Rows whose every value lies between the sorted values at round(p * n) and round((1 - p) * n) - 1 (from 0)."""
     n = df.count()
     at = [math.floor(p * n + 0.5), math.floor((1 - p) * n + 0.5) - 1]
     if not n or at[1] < at[0]:
         return df.limit(0)
-    # the smallest share whose discrete percentile is the wanted element
-    share = [min(1.0, (i + 0.5) / n) for i in at]
-    bounds = df.agg(*(F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY `{v}`)").alias(f"__{v}_{i}") for v in values for i, q in enumerate(share)))
     inside = F.lit(True)
     for v in values:
-        inside = inside & F.col(v).between(F.col(f"__{v}_0"), F.col(f"__{v}_1"))
-    return df.crossJoin(F.broadcast(bounds)).where(inside).select(*df.columns)
+        lo, hi = elements(df, v, at)
+        inside = inside & F.col(v).between(F.lit(lo), F.lit(hi))
+    return df.where(inside)
 
 
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
