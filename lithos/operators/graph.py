@@ -126,25 +126,48 @@ def most_likely_path(steps: DataFrame, emissions: DataFrame) -> DataFrame:
 
 def amalgamated(zones: DataFrame, edges: DataFrame, least: float, most_area: float) -> DataFrame:
     """zone, cluster: zones (zone, cnt, area, value) below `least` merge, in rounds, into the neighbour of closest mean value
-    that is below it, too, and with which the area stays within `most_area`. In a round every cluster makes one offer and
-    mutual offers merge, so that disjoint parts of the map merge side by side."""
+    (weighted by counts) that is below it, too, and with which the area stays within `most_area`. In a round every cluster
+    makes one offer and mutual offers merge, so that disjoint parts of the map merge side by side. What is left below `least`
+    joins its smallest neighbour, whatever the area, again in rounds; a cluster without neighbours stays as it is. Links are
+    taken both ways."""
     scratch = Scratch(zones.sparkSession, "merge")
     member = scratch.save(zones.select("zone", F.col("zone").alias("cluster"), "cnt", "area", "value"))
-    links = scratch.save(edges.select("src", "dst").where("src <> dst").distinct())
-    while True:
-        sums = scratch.save(member.groupBy("cluster").agg(F.sum("cnt").alias("cnt"), F.sum("area").alias("area"), F.avg("value").alias("value")))
+    ways = edges.select("src", "dst").where("src <> dst")
+    links = scratch.save(ways.union(ways.select("dst", "src")).distinct())
+
+    def neighbours():
+        """Pairs of clusters that touch, with what each of them holds."""
+        mean = F.try_divide(F.sum(F.col("cnt") * F.col("value")), F.sum("cnt")).alias("value")
+        sums = scratch.save(member.groupBy("cluster").agg(F.sum("cnt").alias("cnt"), F.sum("area").alias("area"), mean))
         of = member.select(F.col("zone").alias("src"), F.col("cluster").alias("a")), member.select(F.col("zone").alias("dst"), F.col("cluster").alias("b"))
         pairs = links.join(of[0], "src").join(of[1], "dst").where("a <> b").select("a", "b").distinct()
         one, two = (sums.select(F.col("cluster").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("cnt", "area", "value"))) for k in ("a", "b"))
-        open_ = pairs.join(one, "a").join(two, "b").where((F.col("cnt_a") < least) & (F.col("cnt_b") < least) & (F.col("area_a") + F.col("area_b") <= most_area))
+        return pairs.join(one, "a").join(two, "b").where(F.col("cnt_a") < least)
+
+    def moved(into):
+        return scratch.save(member.join(into, "cluster", "left").select("zone", F.coalesce("into", "cluster").alias("cluster"), "cnt", "area", "value"))
+
+    def chosen(pairs, rank):
+        """The best neighbour (b) of each cluster (a) and whether that one chooses it, too (mutual) or chooses at all (open)."""
+        offers = scratch.save(pairs.groupBy("a").agg(F.min(rank).alias("o")).select("a", F.col("o.b").alias("b")))
+        back = offers.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        return offers.join(back, "b", "left").select(F.col("a").alias("cluster"), F.col("b").alias("into"), (F.col("back") == F.col("a")).alias("mutual"), F.col("back").isNotNull().alias("open"))
+
+    while True:
+        small = neighbours().where((F.col("cnt_b") < least) & (F.col("area_a") + F.col("area_b") <= most_area))
         # a symmetric order of pairs, so that the closest pair of a neighbourhood is mutual
         rank = F.struct(F.abs(F.col("value_a") - F.col("value_b")), F.least("a", "b"), F.greatest("a", "b"), "b")
-        offers = scratch.save(open_.groupBy("a").agg(F.min(rank).alias("o")).select("a", F.col("o.b").alias("b")))
-        mutual = offers.alias("x").join(offers.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.a > x.b").select(F.col("x.a").alias("cluster"), F.col("x.b").alias("into"))
-        mutual = scratch.save(mutual)
-        if mutual.isEmpty():
+        into = scratch.save(chosen(small, rank).where("mutual AND cluster > into").select("cluster", "into"))
+        if into.isEmpty():
+            break
+        member = moved(into)
+    while True:
+        # choices run down to smaller clusters, so that all but mutual ones end at a cluster that stays
+        orphans = chosen(neighbours(), F.struct("cnt_b", "b"))
+        into = scratch.save(orphans.where("NOT open OR (mutual AND cluster > into)").select("cluster", "into"))
+        if into.isEmpty():
             return member.select("zone", "cluster")
-        member = scratch.save(member.join(mutual, "cluster", "left").select("zone", F.coalesce("into", "cluster").alias("cluster"), "cnt", "area", "value"))
+        member = moved(into)
 
 
 def grown(candidates: DataFrame, start, steps: int, tries: int, value, forbidden: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -165,15 +188,29 @@ def grown(candidates: DataFrame, start, steps: int, tries: int, value, forbidden
     return net
 
 
-def refined(tree: DataFrame, edges: DataFrame, longest: float, least_leg: float) -> DataFrame:
+def refined(tree: DataFrame, edges: DataFrame, longest: float, least_leg: float, share: float = 1.0, exempt: DataFrame | None = None) -> DataFrame:
     """Links of a path tree (src, dst, w), those longer than `longest` replaced by the cheapest two links of the full graph
-    that join their ends, both at least `least_leg` long, where there are such."""
-    long = tree.where(F.col("w") > longest)
-    a, b = (edges.where(F.col("w") >= least_leg).select(F.col("src").alias(f"{k}s"), F.col("dst").alias(f"{k}d"), F.col("w").alias(f"{k}w")) for k in "ab")
-    two = long.join(a, F.col("src") == F.col("as")).join(b, (F.col("ad") == F.col("bs")) & (F.col("bd") == F.col("dst")))
-    best = two.groupBy("src", "dst").agg(F.min(F.struct((F.col("aw") + F.col("bw")).alias("w"), F.col("ad").alias("mid"), "aw", "bw")).alias("m"))
-    new = best.select("src", F.col("m.mid").alias("dst"), F.col("m.aw").alias("w")).union(best.select("m.mid", "dst", "m.bw"))
-    return tree.join(best.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w").union(new).distinct()
+    that join their ends, each at least `least_leg` or `share` of the old link long, until no link can be. The node between is
+    one that the tree doesn't visit yet; where links of a round would take the same, the one with the smallest ends does and
+    the others choose again, so rounds end. Links of `exempt` (src, dst) stay."""
+    scratch = Scratch(tree.sparkSession, "refined")
+    now = scratch.save(tree.select("src", "dst", "w").distinct())
+    full = scratch.save(edges.select("src", "dst", "w").where("src <> dst"))
+    while True:
+        long = now.where(F.col("w") > longest)
+        if exempt is not None:
+            long = long.join(exempt.select("src", "dst"), ["src", "dst"], "left_anti")
+        leg = F.least(F.lit(float(least_leg)), F.col("w") * share)
+        first = full.select("src", F.col("dst").alias("mid"), F.col("w").alias("aw"))
+        second = full.select(F.col("src").alias("mid"), "dst", F.col("w").alias("bw"))
+        visited = now.select(F.col("src").alias("mid")).union(now.select("dst")).distinct()
+        two = long.join(first, "src").where(F.col("aw") >= leg).join(visited, "mid", "left_anti").join(second, ["mid", "dst"]).where(F.col("bw") >= leg)
+        best = two.groupBy("src", "dst").agg(F.min(F.struct((F.col("aw") + F.col("bw")).alias("w"), "mid", "aw", "bw")).alias("m"))
+        taken = scratch.save(best.groupBy("m.mid").agg(F.min(F.struct("src", "dst", "m")).alias("t")).select("t.src", "t.dst", "t.m"))
+        if taken.isEmpty():
+            return now
+        new = taken.select("src", F.col("m.mid").alias("dst"), F.col("m.aw").alias("w")).union(taken.select("m.mid", "dst", "m.bw"))
+        now = scratch.save(now.join(taken.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w").union(new).distinct())
 
 
 def layered(walk: DataFrame, routes: DataFrame, wait: float) -> DataFrame:

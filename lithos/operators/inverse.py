@@ -102,9 +102,9 @@ def annealing(spark: SparkSession, problem: Problem, chains: int, steps: int, ho
     return by_chain(spark, chains, run, "chain int, params array<double>, misfit double")
 
 
-def powell(spark: SparkSession, problem: Problem, starts: int, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """chain, params, misfit: Powell's direction set from seeded starts, by golden-section searches clamped to the bounds; the
-    net move of a round replaces the direction that gained most where that pays."""
+def descent(problem: Problem, rounds: int) -> Callable[[int, np.random.Generator, np.ndarray], list[tuple]]:
+    """Powell's direction set from a model, by golden-section searches clamped to the bounds; the net move of a round replaces
+    the direction that gained most where that pays."""
     low, high, error = problem.low(), problem.high(), problem.error
 
     def along(p, d, e):
@@ -128,9 +128,7 @@ def powell(spark: SparkSession, problem: Problem, starts: int, rounds: int = 20,
         f = float(error(q[None])[0])
         return (q, f) if f < e else (p, e)
 
-    def run(chain):
-        rng = np.random.default_rng([seed, chain])
-        p = low + rng.random(len(low)) * (high - low)
+    def descend(chain, rng, p):
         e, axes = float(error(p[None])[0]), list(np.eye(len(low))[rng.permutation(len(low))])
         for _ in range(rounds):
             p0, e0, gains = p, e, []
@@ -146,9 +144,65 @@ def powell(spark: SparkSession, problem: Problem, starts: int, rounds: int = 20,
                 axes[int(np.argmax(gains))] = net
         return [(chain, p.tolist(), e)]
 
+    return descend
+
+
+def powell(spark: SparkSession, problem: Problem, starts: int, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """chain, params, misfit: where a descent ends from each of the seeded starts."""
+    low, high, descend = problem.low(), problem.high(), descent(problem, rounds)
+
+    def run(chain):
+        rng = np.random.default_rng([seed, chain])
+        return descend(chain, rng, low + rng.random(len(low)) * (high - low))
+
     return by_chain(spark, starts, run, "chain int, params array<double>, misfit double")
 
 
+def hypercubes(spark: SparkSession, problem: Problem, restarts: int, samples: int, precision: float, most: int = 60, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """chain, params, misfit: a search of ever smaller boxes for each restart, ended by a descent from its best model.
+
+    In a round every restart draws `samples` models in its box. If the worst and the best differ by less than the precision,
+    its box is a plateau and it is done; else it goes to a seeded one of the models that are better than, or within the precision
+    of, where it was (it stays where there is none), and the box shrinks to a quarter of its width to both sides of that model on
+    one axis. Restarts and models are rows of one table, evaluated together; a round is written to the shared folder. `most`
+    bounds the rounds of a misfit without plateau.
+    """
+    scratch = Scratch(spark, "hypercubes")
+    draw = lambda *x: (F.pmod(F.xxhash64(F.lit(seed), "chain", *x), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    low, high = (F.array(*(F.lit(float(x[i])) for x in problem.bounds)) for i in (0, 1))
+    within = lambda *x: F.transform("low", lambda a, d: a + draw(d, *x) * (F.get("high", d) - a))
+    start = spark.range(restarts).select(F.col("id").cast("int").alias("chain"), low.alias("low"), high.alias("high"), F.lit(False).alias("done"))
+    now = scratch.save(evaluated(start.withColumn("params", within(F.lit("start"))), problem).withColumn("best", F.struct("misfit", "params")))
+    for k in range(most):
+        open_ = now.where("NOT done")
+        if open_.isEmpty():
+            break
+        box = open_.select("chain", "low", "high", F.col("misfit").alias("was"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i"))
+        models = evaluated(box.withColumn("params", within(F.lit(k), "i")), problem)
+        good = F.when(F.col("misfit") - precision < F.col("was"), F.struct(draw(F.lit("good"), F.lit(k), "i").alias("u"), "misfit", "params"))
+        told = models.groupBy("chain").agg(F.min(F.struct("misfit", "params")).alias("top"), F.max("misfit").alias("worst"), F.min(good).alias("to"))
+        both = now.join(told, "chain", "left")
+        at = F.coalesce("to.params", "params")
+        axis = F.floor(draw(F.lit("axis"), F.lit(k)) * problem.dims).cast("int")
+        plateau = F.col("done") | F.coalesce(F.col("worst") - F.col("top.misfit") < precision, F.lit(True))
+        step = lambda d: (F.get("high", d) - F.get("low", d)) / 4
+        cut = lambda c, f: F.when(plateau, F.col(c)).otherwise(F.transform(c, lambda x, d: F.when(d == axis, f(x, d)).otherwise(x))).alias(c)
+        lower, upper = cut("low", lambda x, d: F.greatest(x, F.get(at, d) - step(d))), cut("high", lambda x, d: F.least(x, F.get(at, d) + step(d)))
+        best_ = F.least("best", F.coalesce("top", "best")).alias("best")
+        now = scratch.save(both.select("chain", lower, upper, plateau.alias("done"), at.alias("params"), F.coalesce("to.misfit", "misfit").alias("misfit"), best_))
+    descend = descent(problem, rounds)
+
+    def each(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            ends = [descend(int(c), np.random.default_rng([seed, int(c)]), np.asarray(p, dtype=float)) for c, p in zip(pdf["chain"], pdf["params"], strict=True)]
+            yield pd.DataFrame([x for rows in ends for x in rows], columns=["chain", "params", "misfit"])
+
+    tops = now.select("chain", "best.params").repartition(max(1, min(restarts, 200)), "chain")
+    return tops.mapInPandas(each, "chain int, params array<double>, misfit double")
+
+
 def mcmc(spark: SparkSession, problem: Problem, chains: int, steps: int, sd: float = 0.1, temperature: float = 1.0, burn: int = 0, thin: int = 1, seed: int = 0) -> DataFrame:
     """chain, step, params, misfit: Metropolis samples of exp(prior - misfit / temperature). Proposals are normal with `sd`
     times each axis' width; one out of bounds repeats the current model."""
@@ -252,6 +306,38 @@ def smooth_prior(delta: list[float]) -> Callable[[np.ndarray], np.ndarray]:
     return lambda p: np.where((np.abs(np.diff(p, axis=1)) <= d).all(axis=1), 0.0, -np.inf)
 
 
+def bounded_walks(spark: SparkSession, problem: Problem, delta: list[float], n: int, levels: int = 50, seed: int = 0) -> DataFrame:
+    """id, params: n models drawn evenly from all whose axes take one of `levels` equally spaced values and whose neighbouring
+    parameters differ by at most delta. How many ways lead on from each level is counted from the last axis back; models then
+    walk forward by these counts, in tasks. The counts are dims x levels numbers, whatever n. Raises where no model is left."""
+    at = [np.linspace(a, b, levels) for a, b in problem.bounds]
+    near = [(np.abs(x[:, None] - y[None]) <= d).astype(float) for x, y, d in zip(at[:-1], at[1:], delta, strict=True)]
+    ahead = [np.ones(levels)]
+    for step in reversed(near):
+        ways = step @ ahead[0]
+        ahead.insert(0, ways / max(1.0, ways.max()))
+    if not ahead[0].any():
+        raise ValueError("no model keeps within delta")
+    # a row of running shares for each level that a walk comes from
+    first = np.cumsum(ahead[0] / ahead[0].sum())
+    moves = [np.cumsum(step * ways, axis=1) for step, ways in zip(near, ahead[1:], strict=True)]
+
+    def walk(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            draws = np.array([np.random.default_rng([seed, int(i)]).random(len(at)) for i in pdf["id"]]).reshape(-1, len(at))
+            level = np.minimum(np.searchsorted(first, draws[:, 0], side="right"), levels - 1)
+            params = [at[0][level]]
+            for d, rows in enumerate(moves, 1):
+                upto = rows[level]
+                level = (upto <= draws[:, d, None] * upto[:, -1:]).sum(axis=1)
+                params.append(at[d][level])
+            yield pd.DataFrame({"id": pdf["id"], "params": np.stack(params, axis=1).tolist()})
+
+    return spark.range(n).mapInPandas(walk, "id long, params array<double>")
+
+
 def gradient(models: DataFrame, problem: Problem, h: float = 1e-4) -> DataFrame:
     """`models` (id, params) with gradient: central differences, 2 evaluations an axis, all at once."""
     steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d in range(problem.dims) for s in (-1.0, 1.0)))

@@ -72,6 +72,31 @@ def projected(pmf: DataFrame, steps: int, speed: float, blocked: DataFrame | Non
     return normalised(spread.groupBy(*KEY, *PLACE).agg(F.sum("p").alias("p")))
 
 
+def projected_around(pmf: DataFrame, reach: DataFrame, steps: int, speeds: list[float], size: float) -> DataFrame:
+    """The grid `steps` seconds on, around obstacles: `reach` (lati, loni, to_lati, to_loni, dist) holds how long paths from cell
+    to cell are, in cells of `size` metres, a cell's way to itself too. At each speed (m/s) a cell's mass spreads evenly over the
+    cells within int(steps * speed / size), and the speeds weigh alike. Mass in cells without paths is lost before all is
+    normalised. The spread is a table of its own, so that it is made once for all sources and seconds."""
+    radii = F.array(*(F.lit(int(steps * v / size)) for v in speeds))
+    ends = [*PLACE, "to_lati", "to_loni"]
+    near = reach.select(*ends, "dist", F.posexplode(radii).alias("__speed", "__r")).where("dist <= __r").drop("dist", "__r")
+    share = near.join(near.groupBy(*PLACE, "__speed").agg((1 / F.count(F.lit(1))).alias("__w")), [*PLACE, "__speed"])
+    weights = share.groupBy(*ends).agg(F.sum("__w").alias("__w"))
+    moved = pmf.join(weights, PLACE).groupBy("sid", (F.col("t") + steps).alias("t"), F.col("to_lati").alias("lati"), F.col("to_loni").alias("loni"))
+    return normalised(moved.agg(F.sum(F.col("p") * F.col("__w")).alias("p")))
+
+
+def sampled_cells(pmf: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """sid, t, draw, lati, loni: for each source and second `draws` cells, each drawn by the cells' mass; cells without mass are
+    never drawn. Every cell races with an exponential clock as fast as its mass, and the first wins, so that a draw is an
+    aggregate with partial minima, not a running sum over a whole grid. Clocks are md5 of seed, key, draw and cell; reruns agree."""
+    name = F.concat_ws(":", F.lit(seed), "sid", "t", "draw", *PLACE)
+    unit = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    runs = pmf.where("p > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    first = F.min(F.struct((-F.ln(unit) / F.col("p")).alias("clock"), *PLACE))
+    return runs.groupBy(*KEY, "draw").agg(first.alias("c")).select(*KEY, "draw", "c.lati", "c.loni")
+
+
 def uninformative(pmf: DataFrame) -> DataFrame:
     """sid, t of grids that are zero everywhere or uniform."""
     return pmf.groupBy(*KEY).agg(F.max("p").alias("hi"), F.min("p").alias("lo")).where("hi = 0 OR hi = lo").select(*KEY)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lithos.functions import expression as E
 from lithos.operators import density as D
 from lithos.operators import forest as R
+from lithos.operators import graph as N
 from lithos.operators import inverse as I
 from lithos.operators import tracking as K
 from lithos.operators.grid import Grid
+from lithos.plans import views as V
 from lithos.plans.registry import query
 from lithos.plans.views import rounded, table
 
@@ -55,11 +57,42 @@ def signal_pmf(spark, sf_dir):
     return rounded(K.signal_grid(obs, observers, Grid(-34.5, 150.0, 1.5, 1.7, 8, 8)).select("sid", "t", "lati", "loni", "p"))
 
 
-@query()
+PMF = "pmf AS (SELECT s_nationkey AS sid, 0 AS t, CAST(s_suppkey % 40 AS INTEGER) AS lati, CAST((s_suppkey // 40) % 40 AS INTEGER) AS loni, count(*)::DOUBLE AS p FROM supplier GROUP BY ALL)"
+
+
+def _pmf(spark, sf_dir):
+    k = F.col("s_suppkey")
+    place = (k % 40).cast("int").alias("lati"), (F.floor(k / 40) % 40).cast("int").alias("loni")
+    return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("sid"), F.lit(0).alias("t"), *place).agg(F.count(F.lit(1)).cast("double").alias("p"))
+
+
+@query(f"""WITH {PMF}, d AS (SELECT i, j FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE i * i + j * j <= 9),
+    m AS (SELECT sid, t + 2 AS t, CAST(lati + i AS INTEGER) AS lati, CAST(loni + j AS INTEGER) AS loni, sum(p) AS p FROM pmf, d GROUP BY ALL) SELECT sid, t, lati, loni, round(p / sum(p) OVER (PARTITION BY sid, t), 9) AS p FROM m""")
 def projected_pmf(spark, sf_dir):
-    """A point's mass after two steps in open space covers the disc around it evenly."""
-    start = spark.createDataFrame([("a", 0, 10, 10, 1.0)], "sid string, t int, lati int, loni int, p double")
-    return rounded(K.projected(start, 2, 1.5), 9)
+    """Suppliers' places after two steps in open space: each cell's mass covers the disc around it evenly."""
+    return rounded(K.projected(_pmf(spark, sf_dir), 2, 1.5).select("sid", "t", "lati", "loni", "p"), 9)
+
+
+@query(f"""WITH RECURSIVE {V.REGIONS}, {PMF}, free AS (SELECT lati, loni FROM regions WHERE value % 5 <> 0), e AS (SELECT a.lati AS i, a.loni AS j, b.lati AS k, b.loni AS l FROM free a JOIN free b ON abs(a.lati - b.lati) + abs(a.loni - b.loni) = 1),
+    walk(i, j, k, l, d) AS (SELECT lati, loni, lati, loni, 0 FROM free UNION ALL SELECT DISTINCT w.i, w.j, e.k, e.l, w.d + 1 FROM walk w JOIN e ON w.k = e.i AND w.l = e.j WHERE w.d < 6),
+    near AS (SELECT i, j, k, l, s FROM (SELECT i, j, k, l, min(d) AS d FROM walk GROUP BY ALL), (SELECT unnest([2, 4, 6]) AS s) WHERE d <= s), w AS (SELECT i, j, k, l, 1 / count(*) OVER (PARTITION BY i, j, s) AS w FROM near),
+    m AS (SELECT sid, t + 4 AS t, k AS lati, l AS loni, sum(p * w) AS p FROM pmf JOIN w ON lati = i AND loni = j GROUP BY ALL) SELECT sid, t, lati, loni, round(p / sum(p) OVER (PARTITION BY sid, t), 9) AS p FROM m""")
+def projected_around(spark, sf_dir):
+    """Suppliers' places after four seconds at three speeds, around the cells of every fifth nation."""
+    free = V.regions(spark, sf_dir).where("value % 5 <> 0")
+    edges = N.grid_graph(free, 40, F.lit(1.0))
+    # a step costs one, so that six hops are all within the largest radius; cells without neighbours have themselves
+    alone = free.select((F.col("lati").cast("long") * 40 + F.col("loni")).alias("origin"))
+    paths = N.shortest_paths(edges, alone, 6)
+    cell = lambda c, i, j: (F.floor(F.col(c) / 40).cast("int").alias(i), (F.col(c) % 40).cast("int").alias(j))
+    reach = paths.select(*cell("origin", "lati", "loni"), *cell("node", "to_lati", "to_loni"), "dist")
+    return rounded(K.projected_around(_pmf(spark, sf_dir), reach, 4, [0.5, 1.0, 1.5], 1.0).select("sid", "t", "lati", "loni", "p"), 9)
+
+
+@query(f"""WITH {PMF}, r AS (SELECT *, -ln((CAST('0x' || substr(md5(concat_ws(':', 7, sid, t, draw, lati, loni)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) / p AS clock FROM pmf, range(1, 6) d(draw))
+    SELECT sid, t, CAST(draw AS INTEGER) AS draw, arg_min(lati, (clock, lati, loni)) AS lati, arg_min(loni, (clock, lati, loni)) AS loni FROM r GROUP BY ALL""")
+def sampled_cells(spark, sf_dir):
+    return K.sampled_cells(_pmf(spark, sf_dir), 5, 7)
 
 
 @query()
@@ -113,6 +146,11 @@ def powell(spark, sf_dir):
     return I.powell(spark, BOWL, 4)
 
 
+@query()
+def hypercubes(spark, sf_dir):
+    return I.hypercubes(spark, BOWL, 4, 50, 1e-4)
+
+
 @query()
 def genetic(spark, sf_dir):
     return I.genetic(spark, BOWL, 64, 5).agg(F.min("misfit").alias("best"), F.avg("misfit").alias("mean"))
@@ -123,6 +161,14 @@ def neighbourhood(spark, sf_dir):
     return I.best(I.neighbourhood(spark, BOWL, 50, 20, 4, 3))
 
 
+@query()
+def bounded_walks(spark, sf_dir):
+    """How many of 5,000 drawn models hold each value of each axis; no step is over its delta."""
+    four = I.Problem(((0.0, 1.0),) * 4, _bowl)
+    drawn = I.bounded_walks(spark, four, [0.25, 0.25, 0.5], 5000, 9, 4)
+    return drawn.select(F.posexplode("params").alias("axis", "value")).groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def gradient(spark, sf_dir):
     models = I.uniform_models(spark, BOWL, 20, 3)

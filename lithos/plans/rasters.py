@@ -152,7 +152,11 @@ def best_cell(spark, sf_dir):
     return G.best_cell(V.cells(spark, sf_dir))
 
 
-@query()
+DY, DX = "(radians(1.5::DOUBLE / 40) * 6372795.0::DOUBLE)", "(radians(1.7::DOUBLE / 40) * 6372795.0::DOUBLE * cos(radians(-34.5::DOUBLE)))"
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT i, j, 1 / pow(greatest(d, 500) / 1000, 2) AS w FROM (SELECT i, j, sqrt(pow(i * {DY}, 2) + pow(j * {DX}, 2)) AS d FROM range(-3, 4) a(i), range(-3, 4) b(j)) WHERE d <= 9000)
+    SELECT c.lati, c.loni, round(sum(n.value * w), 4) + 0.0::DOUBLE AS value FROM cells c CROSS JOIN s JOIN cells n ON n.lati = c.lati + i AND n.loni = c.loni + j GROUP BY ALL""")
 def decay_focal(spark, sf_dir):
     return rounded(G.decay_sum(V.cells(spark, sf_dir), GRID, 9000, 500), 4)
 

@@ -88,7 +88,10 @@ def thinned_tracks(spark, sf_dir):
     return T.thinned(events, "user_id", "ts", "x", "value", 25.0).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query()
+@query("""WITH d AS (SELECT event_id, user_id, ts, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS diff FROM events),
+    v AS (SELECT event_id, [stddev_samp(diff) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING), stddev_samp(diff) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING),
+        stddev_samp(diff) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 7 PRECEDING)] AS vols FROM d), f AS (SELECT event_id, list_filter(vols, lambda x: x IS NOT NULL) AS vols FROM v)
+    SELECT event_id, round(CASE WHEN len(vols) > 0 THEN list_reduce(vols, lambda a, x: 0.5::DOUBLE * a + 0.5::DOUBLE * x) END, 6) AS vol_smooth FROM f""")
 def smooth_volatility(spark, sf_dir):
     out = T.smooth_volatility(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", [2, 4, 8], 0.5)
     return rounded(out.select("event_id", "vol_smooth"))
