@@ -251,3 +251,13 @@ def convergence(before: DataFrame, after: DataFrame, keys: list[str], value: str
     change = F.abs(F.col(value) - F.col("__old")) / F.greatest(F.abs(F.col("__old")), F.lit(1e-12))
     w = F.col(weight) if weight else F.lit(1.0)
     return joined.agg(F.max(change).alias("largest"), F.avg(change).alias("mean"), F.try_divide(F.sum(change * w), F.sum(w)).alias("weighted"))
+
+
+def merged_totals(parts: list[DataFrame], regions: DataFrame) -> DataFrame:
+    """region, category, total over several models' tables (region, category, value), for the regions (one column) that are
+    asked for; a category that only one of them knows counts as it is."""
+    both = parts[0].select("region", "category", "value")
+    for more in parts[1:]:
+        both = both.unionByName(more.select("region", "category", "value"))
+    asked = regions.select(F.col(regions.columns[0]).alias("region"))
+    return both.groupBy("region", "category").agg(F.sum("value").alias("total")).join(asked, "region", "left_semi")

@@ -66,6 +66,12 @@ def with_volatility(df: DataFrame, by, order, x: str, horizon: int) -> DataFrame
     return steps.withColumns({"vol": F.stddev_samp("__diff").over(back(w, h)), "mean_pct": F.avg("__pct").over(back(w, h)), "pct_vol": F.stddev_samp("__pct").over(back(w, h))}).drop("__diff", "__pct")
 
 
+def pct_volatility(df: DataFrame, by, order, x: str) -> DataFrame:
+    """The standard deviation (n - 1) of each group's relative changes; null for fewer than two of them."""
+    steps = df.withColumn("__pct", percent_change(F.col(x), chain(by, order)))
+    return steps.groupBy(*keys_of(by)).agg(F.stddev_samp("__pct").alias("pct_vol"))
+
+
 def smooth_volatility(df: DataFrame, by, order, x: str, horizons: list[int], alpha: float) -> DataFrame:
     """`df` with vol_smooth: volatilities over growing horizons, smoothed from the first to the last."""
     w = chain(by, order)

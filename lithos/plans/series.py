@@ -82,6 +82,12 @@ def seen_by(spark, sf_dir):
     return of(events).select("sid", "t", F.array_join("seen", ",").alias("seen"))
 
 
+@query("""WITH d AS (SELECT user_id, (value - lag(value) OVER w) / lag(value) OVER w AS pct FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, round(stddev_samp(pct), 6) AS pct_vol FROM d GROUP BY 1""")
+def pct_volatility(spark, sf_dir):
+    return rounded(T.pct_volatility(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value"))
+
+
 @query()
 def thinned_tracks(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "ts", T.second_of(F.col("ts")).cast("double").alias("x"), "value")

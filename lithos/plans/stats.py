@@ -255,3 +255,18 @@ def classify_regions(spark, sf_dir):
 def kmeans(spark, sf_dir):
     found = B.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("mean"))
+
+
+@query("""SELECT c_mktsegment AS segment, c_nationkey AS nation, GROUPING(c_mktsegment, c_nationkey) AS level, round(sum(c_acctbal * (1 + c_custkey % 5)) / sum(1 + c_custkey % 5), 6) AS mean, CAST(sum(1 + c_custkey % 5) AS BIGINT) AS weight
+    FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""")
+def crosstab_cube(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), "c_acctbal", (1 + F.col("c_custkey") % 5).alias("w"))
+    return rounded(S.weighted_crosstab(people, "segment", "nation", "c_acctbal", "w"))
+
+
+@query("""WITH m AS (SELECT c_nationkey AS region, c_custkey % 3 AS category, c_acctbal AS value FROM customer UNION ALL SELECT s_nationkey, s_suppkey % 4, s_acctbal FROM supplier)
+    SELECT region, category, round(sum(value), 2) AS total FROM m WHERE region IN (SELECT n_nationkey FROM nation) GROUP BY ALL""")
+def merged_totals(spark, sf_dir):
+    one = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 3).alias("category"), F.col("c_acctbal").alias("value"))
+    other = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), (F.col("s_suppkey") % 4).alias("category"), F.col("s_acctbal").alias("value"))
+    return rounded(S.merged_totals([one, other], table(spark, sf_dir, "nation").select("n_nationkey")), 2)
