@@ -14,6 +14,12 @@ from lithos.scratch import Scratch
 JOIN_FAILED = "***JOINFAILED***"
 #: Sites up to this many rows are broadcast; beyond, they are dealt into blocks of as many rows.
 SITES = 20_000
+#: Up to this many sites are one array that each point looks through.
+FEW_SITES = 64
+#: Nine cells with more sites than this are dense: their points begin with finer cells, down to FINEST degrees. A finer
+#: round leaves a sixteenth of the sites to measure, of which a third lie within its reach, and costs a pass over the points.
+CROWD = 128
+FINEST = 1e-4
 
 
 def lookup(left: DataFrame, right: DataFrame, keys, columns: list[str], order: list, failed: str | None = None) -> DataFrame:
@@ -62,37 +68,91 @@ def require_unique(rows: DataFrame, keys) -> DataFrame:
     return rows
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int = 1, point_id: str = "id", site_id: str = "site", metric: str = "haversine", cell: float = 0.25, digits: int = 3) -> DataFrame:
-    """point_id, site_id, dist, rank of the k nearest sites of each point (both with lat, lon); ties of distances, rounded to
-    `digits`, go to the smaller site id.
+def _around(cells: DataFrame) -> DataFrame:
+    """Rows of `cells` (__y, __x) dealt to their cell and the eight around it."""
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    moved = cells.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
+    return moved.withColumns({"__y": F.col("__y") + F.col("__dy"), "__x": F.col("__x") + F.col("__dx")}).drop("__dy", "__dx")
+
 
-    Sites are dealt into cells of `cell` degrees; a point meets those of its cell and the eight around it. It is done when
-    its k-th distance can't be beaten from farther cells; what is left goes on with cells of four times the size.
+def nearest(
+    points: DataFrame, sites: DataFrame, k: int = 1, point_id: str = "id", site_id: str = "site", metric: str = "haversine", cell: float = 0.25, digits: int = 3, few: int = FEW_SITES, crowd: int | None = None
+) -> DataFrame:
+    """point_id, site_id, dist, rank of the k nearest sites of each point (both with lat, lon); ties of distances, rounded to
+    `digits`, go to the smaller site id. Points' ids are distinct; rows without a place take no part.
+
+    Up to `few` sites ride with each point as one array: no shuffle. More are dealt into cells of `cell` degrees; a point meets
+    those of its cell and the eight around it. It is done when its k-th distance can't be beaten from farther cells; what is
+    left goes on with cells of four times the size, and at the end with all sites in blocks. Where nine cells hold more than
+    `crowd` sites (CROWD, or 96 a neighbour asked for), the points in their middle begin with cells of a quarter of the size,
+    and so on, so that dense places cost no more than others. Of sites at one place, which no cell parts, only the k smallest
+    ids count. With `haversine` longitudes go round: sites near 180 degrees stand in the cells beyond it too, and points close
+    to a pole meet all sites.
     """
+    globe = metric == "haversine"
+    lon = F.col("lon").cast("double")
+    lon = F.when(lon.between(-180, 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180) if globe else lon
     scratch = Scratch(points.sparkSession, "nearest")
-    s = sites.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(site_id).alias("__site"), F.col("lat").cast("double").alias("__slat"), F.col("lon").cast("double").alias("__slon"))
-    left = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(point_id).alias("__point"), F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon"))
-    dist = {"haversine": geo.haversine, "planar": geo.planar, "planar_squared": geo.planar_squared}[metric](F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
+    s = sites.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(site_id).alias("__site"), F.col("lat").cast("double").alias("__slat"), lon.alias("__slon"))
+    left = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(point_id).alias("__point"), F.col("lat").cast("double").alias("__lat"), lon.alias("__lon"))
+    measure = {"haversine": geo.haversine, "planar": geo.planar, "planar_squared": geo.planar_squared}[metric]
+    dist = lambda slat, slon: measure(F.col("__lat"), F.col("__lon"), slat, slon)
+    facts = s.agg(F.count(F.lit(1)).alias("n"), F.min("__slon").alias("west"), F.max("__slon").alias("east")).first()
+    crowd = max(CROWD, 96 * k) if crowd is None else crowd
+    if facts.n <= few:
+        every = s.agg(F.collect_list(F.struct("__site", "__slat", "__slon")).alias("__sites"))
+        met = F.transform("__sites", lambda x: F.struct(dist(x["__slat"], x["__slon"]).alias("dist"), x["__site"].alias("site")))
+        keyed = F.transform(met, lambda x: F.struct(F.round(x["dist"], digits).alias("near"), x["site"].alias("site"), x["dist"].alias("dist")))
+        best = left.crossJoin(F.broadcast(every)).select("__point", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("pos", "of"))
+        return best.select(F.col("__point").alias(point_id), F.col("of.site").alias(site_id), "of.dist", (F.col("pos") + 1).alias("rank"))
+
+    def placed(df, lat, lon):
+        return df.withColumns({"__y": F.floor(F.col(lat) / cell), "__x": F.floor(F.col(lon) / cell)})
+
+    def placed_sites():
+        both = s
+        if globe and facts.n and facts.east > 180 - 2 * cell:
+            both = both.union(s.where(F.col("__slon") > 180 - 2 * cell).withColumn("__slon", F.col("__slon") - 360))
+        if globe and facts.n and facts.west < 2 * cell - 180:
+            both = both.union(s.where(F.col("__slon") < 2 * cell - 180).withColumn("__slon", F.col("__slon") + 360))
+        return placed(both, "__slat", "__slon")
+
+    crowded = {}
+    while facts.n > crowd and cell > FINEST:
+        counts = _around(placed_sites().groupBy("__y", "__x").agg(F.count(F.lit(1)).alias("n")))
+        full = counts.groupBy("__y", "__x").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).select("__y", "__x")
+        if full.isEmpty():
+            break
+        crowded[cell] = scratch.save(full)
+        cell /= 4
+    if cell <= FINEST:
+        at_place = Window.partitionBy("__slat", "__slon").orderBy("__site")
+        s = scratch.save(s.withColumn("__nth", F.row_number().over(at_place)).where(F.col("__nth") <= k).drop("__nth"))
     order = Window.partitionBy("__point").orderBy(F.round("dist", digits), "__site")
-    steps = F.sequence(F.lit(-1), F.lit(1))
     found = []
     while True:
-        last = cell > 400
-        place = lambda c: F.lit(0) if last else F.floor(F.col(c) / cell)  # noqa: B023, E731
-        near = left.select("*", place("__lat").alias("__y"), place("__lon").alias("__x"))
-        if not last:
-            near = near.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps)).withColumn("__y", F.col("__y") + F.col("__dy")).withColumn("__x", F.col("__x") + F.col("__dx"))
-        met = near.join(s.select("*", place("__slat").alias("__y"), place("__slon").alias("__x")), ["__y", "__x"])
-        ranked = met.select("__point", "__lat", "__site", dist.alias("dist")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = scratch.save(ranked)
-        reach = F.lit(cell) if metric != "haversine" else F.radians(F.lit(cell)) * geo.EARTH_M * F.least(F.lit(1.0), F.cos(F.radians(F.least(F.abs(F.col("__lat")) + cell, F.lit(89.9))))) * 0.99
-        reach = reach * reach if metric == "planar_squared" else reach
-        done = ranked.groupBy("__point").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"), F.first("__lat").alias("__lat"))
-        done = done if last else done.where((F.col("n") >= k) & (F.col("far") <= reach))
-        found.append(ranked.join(done.select("__point"), "__point", "left_semi"))
+        last = cell > (100 if globe else 400)  # three cells must not go round the globe
+        if last:
+            met = in_blocks(left, s)
+        else:
+            now = left
+            if cell * 4 in crowded:
+                full = crowded[cell * 4].withColumnsRenamed({"__y": "__cy", "__x": "__cx"})
+                now = left.join(full, (F.floor(F.col("__lat") / (cell * 4)) == F.col("__cy")) & (F.floor(F.col("__lon") / (cell * 4)) == F.col("__cx")), "left_semi")
+            met = _around(placed(now, "__lat", "__lon")).join(placed_sites(), ["__y", "__x"])
+        near = met.select("__point", "__lat", "__site", dist(F.col("__slat"), F.col("__slon")).alias("dist"))
+        ranked = scratch.save(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         if last:
+            found.append(ranked)
             break
-        left = scratch.save(left.join(done.select("__point"), "__point", "left_anti"))
+        highest = F.cos(F.radians(F.least(F.abs(F.col("__lat")) + cell, F.lit(90.0))))
+        reach = 2 * geo.EARTH_M * 0.999 * F.asin(highest * F.sin(F.radians(F.lit(cell / 2)))) if globe else F.lit(cell)
+        reach = reach * reach if metric == "planar_squared" else reach
+        done = ranked.groupBy("__point").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"), F.first("__lat").alias("__lat"))
+        # a site beyond the reach must not tie after rounding either
+        done = done.where((F.col("n") >= k) & (F.col("far") <= reach - 10.0**-digits)).select("__point")
+        found.append(ranked.join(done, "__point", "left_semi"))
+        left = scratch.save(left.join(done, "__point", "left_anti"))
         if left.isEmpty():
             break
         cell *= 4

@@ -1,6 +1,7 @@
 """Operators on small literal tables with hand-computed answers, and properties of random ones."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,30 @@ def test_nearest_falls_back_to_wider_cells(spark):
     assert found[1, 1] == 10 and found[1, 2] == 12 and (2, 2) in found and (3, 1) not in found
 
 
+@pytest.mark.parametrize("metric", ["haversine", "planar", "planar_squared"])
+@pytest.mark.parametrize("few,crowd", [(64, None), (0, 6)])
+def test_nearest_equals_brute_force(spark, metric, few, crowd):
+    """A dense town, sites at one place, both sides of the date line, poles and far points."""
+    rng, k = random.Random(5), 3
+    town = [(rng.gauss(-33.8, 0.02), rng.gauss(151.2, 0.02)) for _ in range(25)]
+    line = [(rng.uniform(-20, -10), rng.choice([179.9, -179.9, 179.2, -179.2])) for _ in range(8)]
+    sites = [*town, *town[:3], *[town[0]] * 7, *line, (89.95, 10.0), (89.95, 11.0), (-89.0, -100.0), (50.0, 0.0)]
+    points = [*[(rng.gauss(-33.8, 0.03), rng.gauss(151.2, 0.03)) for _ in range(20)], *line[:4], (89.97, 10.4), (-89.9, 90.0), (0.0, -30.0), (-15.0, 180.0), town[0]]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "id int, lat double, lon double")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)] + [(99, None, 0.0)], "site int, lat double, lon double")
+
+    def dist(a, b):
+        if metric != "haversine":
+            flat = (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
+            return flat if metric == "planar_squared" else math.sqrt(flat)
+        u, v, w = math.radians(a[0]), math.radians(b[0]), math.radians(a[1] - b[1])
+        return 2 * 6372795 * math.asin(math.sqrt(min(1, math.sin((u - v) / 2) ** 2 + math.cos(u) * math.cos(v) * math.sin(w / 2) ** 2)))
+
+    found = J.nearest(p, s, k, metric=metric, digits=6, few=few, crowd=crowd).collect()
+    expected = {(i, n + 1): j for i, x in enumerate(points) for n, (_, j) in enumerate(sorted((round(dist(x, y), 6), j) for j, y in enumerate(sites))[:k])}
+    assert {(r.id, r["rank"]): r.site for r in found} == expected and len(found) == len(expected)
+
+
 def test_idw(spark):
     d = math.degrees(1000 / 6372795)
     points = spark.createDataFrame([(1, 0.0, 0.0)], "id int, lat double, lon double")
