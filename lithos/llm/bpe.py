@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import Scratch, for_python, held, trimmed
+from lithos.llm.common import Scratch, for_python, free_names, held, quoted, trimmed
 
 #: Texts above this many characters are dealt out to tasks in pieces of it.
 PIECE = 32_768
@@ -73,6 +73,8 @@ class Codec:
         self.begins, self.ends, self.reach = {x[0] for x in self.special}, {x[-1] for x in self.special}, max(map(len, self.special), default=1) - 1
         #: The tokenizer of texts that are composed and lower-cased already; what looks like a special token there is none.
         self.inner = Tokenizer.from_str(json.dumps(kinds | {"normalizer": None, "added_tokens": [], "padding": None, "truncation": None}))
+        #: Bytes of each token's spelling; the mark of a word's end is none of them.
+        self.width = {i: len(x.removesuffix("</w>")) for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -110,6 +112,20 @@ class Codec:
         e = self.inner.encode(text, add_special_tokens=False)
         return rows_of(e) + np.array([0, at, at], dtype=np.int32)
 
+    def places(self, text: str, rows: np.ndarray) -> list[tuple]:
+        """(id, character, byte) of each token of rows that begin with a character: the place where it begins, as a byte within
+        the character that its offsets name. A character that is several tokens gives them all the same offsets; such a token
+        begins where the one before it ends, which the lengths of their spellings say."""
+        out, over = [], -1
+        for token, start, end in rows.tolist():
+            byte = 0
+            if start < over:
+                before, at, byte = out[-1]
+                byte += self.width[before] - (len(text[at:start].encode()) if start > at else 0)
+            out.append((token, start, byte))
+            over = end
+        return out
+
     def tree(self, text: str, at: int, size: int) -> np.ndarray:
         """Tokens of text[at:at + size]: both halves', joined."""
         if size <= LEAF:
@@ -129,9 +145,9 @@ class Codec:
             a = int(left[i, 1]) if i else begin
             b = int(right[j - 1, 2]) if j < len(right) else end
             new = self.spans(text[a:b], a)
-            place = {tuple(t): k for k, t in enumerate(new.tolist())}
+            place = {t: k for k, t in enumerate(self.places(text, new))}
             # a token of each side that the window has too; a side that the window holds whole needs none
-            before, behind = [tuple(t) for t in left[i:].tolist()], [tuple(t) for t in right[:j].tolist()]
+            before, behind = self.places(text, left[i:]), self.places(text, right[:j])
             first = (0, 0) if not i else next(((p, place[t]) for p, t in enumerate(before, i) if t in place), None)
             last = (j, len(new)) if j == len(right) else next(((p, place[behind[p]]) for p in range(j - 1, -1, -1) if behind[p] in place), None)
             if first and last and first[1] <= last[1]:
@@ -354,6 +370,27 @@ def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> D
     return in_arrow(level.drop("k"), names, fields, finish)
 
 
+def encoded(docs: DataFrame, path: str, text_col: str, carried: list[str], out: list, values, piece: int = PIECE) -> DataFrame:
+    """The columns `carried` of `docs` and the fields `out`, whose Arrow arrays values(codec, ids) makes of the ids of some
+    texts. Texts of more than `piece` characters are encoded in pieces by different tasks and joined up a tree."""
+    spark = docs.sparkSession
+    for_python(spark)
+    shared = spark.sparkContext.broadcast(read_spec(path))
+    text, key, *names = free_names(docs, "text", "key", *(f.name for f in out))
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, out)]
+    rows = docs.select(*(F.col(quoted(c)) for c in carried), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias(text))
+
+    def whole(batch):
+        codec = codec_of(shared.value)
+        return values(codec, codec.ids(batch.column(text).to_pylist()))
+
+    short = in_arrow(rows.where(F.length(text) <= piece), [text], fields, whole)
+    long = rows.where(F.length(text) > piece).withColumn(key, F.sha2(text, 256))
+    roots = tree_encode(long.select(F.col(key).alias("key"), F.col(text).alias("__text")), shared, piece, fields, values)
+    joined = long.drop(text).join(roots.withColumnRenamed("key", key), key).drop(key)
+    return short.unionByName(joined).withColumnsRenamed({n: f.name for n, f in zip(names, out)})
+
+
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE, keep_text: bool = True) -> DataFrame:
     """`docs` with the column `ids_col` (array<int>): the ids that the tokenizer file at `path` gives to the whole text,
     without special tokens added; and, if named, `decoded_col`, what they decode to. They replace columns of their names.
@@ -361,27 +398,15 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
     A null text counts as empty; an empty one has no ids. Special tokens that a text spells out are encoded as such, as
     the library does. Rows may repeat; an empty table gives an empty result; all other columns are kept, whatever their
-    names (but __text, __ids, __decoded and __key are the operator's own).
+    names.
     """
-    spark = docs.sparkSession
-    for_python(spark)
-    shared = spark.sparkContext.broadcast(read_spec(path))
     carried = [c for c in docs.columns if c not in (ids_col, decoded_col) and (keep_text or c != text_col)]
-    rows = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    fields = [T.StructField("__ids", INTS), *([T.StructField("__decoded", T.StringType())] if decoded_col else [])]
+    fields = [T.StructField(ids_col, INTS), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
 
     def values(codec, ids):
         return [ids_array(ids), *([decoded_array(codec, ids)] if decoded_col else [])]
 
-    def whole(batch):
-        codec = codec_of(shared.value)
-        return values(codec, codec.ids(batch.column("__text").to_pylist()))
-
-    short = in_arrow(rows.where(F.length("__text") <= piece), ["__text"], fields, whole)
-    long = rows.where(F.length("__text") > piece).withColumn("__key", F.sha2("__text", 256))
-    roots = tree_encode(long.select(F.col("__key").alias("key"), "__text"), shared, piece, fields, values)
-    joined = long.drop("__text").join(roots.withColumnRenamed("key", "__key"), "__key").drop("__key")
-    return short.unionByName(joined).withColumnsRenamed({"__ids": ids_col, "__decoded": decoded_col or "__decoded"})
+    return encoded(docs, path, text_col, carried, fields, values, piece)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -68,6 +68,23 @@ def for_python(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for an operator's own columns, made of those wanted, that `df` hasn't got, whatever the case of its names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

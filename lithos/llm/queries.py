@@ -9,12 +9,15 @@ from lithos.llm.bpe import bpe_digests
 from lithos.llm.common import documents
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.exact_search import exact_top_k
+from lithos.llm.filter_audit import filter_audit
 from lithos.llm.html_text import html_text
 from lithos.llm.language_id import language_id
 from lithos.llm.mixing import mix_query
 from lithos.llm.near_dedup import near_dedup
+from lithos.llm.packing import pack
 from lithos.llm.quotation import link_quotations, with_planted_quotes
 from lithos.llm.token_counts import falls_back, token_counts, vocabulary
+from lithos.llm.vector_codes import ENTRIES, PARTS, ROUNDS, vector_codes
 from lithos.llm.warc import audit_pages
 
 #: The tokenizer file of the encoding queries.
@@ -66,6 +69,18 @@ def op10_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(WORD_BPE))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
@@ -77,8 +92,33 @@ QUERIES = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def codes_sql(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> str:
+    """The SQL of the coding query: one block of WITH for each round, every part held against every entry."""
+    nearest = "SELECT id, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT x.id, x.p, c.entry, list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - c.x[i]) * (x.x[i] - c.x[i]))) AS d FROM x JOIN c{k} c USING (p)) GROUP BY id, p"
+    blocks = []
+    for k in range(rounds + 1):
+        blocks.append(f"a{k} AS MATERIALIZED ({nearest.format(k=k).replace('SELECT id,', 'SELECT id, p,', 1)})")
+        if k < rounds:
+            mean = f"SELECT p, entry, list(m ORDER BY i) AS x FROM (SELECT p, entry, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM (SELECT x.p, a.entry, unnest(x.x) AS v, unnest(range(len(x.x))) AS i FROM x JOIN a{k} a USING (id, p)) GROUP BY p, entry, i) GROUP BY p, entry"
+            blocks.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN ({mean}) m USING (p, entry))")
+    return f"""
+        WITH v AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) r(p)),
+        c0 AS MATERIALIZED (SELECT p, id - 1 AS entry, x FROM x WHERE id <= {entries}),
+        {", ".join(blocks)},
+        e AS (SELECT id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id),
+        s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (id), s"""
+
+
 ORACLES = {
     "op1_quotation_linking": r"""
         WITH RECURSIVE base AS (SELECT conv_id, turn, min(text) AS said FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
@@ -128,6 +168,35 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS n FROM p)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS original FROM t),
+        l AS (SELECT doc_id, max(coalesce(quality = 1, FALSE)) AS good, max(coalesce(toxic = 1, FALSE)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        f AS (
+            SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+                   regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > original, FALSE) AS e, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+            FROM w LEFT JOIN l USING (doc_id)),
+        m AS (
+            SELECT part, MAP {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS f, a::INT + b::INT + c::INT + d::INT + e::INT AS failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t
+            WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+        g AS (
+            SELECT part, o, step, o[step] AS own, f[o[step]] AS fails, failed, n, good, toxic,
+                   len(list_filter(range(1, step), lambda i: f[o[i]])) > 0 AS gone
+            FROM m, o, range(1, 6) r(step)),
+        h AS (
+            SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails AND failed = 1), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+            FROM g GROUP BY part, o, step, own)
+        SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM h""",
+    "op13_vector_codes": codes_sql(),
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
