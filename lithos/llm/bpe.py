@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import Scratch, for_python, free_names, held, quoted, trimmed
+from lithos.llm.common import Scratch, for_python, held, quoted, trimmed
 
 #: Texts above this many characters are dealt out to tasks in pieces of it.
 PIECE = 32_768
@@ -337,11 +337,11 @@ def decoded_array(codec: Codec, ids) -> pa.Array:
 
 
 def tree_encode(texts: DataFrame, shared, piece: int, fields: list, values) -> DataFrame:
-    """key and `fields`, whose arrays values(codec, ids) gives, of each distinct (key, __text): its pieces are encoded by
+    """key and `fields`, whose arrays values(codec, ids) gives, of each distinct (key, text): its pieces are encoded by
     different tasks and joined up the tree. Pieces are longer than any special token, so that one lies in two at most."""
     scratch = Scratch(texts.sparkSession, "bpe")
-    n = F.ceil(F.length("__text") / F.lit(piece)).cast("int")
-    cut = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("__text", i * piece + 1, F.lit(piece)))).alias("k", "part"))
+    n = F.ceil(F.length("text") / F.lit(piece)).cast("int")
+    cut = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * piece + 1, F.lit(piece)))).alias("k", "part"))
     pieces = cut.dropDuplicates(["key", "k"])
 
     def encode(batch):
@@ -376,19 +376,19 @@ def encoded(docs: DataFrame, path: str, text_col: str, carried: list[str], out:
     spark = docs.sparkSession
     for_python(spark)
     shared = spark.sparkContext.broadcast(read_spec(path))
-    text, key, *names = free_names(docs, "text", "key", *(f.name for f in out))
-    fields = [T.StructField(n, f.dataType) for n, f in zip(names, out)]
-    rows = docs.select(*(F.col(quoted(c)) for c in carried), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias(text))
+    # columns go to Python by number, because names may hold anything
+    numbered = [f"c{k}" for k in range(len(carried))]
+    rows = docs.select(*(F.col(quoted(c)) for c in carried), F.coalesce(F.col(quoted(text_col)), F.lit(""))).toDF(*numbered, "text")
+    fields = [T.StructField(f"f{k}", f.dataType) for k, f in enumerate(out)]
 
     def whole(batch):
         codec = codec_of(shared.value)
-        return values(codec, codec.ids(batch.column(text).to_pylist()))
+        return values(codec, codec.ids(batch.column("text").to_pylist()))
 
-    short = in_arrow(rows.where(F.length(text) <= piece), [text], fields, whole)
-    long = rows.where(F.length(text) > piece).withColumn(key, F.sha2(text, 256))
-    roots = tree_encode(long.select(F.col(key).alias("key"), F.col(text).alias("__text")), shared, piece, fields, values)
-    joined = long.drop(text).join(roots.withColumnRenamed("key", key), key).drop(key)
-    return short.unionByName(joined).withColumnsRenamed({n: f.name for n, f in zip(names, out)})
+    short = in_arrow(rows.where(F.length("text") <= piece), ["text"], fields, whole)
+    long = rows.where(F.length("text") > piece).withColumn("key", F.sha2("text", 256))
+    joined = long.drop("text").join(tree_encode(long.select("key", "text"), shared, piece, fields, values), "key").drop("key")
+    return short.unionByName(joined).toDF(*carried, *(f.name for f in out))
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE, keep_text: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ import gc
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithos.scratch import Scratch, shared_dir  # noqa: F401  (for the operators)
 from lithos.session import ship
@@ -85,6 +86,20 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def by_batches(df: DataFrame, carried: list[str], inputs: list[Column], fields: list, run) -> DataFrame:
+    """The columns `carried` of `df` and the fields `fields`, whose arrays run(arrays of `inputs`) gives for each Arrow batch.
+    Columns go to Python by number, because names may hold anything and may be those of `fields` and `inputs`."""
+    rows = df.select(*(F.col(quoted(c)) for c in carried), *inputs).toDF(*map(str, range(len(carried) + len(inputs))))
+    schema = T.StructType([*rows.schema.fields[: len(carried)], *(T.StructField(f"f{k}", f.dataType) for k, f in enumerate(fields))])
+    names = schema.names
+
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *run(*batch.columns[len(carried) :])], names=names)
+
+    return rows.mapInArrow(trimmed(each), schema).toDF(*carried, *(f.name for f in fields))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import Scratch, for_python, quoted, trimmed
+from lithos.llm.common import Scratch, by_batches, for_python, held, quoted
 
 FILTERS = "ABCDE"
 #: Fewest words; least share of distinct words and largest share of capitals, of a hundred; bytes that no text may hold.
@@ -198,18 +198,13 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True,
     spark = docs.sparkSession
     for_python(spark)
     carried = [c for c in docs.columns if c not in out and (keep_text or c != text_col)]
-    # columns go to Python by number, because names may hold anything
-    rows = docs.select(*(F.col(quoted(c)) for c in carried), F.coalesce(F.col(quoted(text_col)), F.lit(""))).toDF(*map(str, range(len(carried) + 1)))
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in out)])
-
-    def run(batches):
-        scanner = Scanner()
-        for batch in batches:
-            if batch.num_rows:
-                found = scanner.counts(*buffers(batch.column(len(carried))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, k]) for k in range(len(out)))], names=schema.names)
-
-    return rows.mapInArrow(trimmed(run), schema).toDF(*carried, *out)
+
+    def run(texts):
+        found = held("scanner", Scanner).counts(*buffers(texts)) if len(texts) else np.zeros((0, len(out)), np.int64)
+        return [pa.array(found[:, k]) for k in range(len(out))]
+
+    fields = [T.StructField(c, T.LongType()) for c in out]
+    return by_batches(docs, carried, [F.coalesce(F.col(quoted(text_col)), F.lit(""))], fields, run)
 
 
 def orders(letters: str = FILTERS) -> list[dict]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python, held, trimmed
+from lithos.llm.common import by_batches, for_python, held, quoted
 
 # Elements of HTML by how they are parsed and what they are.
 RAW = ("script", "style", "iframe", "noframes", "noembed", "textarea", "title", "xmp")
@@ -339,13 +339,9 @@ def html_text(pages: DataFrame, html_col: str = "html", text_col: str = "text")
     """
     for_python(pages.sparkSession)
     carried = [c for c in pages.columns if c != text_col]
-    source = "__page"
 
-    def run(batches):
+    def run(pages):
         held("html", object)
-        for batch in batches:
-            texts = pa.array([main_text(x or "") for x in batch.column(source).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), texts], names=[*carried, text_col])
+        return [pa.array([main_text(x or "") for x in pages.to_pylist()], pa.string())]
 
-    schema = T.StructType([*(pages.schema[c] for c in carried), T.StructField(text_col, T.StringType())])
-    return pages.select(*carried, F.col(html_col).alias(source)).mapInArrow(trimmed(run), schema)
+    return by_batches(pages, carried, [F.col(quoted(html_col))], [T.StructField(text_col, T.StringType())], run)

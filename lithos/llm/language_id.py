@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python, held, trimmed
+from lithos.llm.common import by_batches, for_python, held, quoted
 
 UNDETERMINED = "und"
 #: The classifier is fitted on at most this many documents a language, a window of so many characters from each.
@@ -24,8 +24,9 @@ SAMPLE_DOCS, SAMPLE_WINDOW, SAMPLE_CHARS = 200, 1024, 32_768
 MOST_LANGUAGES = 1000
 #: Characters parsed at a stretch; of that many segments at once.
 SEGMENT, LANES = 256, 8_192
-#: Parts into which a language's rows are dealt before its lowest are taken; places of an automaton for each transition.
-DEALT, PLACES = 256, 4
+#: Parts into which a language's rows are dealt before its lowest are taken; places of an automaton for each transition, and
+#: rounds in which they must come to rest.
+DEALT, PLACES, ROUNDS = 256, 2, 100
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -59,41 +60,54 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Automaton:
-    """A suffix automaton in flat arrays: the transition of state s on class c stands at base[s] + c, if check says s there.
-    Rows of states interleave, so that the arrays grow with the number of transitions and not with the alphabet."""
+    """A suffix automaton in flat arrays: the transition of state s on class c stands at one of two places that the pair
+    (s, c) is hashed to (cuckoo hashing), so that a step looks twice, and the arrays grow with the number of transitions and
+    not with the alphabet or with how wide a state is."""
 
     def __init__(self, following: list[dict[int, int]], width: int):
         n = len(following)
-        rows = [sorted((c, to) for c, to in x.items() if c) for x in following]  # class 0 matches nothing
-        wide_first = sorted(range(n), key=lambda s: -len(rows[s]))
-        state = np.array([s for s in wide_first for _ in rows[s]], dtype=np.int32)
-        code, to = np.array([x for s in wide_first for x in rows[s]], dtype=np.int32).reshape(-1, 2).T
-        size = PLACES * len(state) + 2 * width + 1
-        self.base, self.check, self.to = np.zeros(n + 1, dtype=np.int32), np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        # class 0 matches nothing
+        rows = [(s, c, to) for s, x in enumerate(following) for c, to in x.items() if c]
+        state, code, to = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+        self.width = np.uint64(width)
+        keys, bits, place = state.astype(np.uint64) * self.width + code.astype(np.uint64), max(4, (PLACES * len(rows)).bit_length()), None
         r = np.random.default_rng(n)
-        left = np.arange(len(state))
-        while len(left):  # rows take random places; those that meet a taken one, or a wider row's, try again
-            bases = r.integers(0, size - width, n + 1, dtype=np.int32)
-            place = bases[state[left]] + code[left]
-            first = np.zeros(len(left), dtype=bool)
-            first[np.unique(place, return_index=True)[1]] = True
-            good = np.ones(n, dtype=bool)
-            good[state[left][~first | (self.check[place] >= 0)]] = False
-            done = good[state[left]]
-            at = left[done]
-            self.base[state[at]] = bases[state[at]]
-            self.check[place[done]], self.to[place[done]] = state[at], to[at]
-            left = left[~done]
+        while place is None:
+            self.hashes, self.shift = r.integers(1 << 62, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(64 - bits)
+            place = self.placed(keys, bits)
+            bits += 1
+        self.key, self.to = np.full(len(place), np.iinfo(np.uint64).max), np.zeros(len(place), dtype=np.int32)
+        full = place >= 0
+        self.key[full], self.to[full] = keys[place[full]], to[place[full]]
         #: Where a phrase stands after its first character; state n, without transitions, for one that occurs nowhere.
         self.start = n
         self.first = np.full(width, n, dtype=np.int32)
-        self.first[[c for c, _ in rows[0]]] = [x for _, x in rows[0]]
+        self.first[code[state == 0]] = to[state == 0]
+
+    def placed(self, keys: np.ndarray, bits: int) -> np.ndarray | None:
+        """Which key stands at each place. Keys are put at their first place all at once; those that were pushed out go to
+        their other place, and so on. None if they don't come to rest in ROUNDS; then more places and other hashes are tried."""
+        at = np.stack([(keys * h) >> self.shift for h in self.hashes]).astype(np.int64)
+        place = np.full(1 << bits, -1, dtype=np.int64)
+        choice, moving = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        for _ in range(ROUNDS):
+            to = at[choice[moving], moving]
+            out = place[to]
+            place[to] = moving
+            pushed = np.unique(np.concatenate([moving, out[out >= 0]]))
+            moving = pushed[place[at[choice[pushed], pushed]] != pushed]
+            if not len(moving):
+                return place
+            choice[moving] ^= 1
+        return None
 
     def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after one more character each, and whether a phrase begins with it."""
-        at = self.base.take(state) + code
-        fresh = self.check.take(at) != state
-        return np.where(fresh, self.first.take(code), self.to.take(at)), fresh
+        key = state.astype(np.uint64) * self.width + code.astype(np.uint64)
+        one, two = (((key * h) >> self.shift).astype(np.int64) for h in self.hashes)
+        at_one, at_two = self.key.take(one) == key, self.key.take(two) == key
+        to = np.where(at_one, self.to.take(one), np.where(at_two, self.to.take(two), self.first.take(code)))
+        return to, ~(at_one | at_two)
 
 
 class Model:
@@ -211,30 +225,25 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
     """
     spark = docs.sparkSession
     for_python(spark)
-    rows = docs.drop(pred_col, score_col)
-    carried = [c for c in rows.columns]
+    carried = [c for c in docs.columns if c not in (pred_col, score_col)]
     shared = spark.sparkContext.broadcast(Model(samples) if samples else None)
-    schema = T.StructType([*rows.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
-    def run(batches):
+    def run(texts, lettered):
         held("language", object)
-        model = shared.value
-        for batch in batches:
-            texts, letters = batch.column("__text").to_pylist(), batch.column("__letters").to_pylist()
-            at = [i for i, ok in enumerate(letters) if ok and model]
-            said, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            begin = chars = 0
-            for k, i in enumerate(at, 1):
-                chars += len(texts[i])
-                if chars >= SEGMENT * LANES or k == len(at):
-                    for j, x, s in zip(at[begin:k], *model.predict([texts[j] for j in at[begin:k]])):
-                        said[j], scores[j] = x, s
-                    begin, chars = k, 0
-            kept = [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*carried, pred_col, score_col])
-
-    text = F.col(text_col)
-    return rows.select("*", text.alias("__text"), lettered(text).alias("__letters")).mapInArrow(trimmed(run), schema)
+        model, texts = shared.value, texts.to_pylist()
+        at = [i for i, ok in enumerate(lettered.to_pylist()) if ok and model]
+        said, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        begin = chars = 0
+        for k, i in enumerate(at, 1):
+            chars += len(texts[i])
+            if chars >= SEGMENT * LANES or k == len(at):
+                for j, x, s in zip(at[begin:k], *model.predict([texts[j] for j in at[begin:k]])):
+                    said[j], scores[j] = x, s
+                begin, chars = k, 0
+        return [pa.array(said, pa.string()), pa.array(scores, pa.float64())]
+
+    text, fields = F.col(quoted(text_col)), [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    return by_batches(docs, carried, [text, lettered(text)], fields, run)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ over the order that narrow the place of the cut, so that no pattern's documents
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,64 +57,81 @@ def route(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, i
         groups.setdefault(top(p[0]), []).append(p)
     out = {}
     for some in groups.values():
-        if len(some) == 1 and len(some[0]) == 1:
-            out[some[0]] = min(copies * capacity[some[0]], quota[some[0][0]])
-        else:
-            out |= flow({p: capacity[p] for p in some}, {s: quota[s] for p in some for s in p}, copies)
+        out |= flow({p: capacity[p] for p in some}, {s: quota[s] for p in some for s in p}, copies)
     return out
 
 
 def flow(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, int]:
     """The flow of one group.
 
-    The k-th time that a pattern's words are taken costs 2k + 1 a word: successive shortest paths over the arcs
-    start -> pattern (one for each copy), pattern -> source, source -> end.
+    The k-th time that a pattern's words are taken costs 2k + 1 a word, on an arc start -> pattern; the arcs pattern ->
+    source and source -> end cost nothing. So all paths of one cost begin with the arcs of one k, and the successive
+    shortest paths are found k by k, each time as many as there are: by blocking flows over the arcs that lead a step nearer.
+    What can't be routed at one k can't be later either, because no later path leads through it.
     """
     patterns, sources = sorted(capacity, key=repr), sorted(quota, key=lambda s: (s is None, str(s)))
     node = {("p", p): i + 2 for i, p in enumerate(patterns)} | {("s", s): i + 2 + len(patterns) for i, s in enumerate(sources)}
-    arcs: list[list] = []  # to, left, cost
-    out_of: list[list[int]] = [[] for _ in range(len(node) + 2)]
+    to, room, out_of = [], [], [[] for _ in range(len(node) + 2)]
 
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        out_of[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        out_of[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
+    def arc(a: int, b: int, n: int) -> int:
+        for x, y, free in ((a, b, n), (b, a, 0)):
+            out_of[x].append(len(to))
+            to.append(y)
+            room.append(free)
+        return len(to) - 2
 
-    taken: dict[tuple, list[int]] = {}
+    begins = {p: arc(0, node["p", p], 0) for p in patterns}
     for p in patterns:
-        taken[p] = [len(arcs) + 2 * k for k in range(copies)]
-        for k in range(copies):
-            arc(0, node["p", p], capacity[p], 2 * k + 1)
         for s in p:
-            arc(node["p", p], node["s", s], copies * capacity[p], 0)
+            arc(node["p", p], node["s", s], copies * capacity[p])
     for s in sources:
-        arc(node["s", s], 1, quota[s], 0)
-    height = [0] * len(out_of)
-    while True:
-        far, via, heap = {0: 0}, {}, [(0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
+        arc(node["s", s], 1, quota[s])
+    for _ in range(copies):
+        for p, i in begins.items():
+            room[i] += capacity[p]
+        while (far := distances(to, room, out_of))[1] >= 0:
+            block(to, room, out_of, far)
+    return {p: room[i ^ 1] for p, i in begins.items()}
+
+
+def distances(to: list[int], room: list[int], out_of: list[list[int]]) -> list[int]:
+    """Steps from node 0 to every node over arcs with room; -1 where there is no way."""
+    far = [-1] * len(out_of)
+    far[0], row = 0, [0]
+    while row and far[1] < 0:
+        after = []
+        for a in row:
             for i in out_of[a]:
-                b, room, cost = arcs[i]
-                if room and (e := d + cost + height[a] - height[b]) < far.get(b, 1 << 62):
-                    far[b], via[b] = e, i
-                    heapq.heappush(heap, (e, b))
-        if 1 not in far:
-            break
-        for a in range(len(height)):
-            height[a] += far.get(a, far[1])
-        path, a = [], 1
-        while a:
-            path.append(via[a])
-            a = arcs[via[a] ^ 1][0]
-        more = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= more
-            arcs[i ^ 1][1] += more
-    return {p: sum(arcs[i ^ 1][1] for i in taken[p]) for p in patterns}
+                if room[i] and far[to[i]] < 0:
+                    far[to[i]] = far[a] + 1
+                    after.append(to[i])
+        row = after
+    return far
+
+
+def block(to: list[int], room: list[int], out_of: list[list[int]], far: list[int]) -> None:
+    """Fill shortest ways from node 0 to node 1 until each has a full arc. An arc that leads nowhere is not tried again."""
+    tried, path, a = [0] * len(out_of), [], 0
+    while True:
+        if a == 1:
+            more = min(room[i] for i in path)
+            for i in path:
+                room[i] -= more
+                room[i ^ 1] += more
+            k = next(k for k, i in enumerate(path) if not room[i])
+            a = to[path[k] ^ 1]
+            del path[k:]
+        arcs = out_of[a]
+        while tried[a] < len(arcs) and not (room[arcs[tried[a]]] and far[to[arcs[tried[a]]]] == far[a] + 1):
+            tried[a] += 1
+        if tried[a] < len(arcs):
+            path.append(arcs[tried[a]])
+            a = to[path[-1]]
+        elif path:
+            a = to[path.pop() ^ 1]
+            tried[a] += 1
+        else:
+            return
 
 
 def cuts(rows: DataFrame, quotas: DataFrame) -> DataFrame:

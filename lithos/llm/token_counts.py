@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import for_python, held, trimmed
+from lithos.llm.common import by_batches, for_python, held, quoted
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -131,15 +131,10 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], text_col: str
     for_python(spark)
     shared = spark.sparkContext.broadcast(pieces)
     carried = [c for c in docs.columns if c not in ("n_tokens", "score") and (keep_text or c != text_col)]
-    source = "__text"
 
-    def run(batches):
-        counter = counter_of(shared.value, byte_fallback)
-        for batch in batches:
-            found = counter.counts([x or "" for x in batch.column(source).to_pylist()])
-            own = [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *own], names=[*carried, "n_tokens", "score"])
+    def run(texts):
+        found = counter_of(shared.value, byte_fallback).counts([x or "" for x in texts.to_pylist()])
+        return [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())]
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]
-    schema = T.StructType([*(docs.schema[c] for c in carried), *own])
-    return docs.select(*carried, F.col(text_col).alias(source)).mapInArrow(trimmed(run), schema)
+    return by_batches(docs, carried, [F.col(quoted(text_col))], own, run)

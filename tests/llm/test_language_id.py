@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 import lithos.llm.language_id as L
 from lithos.llm.language_id import Model, identify, language_id, language_samples
 
@@ -76,5 +78,49 @@ def test_wide_alphabets_need_little_memory():
     samples = {"wide": ["".join(r.sample(wide, 20_000)), "".join(r.choice(wide) for _ in range(12_000))]}
     samples |= {f"l{k}": ["".join(r.choice("etaoin shrdlu") for _ in range(2000))] for k in range(10)}
     model = L.Model(samples)
-    assert sum(x.nbytes for a in model.automata for x in (a.base, a.check, a.to, a.first)) < 50e6
+    assert sum(x.nbytes for a in model.automata for x in (a.key, a.to, a.first)) < 50e6
     assert model.predict([samples["wide"][0][:300], samples["l3"][0][100:900]])[0] == ["wide", "l3"]
+
+
+def zipf(r, letters, n):
+    """A text of letters by Zipf's law, as a sample of a script with many of them."""
+    weights = [1 / k for k in range(1, letters + 1)]
+    return "".join(chr(0x4E00 + k) for k in r.choices(range(letters), weights, k=n))
+
+
+def test_scripts_with_many_letters_are_built_soon():
+    import time
+
+    r = random.Random(6)
+    for letters in (60, 1000, 3000, 20_000):
+        text = zipf(r, letters, L.SAMPLE_CHARS)
+        following = L.suffix_automaton([ord(c) - 0x4E00 + 1 for c in text])
+        start = time.time()
+        automaton = L.Automaton(following, letters + 1)
+        assert time.time() - start < 5
+        assert automaton.key.nbytes + automaton.to.nbytes + automaton.first.nbytes < 50e6
+        for s in r.sample(range(len(following)), 500):
+            for c in {*following[s], r.randrange(1, letters)}:
+                to, fresh = automaton.step(np.array([s], np.int32), np.array([c], np.int32))
+                assert (fresh[0], to[0]) == ((False, following[s][c]) if c in following[s] else (True, automaton.first[c]))
+
+
+def test_held_out_accuracy_on_other_scripts(spark):
+    """Generated languages over CJK, Cyrillic and Greek letters, two of each script, that differ in their words."""
+    r, rows = random.Random(7), []
+    scripts = {"han": (0x4E00, 2500, 1, 2), "cyrillic": (0x430, 32, 2, 8), "greek": (0x3B1, 24, 2, 8)}
+    for name, (begin, n, least, most) in scripts.items():
+        for k in range(2):
+            words = ["".join(chr(begin + r.randrange(n)) for _ in range(r.randint(least, most))) for _ in range(800)]
+            weights = [1 / i for i in range(1, 801)]
+            rows += [(0, ("" if name == "han" else " ").join(r.choices(words, weights, k=80)), f"{name}{k}") for _ in range(60)]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)]
+    found = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [x for x in found if x.held_out]
+    assert len(held) > 60 and sum(x.lang_pred == rows[x.doc_id][2] for x in held) >= 0.95 * len(held)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "hello there", "en", 2, 3)], "doc_id long, text string, lang string, `__text` int, `__letters.x` int")
+    row = identify(df, {"en": ["hello there"], "fr": ["bonjour"]}).first()
+    assert tuple(row) == (1, "hello there", "en", 2, 3, "en", row.score)

@@ -90,3 +90,26 @@ def test_many_sources_that_do_not_overlap():
     capacity = {(f"s{i}",): i for i in range(50_000)}
     given = M.route(capacity, {s: 3 for (s,) in capacity}, 2)
     assert all(n == min(2 * i, 3) for i, n in enumerate(given.values()))
+
+
+def test_many_overlapping_sources():
+    import time
+
+    r = random.Random(9)
+    sources = [f"s{i}" for i in range(5000)]
+    patterns = {(s,) for s in sources} | {tuple(sorted(r.sample(sources, r.choice([2, 2, 3])))) for _ in range(10_000)}
+    capacity = {p: r.randint(1, 1000) for p in patterns}
+    quota = {s: r.randint(1, 3000) for s in sources}
+    start = time.time()
+    given = M.route(capacity, quota, 2)
+    assert time.time() - start < 30
+    assert all(0 <= n <= 2 * capacity[p] for p, n in given.items()) and sum(given.values()) <= sum(quota.values())
+    # no source that still wants words belongs to a pattern with words left
+    assert sum(given.values()) >= sum(min(q, 2 * capacity[(s,)]) for s, q in quota.items())
+
+
+def test_the_query_goes_through_the_flow(spark, monkeypatch):
+    routed, flow = [], M.flow
+    monkeypatch.setattr(M, "flow", lambda capacity, quota, copies: routed.append(set(capacity)) or flow(capacity, quota, copies))
+    M.mix_query(spark.createDataFrame(corpus(), SCHEMA))
+    assert set().union(*routed) == {("s0",), ("s1",), ("s2",), ("s3",), (None,)}
