@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lithos.llm.bpe import bpe_encode
-from lithos.llm.common import Scratch, documents, word_count
+from lithos.llm.common import Scratch, documents, free_names, word_count
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.language_id import UNDETERMINED, identify, language_samples, lettered
 from lithos.llm.mixing import mix
@@ -18,57 +18,62 @@ ORACLE_SQL = None
 
 
 def numbered(spark, docs):
-    """`docs` written with a number of its own for each row, because ids may repeat or be null."""
-    return Scratch(spark, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """`docs` written with a number of its own for each row, because ids may repeat or be null, and that column's name."""
+    (row,) = free_names(docs, "row")
+    return Scratch(spark, "rows").save(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def one_a_group(rows, groups, best):
-    """The rows that come first by `best` of each group (__row, __group), without their numbers."""
-    ids = rows.select("__row", "doc_id").join(groups, "__row")
-    kept = ids.groupBy("__group").agg(best.alias("__best")).select("__best.__row")
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+def one_a_group(rows, row, groups, best):
+    """The rows that come first by best(number) of each group (doc_id, group), without their numbers; doc_id is the number."""
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).join(groups.withColumnRenamed("doc_id", "row"), "row")
+    kept = ids.groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def keep_language(spark, docs, sf_dir):
     """Documents whose language can be told stay: those with letters. Labels are read to learn from only; where there are
-    none to learn from, documents with letters stay all the same."""
+    none to learn from, documents with letters stay all the same. No documents give none."""
     samples = language_samples(docs)
     if not samples:
         return docs.where(lettered(F.col("text")))
-    told = identify(docs, samples, pred_col="__lang_pred", score_col="__score")
-    return told.where(F.col("__lang_pred") != UNDETERMINED).select(*docs.columns)
+    pred, score = free_names(docs, "lang_pred", "score")
+    told = identify(docs, samples, pred_col=pred, score_col=score)
+    return told.where(F.col(pred) != UNDETERMINED).drop(pred, score)
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of identical texts one row with the largest id stays."""
-    rows = numbered(spark, docs)
-    groups = exact_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("__group"))
-    return one_a_group(rows, groups, F.max(F.struct("doc_id", "__row")))
+    """Of identical texts one row with the largest id stays. No documents give none."""
+    rows, row = numbered(spark, docs)
+    groups = exact_dedup(rows, row).select("doc_id", F.col("keep_id").alias("group"))
+    return one_a_group(rows, row, groups, F.max(F.struct("id", "row")))
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """Of linked documents (shingles of five words, similarity of 0.8 or more) one row with the smallest id stays; null ids
-    come last."""
-    rows = numbered(spark, docs)
-    groups = near_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    return one_a_group(rows, groups, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")))
+    come last. No documents give none."""
+    rows, row = numbered(spark, docs)
+    groups = near_dedup(rows, row).select("doc_id", F.col("component_id").alias("group"))
+    return one_a_group(rows, row, groups, F.min(F.struct(F.col("id").isNull(), "id", "row")))
 
 
 def mix_sources(spark, docs, sf_dir):
     """Documents of the mix, as often as it takes them: each at most twice. A document that it doesn't take goes. Rows with
-    the same id, size and source are taken alike, so these are what a row is joined to its decision by."""
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    keys = F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.get("pattern", F.lit(0)).alias("__source")
-    facts = mix(docs).groupBy(*keys).agg(F.first(times).alias("__times")).where("__times > 0")
-    rows = docs.withColumn("__words", word_count(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(facts["__id"]) & (rows["__words"] == facts["__size"]) & rows["source"].eqNullSafe(facts["__source"])
-    repeated = rows.join(facts, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return repeated.select(*docs.columns)
+    the same id, size and source are taken alike, so these are what a row is joined to its decision by. No documents give
+    none."""
+    ident, size, origin, times, words, copy = free_names(docs, "id", "size", "origin", "times", "words", "copy")
+    taken = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    keys = F.col("doc_id").alias(ident), F.col("size").alias(size), F.get("pattern", F.lit(0)).alias(origin)
+    facts = mix(docs).groupBy(*keys).agg(F.first(taken).alias(times)).where(F.col(times) > 0)
+    rows = docs.withColumn(words, word_count(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(facts[ident]) & (rows[words] == facts[size]) & rows["source"].eqNullSafe(facts[origin])
+    repeated = rows.join(facts, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.drop(ident, size, origin, times, words, copy)
 
 
 def encode(spark, docs, sf_dir):
     """Ids of every document's whole text, with the text's columns dropped but for its id, language and source. The copies that
-    the mix makes of a document stand side by side, and equal texts of a batch are encoded once."""
+    the mix makes of a document stand side by side, and equal texts of a batch are encoded once. No documents give
+    none."""
     return bpe_encode(docs, public_tokenizers.path(WORD_BPE), keep_text=False).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
