@@ -17,6 +17,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -33,7 +34,7 @@ PIECE = 32_768
 #: Characters of a leaf inside an unsplit run, and tokens on either side of the first window.
 LEAF, WINDOW = 512, 8
 #: Distinct runs in each of the two generations that a worker keeps, the longest of them, and how many are encoded at once.
-CACHE, CACHED_CHARS, AT_ONCE = 100_000, 64, 2000
+CACHE, CACHED_CHARS, AT_ONCE = 200_000, 64, 2000
 
 @lru_cache(None)
 def composers() -> frozenset:
@@ -66,7 +67,6 @@ class Codec:
         if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"[ \n]", x["content"]) for x in added):
             raise ValueError("needs a tokenizer that lower-cases, splits without white space and encodes bytes")
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
         self.special = {x["content"]: x["id"] for x in added}
         #: Special tokens as they stand in a text, which the tokenizer looks for before it does anything else.
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=lambda x: (-len(x), x)))) or r"(?!)")
@@ -85,16 +85,27 @@ class Codec:
             text.encode("latin-1")
         except UnicodeError:
             return self.tokenizer.normalizer.normalize_str(text)
-        return MARK.sub(r" \g<0>", text.lower())
+        text = text.lower()
+        for mark in ",.":
+            parts = text.split(mark)
+            if len(parts) > 1:
+                apart = " " + mark
+                marks = [apart if b[:1] in GAPS and a[-1:] in LETTERS else mark for a, b in zip(parts, parts[1:])]
+                text = "".join(chain.from_iterable(zip(parts, marks))) + parts[-1]
+        return text
 
     def pieces(self, text: str) -> list:
         """The independent pieces of a text in order: normalised runs, and the ids of special tokens that it spells out."""
         out, at = [], 0
         if self.special and not self.begins.isdisjoint(text):
             for m in self.specials.finditer(text):
-                out += [*GAP.split(self.normal(text[at : m.start()])), self.special[m[0]]]
+                out += [*self.runs(text[at : m.start()]), self.special[m[0]]]
                 at = m.end()
-        return out + GAP.split(self.normal(text[at:]))
+        return out + self.runs(text[at:])
+
+    def runs(self, text: str) -> list[str]:
+        """What stands between the gaps of a text without special tokens, normalised."""
+        return self.normal(text).replace("\n", " ").split(" ")
 
     def cuts(self, text: str) -> tuple[int, int]:
         """Where the first and the last place are at which `text`, cut from a longer one, may be cut again: characters on
@@ -161,37 +172,50 @@ class Codec:
         run = self.normal(text)
         return run, self.tree(run, 0, len(run))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, whole. Equal texts are encoded once."""
-        whole = list(dict.fromkeys(texts))
-        parts = [self.pieces(t) for t in whole]
-        fresh = []
-        for w in set(chain.from_iterable(parts)) - self.young.keys():
+    def learn(self, runs) -> None:
+        """Keep the ids of distinct runs. Words of letters are one part each and go to the model as the vocabulary spells them."""
+        tokenize, others = self.tokenizer.model.tokenize, []
+        for w in runs:
             if w.__class__ is int:
                 self.young[w] = packed([w])
             elif (known := self.old.get(w)) is not None:
                 self.young[w] = known
-            elif len(w) <= LEAF:
-                if (plain := letters(w)) is not None:
-                    self.young[w] = packed([t.id for t in self.model.tokenize(plain)])
-                else:
-                    fresh.append(w)
-            else:
+            elif len(w) > LEAF:
                 self.young[w] = packed(self.tree(w, 0, len(w))[:, 0])
-        for lo in range(0, len(fresh), AT_ONCE):
-            some = fresh[lo : lo + AT_ONCE]
+            elif w.isalpha() and (w.isascii() or LATIN(w)):
+                self.young[w] = packed([t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))])
+            else:
+                others.append(w)
+        for lo in range(0, len(others), AT_ONCE):
+            some = others[lo : lo + AT_ONCE]
             for w, e in zip(some, self.inner.encode_batch_fast(some, add_special_tokens=False)):
                 self.young[w] = packed(e.ids)
-        found = {t: np.frombuffer(b"".join(map(self.young.__getitem__, p)), dtype=np.int32) for t, p in zip(whole, parts)}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, whole. Equal texts are encoded once."""
+        whole = {t: None for t in texts}
+        parts, get, fresh = [], self.young.get, set()
+        for t in whole:
+            p = self.pieces(t)
+            found = list(map(get, p))
+            lack = [k for k, x in enumerate(found) if x is None]
+            fresh.update([p[k] for k in lack])
+            parts.append((p, found, lack))
+        self.learn(fresh)
+        for t, (p, found, lack) in zip(whole, parts):
+            for k in lack:
+                found[k] = self.young[p[k]]
+            whole[t] = np.frombuffer(b"".join(found), dtype=np.int32)
         if len(self.young) > CACHE:
             self.old = {w: x for w, x in self.young.items() if w.__class__ is int or len(w) <= CACHED_CHARS}
             self.young = {}
-        return [found[t] for t in texts]
+        return [whole[t] for t in texts]
 
 
 GAP = re.compile("[ \n]")
-#: In lower case, a comma or stop behind a letter and before a space or line end is a token of its own.
-MARK = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[ \n])")
+LATIN = re.compile("[\0-\xff]+").fullmatch
+#: In lower case, a comma or stop behind one of these letters and before a gap is a token of its own.
+LETTERS, GAPS = frozenset(map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])), frozenset(" \n")
 
 
 def byte_characters() -> dict[int, str]:
@@ -205,22 +229,8 @@ def byte_characters() -> dict[int, str]:
 BYTES = byte_characters()
 
 
-def letters(word: str) -> str | None:
-    """A word of small letters of Latin-1 as the vocabulary writes it; None for other words. Such a word is one part, which
-    the steps before the encoding leave as it is."""
-    if not word.isalpha() or not word.islower():
-        return None
-    if word.isascii():
-        return word
-    try:
-        word.encode("latin-1")
-    except UnicodeError:
-        return None
-    return word.encode().decode("latin-1").translate(BYTES) if word == word.lower() else None
-
-
 def packed(ids) -> bytes:
-    return np.array(ids, dtype=np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 def rows_of(e) -> np.ndarray:
@@ -270,7 +280,10 @@ class Run:
 
     @classmethod
     def of(cls, codec: Codec, text: str) -> "Run":
-        gaps = [m.span() for m in codec.specials.finditer(text)] + [m.span() for m in GAP.finditer(text)]
+        gaps = [m.span() for m in codec.specials.finditer(text)]
+        if m := GAP.search(text):
+            end = 1 + max(text.rfind(" "), text.rfind("\n"))
+            gaps += [m.span(), (end - 1, end)]
         if not gaps:
             return cls(*codec.rows(text))
         first, last = min(a for a, _ in gaps), max(b for _, b in gaps)

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import lithos.llm.filter_audit as A
+from lithos.llm.scanning import Scanner
 
 WORDS = st.text(st.sampled_from("aB# \t\n\x0b\x1c\xa0é日😀"), max_size=40)
 
@@ -28,14 +29,14 @@ def scan(scanner, texts):
 @given(st.lists(WORDS, max_size=8), st.sampled_from([1, 5, 16, 1 << 20]), st.booleans())
 def test_counts(texts, at_once, weak):
     # weights that are all the same make most words of one length clash
-    scanner = A.Scanner(at_once, np.full(256, 3, dtype=np.uint64) if weak else None)
+    scanner = Scanner(at_once, np.full(256, 3, dtype=np.uint64) if weak else None)
     assert scan(scanner, texts) == [plain(t) for t in texts]
 
 
 def test_long_texts():
     r = random.Random(1)
     text = " ".join("".join(r.choices("abcXé", k=r.choice([1, 2, 3, 50]))) for _ in range(20_000)) + " " + "y" * 200_000
-    assert scan(A.Scanner(1 << 12), [text, "", text[:100]]) == [plain(text), plain(""), plain(text[:100])]
+    assert scan(Scanner(1 << 12), [text, "", text[:100]]) == [plain(text), plain(""), plain(text[:100])]
 
 
 def by_brute_force(docs, labels):
