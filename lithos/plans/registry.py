@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("stats", "places", "rasters", "series", "networks", "models", "texts", "files")
+MODULES = ("stats", "places", "rasters", "series", "networks", "models", "texts", "files", "stores", "trees", "streams")
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 

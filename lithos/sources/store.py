@@ -1,7 +1,8 @@
 """The region store: layers of regions, tables of values keyed by them, rasters and settings, found in a folder tree.
 
 <root>/globals/* are settings; <root>/gis/*.gis rasters; <root>/gis/<layer>/membership.gis says which region each cell is
-in, and the .tab and .csv files below <layer> are its tables, named by their path.
+in, and the .tab and .csv files below <layer> are its tables, named by their path; a folder of that name with the part files
+that Spark writes is one table, too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.operators import grid as G
-from lithos.sources import raster, text
+from lithos.sources import gis, text
 
 RESERVED = {"membership", "centroid", "area"}
 
@@ -22,14 +23,13 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.cells = raster.read_rasters(spark, f"{self.root}/gis")
-        self.headers = raster.raster_headers(spark, f"{self.root}/gis")
+        self.headers = gis.read_heads(spark, f"{self.root}/gis")
         self.tables = self._tables()
 
     def _tables(self) -> DataFrame:
         """layer, table, region, value_double, value_string of all table files, in one scan."""
-        v = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tab,csv}").text(f"{self.root}/gis")
-        path = F.regexp_extract(F.col("_metadata.file_path"), r"/gis/([^/]+)/(.+)\.(?:tab|csv)$", 1), F.regexp_extract(F.col("_metadata.file_path"), r"/gis/([^/]+)/(.+)\.(?:tab|csv)$", 2)
+        v = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.tab,*.csv,part-*}").text(f"{self.root}/gis")
+        path = [F.regexp_extract("_metadata.file_path", r"/gis/([^/]+)/(.+)\.(?:tab|csv)(?:/part-[^/]*)?$", k) for k in (1, 2)]
         parts = F.split(F.trim("value"), r"\s*,\s*|\s+", 2)
         rows = v.where(~F.ltrim("value").startswith("#") & (F.trim("value") != "")).select(path[0].alias("layer"), path[1].alias("table"), F.get(parts, F.lit(0)).alias("region"), F.get(parts, F.lit(1)).alias("v"))
         bad = rows.where(F.element_at(F.split("table", "/"), -1).isin(*RESERVED)).select("table").first()
@@ -72,7 +72,25 @@ class Store:
         if head is None:
             raise KeyError(layer)
         grid = G.Grid(head.south, head.west, head.latsize, head.lonsize, head.latsteps, head.lonsteps)
-        return grid, self.cells.where(F.col("layer") == head.layer).select("lati", "loni", "value")
+        return grid, gis.read_cells(self.spark, head.path).select("lati", "loni", "value")
+
+    def raster(self, name: str) -> tuple[G.Grid, DataFrame]:
+        """Grid and cells of a raster of the store."""
+        head = self.headers.where(F.col("path").endswith(f"/gis/{name}.gis")).first()
+        if head is None:
+            raise KeyError(name)
+        return G.Grid(head.south, head.west, head.latsize, head.lonsize, head.latsteps, head.lonsteps), gis.read_cells(self.spark, head.path).select("lati", "loni", "value")
+
+    def answers(self, requests: DataFrame) -> DataFrame:
+        """`requests` (layer, table, region) with `answer`: the value as text, or a text that begins with ERROR and names what
+        there isn't; all of them by one join."""
+        known = self.layers().select("layer", F.explode("categories").alias("region"), F.lit(True).alias("known"))
+        named = self.tables.select("layer", "table").distinct().withColumn("named", F.lit(True))
+        value = self.tables.select("layer", "table", "region", F.coalesce("value_string", F.col("value_double").cast("string")).alias("value"))
+        rows = requests.join(named, ["layer", "table"], "left").join(known, ["layer", "region"], "left").join(value, ["layer", "table", "region"], "left")
+        missing = F.when(F.col("named").isNull(), F.concat_ws("/", "layer", "table")).otherwise(F.col("region"))
+        answer = F.when(F.col("named").isNull() | F.col("known").isNull() | F.col("value").isNull(), F.concat(F.lit("ERROR no "), missing)).otherwise(F.col("value"))
+        return rows.select(*requests.columns, answer.alias("answer"))
 
     def region_at(self, layer: str, points: DataFrame) -> DataFrame:
         """`points` (lat, lon) with the region that each lies in."""
