@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ from lithos.llm.common import Scratch, for_python, held, quoted, trimmed
 PIECE = 32_768
 #: Characters of a leaf inside an unsplit run, and tokens on either side of the first window.
 LEAF, WINDOW = 512, 8
-#: Distinct runs in each of the two generations that a worker keeps, the longest of them, and how many are encoded at once.
-CACHE, CACHED_CHARS, AT_ONCE = 200_000, 64, 2000
+#: Distinct runs in each of the two generations that a worker keeps, and the longest of them.
+CACHE, CACHED_CHARS = 200_000, 64
 
 @lru_cache(None)
 def composers() -> frozenset:
@@ -64,7 +65,8 @@ class Codec:
         kinds = json.loads(spec)
         steps = [[x["type"] for x in (kinds[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
         added = kinds["added_tokens"]
-        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"[ \n]", x["content"]) for x in added):
+        splits = [x for x in (kinds["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        if any(x["behavior"] != "Removed" or not x["invert"] for x in splits) or steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"[ \n]", x["content"]) for x in added):
             raise ValueError("needs a tokenizer that lower-cases, splits without white space and encodes bytes")
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = {x["content"]: x["id"] for x in added}
@@ -75,8 +77,10 @@ class Codec:
         self.inner = Tokenizer.from_str(json.dumps(kinds | {"normalizer": None, "added_tokens": [], "padding": None, "truncation": None}))
         #: Bytes of each token's spelling; the mark of a word's end is none of them.
         self.width = {i: len(x.removesuffix("</w>")) for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        #: The parts of a run.
+        self.split = regex.compile(kinds["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.runs_ids = Kept(self.run)
 
     def normal(self, text: str) -> str:
         """A text without special tokens, composed and lower-cased. Characters of Latin-1 don't compose, and Python lower-cases
@@ -172,44 +176,47 @@ class Codec:
         run = self.normal(text)
         return run, self.tree(run, 0, len(run))
 
-    def learn(self, runs) -> None:
-        """Keep the ids of distinct runs. Words of letters are one part each and go to the model as the vocabulary spells them."""
-        tokenize, others = self.tokenizer.model.tokenize, []
-        for w in runs:
-            if w.__class__ is int:
-                self.young[w] = packed([w])
-            elif (known := self.old.get(w)) is not None:
-                self.young[w] = known
-            elif len(w) > LEAF:
-                self.young[w] = packed(self.tree(w, 0, len(w))[:, 0])
-            elif w.isalpha() and (w.isascii() or LATIN(w)):
-                self.young[w] = packed([t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))])
-            else:
-                others.append(w)
-        for lo in range(0, len(others), AT_ONCE):
-            some = others[lo : lo + AT_ONCE]
-            for w, e in zip(some, self.inner.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[w] = packed(e.ids)
+    def run(self, run) -> bytes:
+        """Packed ids of a run. One of printable Latin-1 is split into its parts here, and these go to the model as the vocabulary
+        spells them; the tokenizer itself takes all others."""
+        if run.__class__ is int:
+            return packed([run])
+        if len(run) > LEAF:
+            return packed(self.tree(run, 0, len(run))[:, 0])
+        if run.isascii() and run.isalpha():
+            return packed([t.id for t in self.tokenize(run)])
+        if run.isprintable() and LATIN(run):
+            parts = [run] if run.isalpha() else self.split.findall(run)
+            return packed([t.id for p in parts for t in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))])
+        return packed(self.inner.encode(run, add_special_tokens=False).ids)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, whole. Equal texts are encoded once."""
-        whole = {t: None for t in texts}
-        parts, get, fresh = [], self.young.get, set()
-        for t in whole:
-            p = self.pieces(t)
-            found = list(map(get, p))
-            lack = [k for k, x in enumerate(found) if x is None]
-            fresh.update([p[k] for k in lack])
-            parts.append((p, found, lack))
-        self.learn(fresh)
-        for t, (p, found, lack) in zip(whole, parts):
-            for k in lack:
-                found[k] = self.young[p[k]]
-            whole[t] = np.frombuffer(b"".join(found), dtype=np.int32)
-        if len(self.young) > CACHE:
-            self.old = {w: x for w, x in self.young.items() if w.__class__ is int or len(w) <= CACHED_CHARS}
-            self.young = {}
-        return [whole[t] for t in texts]
+        found = {}
+        for t in texts:
+            if t not in found:
+                found[t] = np.frombuffer(b"".join(map(self.runs_ids.__getitem__, self.pieces(t))), dtype=np.int32)
+                self.runs_ids.age()
+        return [found[t] for t in texts]
+
+
+class Kept(dict):
+    """What make(key) gives, for the keys asked for of late: when there are CACHE, the short ones become the older generation,
+    from which those that are asked for again come back."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if (x := self.old.get(key)) is None:
+            x = self.make(key)
+        self[key] = x
+        return x
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = {w: x for w, x in self.items() if w.__class__ is int or len(w) <= CACHED_CHARS}
+            self.clear()
 
 
 GAP = re.compile("[ \n]")
