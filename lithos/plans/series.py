@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithos.operators import timeseries as T
+from lithos.operators.scan import smoothed_series
 from lithos.plans import views as V
 from lithos.plans.registry import query
 from lithos.plans.views import BARS, rounded, table
@@ -26,8 +27,16 @@ def ema(spark, sf_dir):
 
 @query(f"WITH {BARS} SELECT d, round(list_reduce(list(close) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), lambda a, x: 0.75::DOUBLE * a + 0.25::DOUBLE * x), 6) AS smooth FROM bars")
 def ema_by_bar(spark, sf_dir):
-    bars = V.bars(spark, sf_dir)
-    return rounded(bars.select("d", T.smoothed(F.col("close"), T.Window.partitionBy(F.lit(0)).orderBy("d"), 0.25).alias("smooth")))
+    return rounded(smoothed_series(V.bars(spark, sf_dir).select("d", "close"), None, ["d"], "close", 0.25).select("d", "smooth"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_type AS k, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    s AS (SELECT k, event_id, i, value AS s FROM n WHERE i = 1 UNION ALL SELECT n.k, n.event_id, n.i, 0.1::DOUBLE * n.value + 0.9::DOUBLE * s.s FROM s JOIN n ON n.k = s.k AND n.i = s.i + 1)
+    SELECT event_id, round(s, 6) AS smooth FROM s""")
+def ema_by_event(spark, sf_dir):
+    """Every event's value smoothed along its type: few keys, each a long series."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    return rounded(smoothed_series(events, "event_type", ["ts", "event_id"], "value", 0.1).select("event_id", "smooth"))
 
 
 @query(f"WITH {BARS} SELECT d, open, high, low, close, volume FROM bars")
