@@ -194,7 +194,11 @@ def scored_options(spark, sf_dir):
     return rounded(J.scored_options(t, "o_orderstatus", "o_orderpriority", "v", {"1-URGENT": 0.5, "2-HIGH": 0.3}).select("o_orderstatus", "score"), 8)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS source, CAST(floor(epoch(ts)) AS BIGINT) // 600 AS t FROM events),
+    a AS (SELECT s.source, s.t, p.t AS p FROM s ASOF LEFT JOIN s p ON s.source = p.source AND s.t + 30 <= p.t),
+    b AS (SELECT a.source, a.t, CASE WHEN p < a.t + 120 THEN p END AS partner, coalesce(CASE WHEN p < a.t + 120 THEN p END, q.t) AS next FROM a ASOF LEFT JOIN s q ON a.source = q.source AND a.t + 120 <= q.t),
+    w AS (SELECT source, min(t) AS t FROM s GROUP BY 1 UNION ALL SELECT b.source, b.next FROM w JOIN b USING (source, t) WHERE b.next IS NOT NULL)
+    SELECT source, t AS t0, partner AS t1 FROM w JOIN b USING (source, t) WHERE partner IS NOT NULL""")
 def gap_pairs(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), (F.unix_timestamp(F.col("ts").cast("timestamp")) / 600).alias("t"))
     return J.gap_pairs(events, "user", F.col("t")).orderBy("source", "t0")

@@ -1,4 +1,5 @@
-"""Streams of models (params, t, misfit): tail of a log, best so far, densities, pairs of sentinels."""
+"""Streams of models (params, t, misfit): tail of a log, best so far, means by window. Those with states of their own are in
+stateful.py."""
 
 from __future__ import annotations
 
@@ -7,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lithos.sources.text import parse_models
 
@@ -37,68 +37,3 @@ def on_batch(models: DataFrame, sinks: list[Callable[[DataFrame, int], None]], c
 
     writer = models.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def running_density(models: DataFrame, bounds: list[tuple[float, float]], bins: int, better: float = 5.0) -> DataFrame:
-    """dim, bin, cnt: histograms of parameters, updated with each batch and begun anew when a model comes that is more than
-    `better` below the best so far. The state is one row of bounds x bins counts a source (column `source`)."""
-    import numpy as np
-    import pandas as pd
-
-    low, high = (np.array([b[i] for b in bounds], dtype=float) for i in (0, 1))
-    out, kept = "source string, dim int, bin int, cnt long", "best double, counts array<long>"
-
-    def update(key, frames, state: GroupState):
-        best, counts = (state.get[0], np.array(state.get[1], dtype=np.int64).reshape(len(bounds), bins)) if state.exists else (np.inf, np.zeros((len(bounds), bins), dtype=np.int64))
-        for pdf in frames:
-            for params, misfit in sorted(zip(pdf["params"], pdf["misfit"]), key=lambda x: -x[1]):
-                if misfit < best - better:
-                    counts[:] = 0
-                best = min(best, misfit)
-                x = np.asarray(params, dtype=float)
-                ok = (x >= low) & (x <= high)
-                at = np.minimum(((x - low) / (high - low) * bins).astype(int), bins - 1)
-                counts[np.flatnonzero(ok), at[ok]] += 1
-        state.update((float(best), counts.ravel().tolist()))
-        d, b = np.indices(counts.shape)
-        yield pd.DataFrame({"source": key[0], "dim": d.ravel().astype("int32"), "bin": b.ravel().astype("int32"), "cnt": counts.ravel()})
-
-    return models.groupBy("source").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
-
-
-def top_models(models: DataFrame, k: int) -> DataFrame:
-    """source, rank, misfit, t of the k best models so far of each source; the state holds k of them."""
-    import pandas as pd
-
-    def update(key, frames, state: GroupState):
-        best = list(zip(*state.get)) if state.exists and state.get[0] else []
-        for pdf in frames:
-            best += list(zip(pdf["misfit"].astype(float), pdf["t"].astype(int)))
-        best = sorted(best)[:k]
-        state.update(([float(m) for m, _ in best], [int(t) for _, t in best]))
-        yield pd.DataFrame({"source": key[0], "rank": range(1, len(best) + 1), "misfit": [m for m, _ in best], "t": [t for _, t in best]})
-
-    return models.groupBy("source").applyInPandasWithState(update, "source string, rank int, misfit double, t long", "misfits array<double>, times array<long>", "update", GroupStateTimeout.NoTimeout)
-
-
-def pairs(sentinels: DataFrame, least: int = 30, most: int = 120) -> DataFrame:
-    """source, t0, t1 of a stream of (source, t in seconds) that comes in order of time: the rule of joins.gap_pairs(); the
-    state is the sentinel that waits for its partner."""
-    import pandas as pd
-
-    def update(key, frames, state: GroupState):
-        at = state.get[0] if state.exists else None
-        out = []
-        for pdf in frames:
-            for t in sorted(pdf["t"]):
-                if at is None or t >= at + most:
-                    # the search from a jump of `most` seconds on finds this one first
-                    at = t
-                elif t >= at + least:
-                    out.append((key[0], at, t))
-                    at = t
-        if at is not None:
-            state.update((int(at),))
-        yield pd.DataFrame(out, columns=["source", "t0", "t1"])
-
-    return sentinels.groupBy("source").applyInPandasWithState(update, "source string, t0 long, t1 long", "t long", "append", GroupStateTimeout.NoTimeout)

@@ -117,16 +117,9 @@ def test_idw(spark):
     assert J.inverse_distance(points, sites, "v").first().idw == pytest.approx(2.0)
 
 
-def test_gap_pairs_batch_and_stream(spark, tmp_path):
+def test_gap_pairs(spark):
     rows = spark.createDataFrame([("s", t) for t in (0, 20, 50, 400)], "source string, t long")
     assert [r[:] for r in J.gap_pairs(rows, "source", F.col("t")).collect()] == [("s", 0, 50)]
-    from lithos.streaming.models import pairs
-
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = pairs(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("gap_pairs_test").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r[:] for r in spark.table("gap_pairs_test").collect()] == [("s", 0, 50)]
 
 
 def test_grid(spark):

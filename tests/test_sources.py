@@ -102,11 +102,10 @@ def test_model_log_and_stream(spark, tmp_path):
     models = text.model_log(spark, p)
     assert models.count() == 2 and text.model_bounds(spark, p).first()[:] == (0, 0.0, 1.0)
     assert [r.value for r in sinks.model_lines(models.where("t = 5")).collect()] == ["PARAMETERS: 0.1 0.2 TIME: 5 MISFIT: 2.5"]
-    tagged = M.tail(spark, str(tmp_path / "log")).withColumn("source", F.lit("one"))
-    for name, stream in (("dens", M.running_density(tagged, [(0, 1), (0, 1)], 2)), ("top", M.top_models(tagged, 1))):
-        q = stream.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert spark.table("dens").agg(F.sum("cnt")).first()[0] == 4 and spark.table("top").first().misfit == 1.5
+    tail = M.running_best(M.tail(spark, str(tmp_path / "log")))
+    q = tail.writeStream.outputMode("complete").format("memory").queryName("best_of_log").option("checkpointLocation", str(tmp_path / "best")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("best_of_log").first()[:3] == (2, 1.5, 6)
 
 
 def test_store(spark, tmp_path):
