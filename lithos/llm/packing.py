@@ -10,6 +10,7 @@ end is cut into sequences of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.bpe import INTS, encoded, ids_array
+from lithos.llm.bpe import encoded, read_spec
 from lithos.llm.common import Scratch, free_names
 
 #: Tokens of a sequence, the id that ends a document, tails of a group on average, and the room that a bin may keep.
@@ -111,17 +112,24 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def cut(docs: DataFrame, path: str, id_col: str, text_col: str, length: int, end: int) -> DataFrame:
-    """id, n (tokens with the end's), crcs (of the whole sequences that a document fills) and its tail's ids."""
+def id_type(path: str, end: int) -> str:
+    """The smaller type that holds every id of a tokenizer file."""
+    kinds = json.loads(read_spec(path))
+    return "<u2" if max([end, *kinds["model"]["vocab"].values(), *(x["id"] for x in kinds["added_tokens"])]) < 1 << 16 else "<u4"
+
+
+def cut(docs: DataFrame, path: str, id_col: str, text_col: str, length: int, end: int, kind: str) -> DataFrame:
+    """id, n (tokens with the end's), crcs (of the whole sequences that a document fills) and its tail's ids, as bytes, which
+    move as one value and not as one for each id."""
     name = free_names(docs, "id")[0]
     rows = docs.select(F.col(id_col).alias(name), F.col(text_col).alias("text"))
-    fields = [T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", INTS)]
+    fields = [T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType())]
 
     def values(codec, found):
         whole = [np.append(x, np.int32(end)) for x in found]
         crcs = [[crc32(x[k : k + length]) for k in range(0, len(x) - length + 1, length)] for x in whole]
-        tails = [x[len(x) // length * length :] for x in whole]
-        return [pa.array([len(x) for x in whole], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), ids_array(tails)]
+        tails = [x[len(x) // length * length :].astype(kind).tobytes() for x in whole]
+        return [pa.array([len(x) for x in whole], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())]
 
     return encoded(rows, path, "text", [name], fields, values).withColumnRenamed(name, "id")
 
@@ -138,20 +146,21 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "pack")
     # the row's number is written, so that a task that runs again deals its rows as before
-    rows = scratch.save(cut(docs, path, id_col, text_col, length, end).withColumn("row", F.monotonically_increasing_id()))
+    kind = id_type(path, end)
+    rows = scratch.save(cut(docs, path, id_col, text_col, length, end, kind).withColumn("row", F.monotonically_increasing_id()))
     fills = rows.where(F.size("crcs") > 0).select(F.col("id").alias("doc_id"), "n", F.posexplode("crcs").alias("k", "crc"))
     whole = fills.select(
         "doc_id", (F.col("k") * F.lit(length).cast("long")).alias("start"), F.lit(length).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
         (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *([F.lit(None).cast("array<int>").alias("ids")] if with_ids else []),
     )
-    tails = rows.where(F.size("tail") > 0)
+    tails = rows.where(F.octet_length("tail") > 0)
     groups = max(1, -(-tails.count() // group))
     dealt = tails.select("id", "n", "tail", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)).alias("group"))
     pieces = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
 
     def run(key, table):
         ids, n = table.column("id").to_pylist(), table.column("n").to_numpy()
-        tails = [x.values.to_numpy() for x in table.column("tail").combine_chunks()]
+        tails = [np.frombuffer(x, dtype=kind).astype(np.int32) for x in table.column("tail").to_pylist()]
         out: list[tuple] = []
         for b, sequence in enumerate(packed([len(x) for x in tails], length, room)):
             at = 0
