@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lithos.functions import expression as E
 from lithos.operators import density as D
+from lithos.operators import fitting as A
 from lithos.operators import forest as R
 from lithos.operators import graph as N
 from lithos.operators import inverse as I
@@ -14,6 +14,7 @@ from lithos.operators import tracking as K
 from lithos.operators.grid import Grid
 from lithos.plans import views as V
 from lithos.plans.registry import query
+from lithos.plans.trees import _uniform, quote
 from lithos.plans.views import rounded, table
 
 TREE = ("add", ("div", "l_extendedprice", "l_quantity"), ("if", "l_discount", "l_tax", ("log", ("sub", "l_discount", "l_tax")), ("squash", ("mul", "l_tax", ("pow", "l_quantity", 2.2)))))
@@ -118,63 +119,118 @@ def leaf_classes(spark, sf_dir):
     return rounded(R.leaf_classes(parts, "p_brand", "cls", True), 9)
 
 
-def _bowl(p: np.ndarray) -> np.ndarray:
-    return ((p - np.array([0.3, -0.2])) ** 2).sum(axis=1)
+#: Customers' balances in thousands by the end of their key: the searches look for the line (intercept, slope) that fits best.
+LINE = [(-10.0, 10.0), (-10.0, 10.0)]
+SQL_LINE = "d AS (SELECT (c_custkey % 100) / 100::DOUBLE AS x, c_acctbal / 1000 AS y FROM customer)"
 
 
-BOWL = I.Problem(((-1.0, 1.0), (-1.0, 1.0)), _bowl)
+def _line(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(((F.col("c_custkey") % 100) / 100).alias("x"), (F.col("c_acctbal") / 1000).alias("y"))
 
 
-@query()
+def _squared(p):
+    off = F.col("y") - p[0] - p[1] * F.col("x")
+    return off * off
+
+
+def _line_problem(spark, sf_dir) -> I.Problem:
+    """The same misfit in closed form: one aggregate over the table, and any number of evaluations."""
+    return I.Problem(tuple(LINE), A.line_error(A.line_statistics(_line(spark, sf_dir), F.col("x"), F.col("y"))))
+
+
+def _drawn(seed: int, n: int) -> str:
+    return f"(SELECT id, [-10.0::DOUBLE + {_uniform(seed, 'id', 0)} * 20.0::DOUBLE, -10.0::DOUBLE + {_uniform(seed, 'id', 1)} * 20.0::DOUBLE] AS p FROM range({n}) t(id))"
+
+
+def _tried(models: str) -> str:
+    return f"(SELECT id, p, avg((y - p[1] - p[2] * x) * (y - p[1] - p[2] * x)) AS e FROM {models}, d GROUP BY ALL)"
+
+
+@query(f"WITH {SQL_LINE}, m AS {_tried(_drawn(1, 300))} SELECT id, round(p[1], 6) AS a, round(p[2], 6) AS b, round(e, 6) AS misfit FROM m ORDER BY e, id LIMIT 5")
 def monte_carlo(spark, sf_dir):
-    return I.best(I.monte_carlo(spark, BOWL, 5000, 1))
+    found = A.monte_carlo(spark, _line(spark, sf_dir), _squared, LINE, 300, 1)
+    return rounded(I.best(found, 5).select("id", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b"), "misfit"))
 
 
-@query()
-def mcmc(spark, sf_dir):
-    samples = I.mcmc(spark, BOWL, 4, 500, sd=0.2, temperature=0.05, burn=100, seed=2)
-    return samples.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("params", F.lit(0))).alias("x"), F.avg(F.get("params", F.lit(1))).alias("y"))
+def _annealing_sql(chains: int, steps: int, hot: float, cold: float, seed: int) -> str:
+    blocks = [f"s0 AS MATERIALIZED {_tried(_drawn(seed, chains))}"]
+    for k in range(steps):
+        heat = hot * (cold / hot) ** (k / max(1, steps - 1))
+        axis, to, u = (_uniform(seed, f"'{x}'", k, "id") for x in ("axis", "to", "taken"))
+        moved = f"(SELECT id, list_transform(p, lambda v, i: CASE WHEN i - 1 = floor({axis} * 2) THEN -10.0::DOUBLE + {to} * 20.0::DOUBLE ELSE v END) AS p FROM s{k})"
+        blocks.append(f"t{k} AS MATERIALIZED {_tried(moved)}")
+        blocks.append(f"s{k + 1} AS MATERIALIZED (SELECT id, CASE WHEN ok THEN q ELSE p END AS p, CASE WHEN ok THEN f ELSE e END AS e FROM (SELECT s.id, s.p, s.e, t.p AS q, t.e AS f, t.e < s.e OR {_uniform(seed, quote('taken'), k, 's.id')} < exp(-(t.e - s.e) / {heat!r}::DOUBLE) AS ok FROM s{k} s JOIN t{k} t USING (id)))")
+    return f"WITH {SQL_LINE}, {', '.join(blocks)} SELECT id, round(p[1], 6) AS a, round(p[2], 6) AS b, round(e, 6) AS misfit FROM s{steps}"
 
 
-@query()
+@query(_annealing_sql(8, 10, 20.0, 0.05, 3))
 def annealing(spark, sf_dir):
-    return I.annealing(spark, BOWL, 4, 400)
+    found = A.annealing(spark, _line(spark, sf_dir), _squared, LINE, 8, 10, 20.0, 0.05, 3)
+    return rounded(found.select("id", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b"), "misfit"))
 
 
-@query()
+def _genetic_sql(population: int, generations: int, mutation: float, seed: int) -> str:
+    blocks = [f"s0 AS MATERIALIZED {_tried(_drawn(seed, population))}"]
+    for g in range(generations):
+        genes = ", ".join(f"least(greatest(CASE WHEN {_uniform(seed, quote('gene'), g, 'id', d)} < 0.5 THEN p[{d + 1}] ELSE o[{d + 1}] END + ({_uniform(seed, quote('noise'), g, 'id', d)} - 0.5::DOUBLE) * {2 * mutation * 20.0!r}::DOUBLE, -10), 10)" for d in range(2))
+        pairs = f"(SELECT s.id, s.p, o.p AS o FROM (SELECT *, CAST(floor({_uniform(seed, quote('mate'), g, 'id')} * {population}) AS BIGINT) AS mate FROM s{g}) s JOIN s{g} o ON o.id = s.mate)"
+        blocks.append(f"t{g} AS MATERIALIZED {_tried(f'(SELECT id, [{genes}] AS p FROM {pairs})')}")
+        blocks.append(f"s{g + 1} AS MATERIALIZED (SELECT s.id, CASE WHEN t.e < s.e THEN t.p ELSE s.p END AS p, least(t.e, s.e) AS e FROM s{g} s JOIN t{g} t USING (id))")
+    return f"WITH {SQL_LINE}, {', '.join(blocks)} SELECT id, round(p[1], 6) AS a, round(p[2], 6) AS b, round(e, 6) AS misfit FROM s{generations}"
+
+
+@query(_genetic_sql(24, 5, 0.1, 4))
+def genetic(spark, sf_dir):
+    found = A.genetic(spark, _line(spark, sf_dir), _squared, LINE, 24, 5, 0.1, 4)
+    return rounded(found.select("id", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b"), "misfit"))
+
+
+@query(f"WITH {SQL_LINE}, m AS {_drawn(5, 20)} SELECT id, round(-2 * avg(y - p[1] - p[2] * x), 6) AS da, round(-2 * avg((y - p[1] - p[2] * x) * x), 6) AS db FROM m, d GROUP BY id")
+def gradient(spark, sf_dir):
+    """Slopes of the misfit at drawn lines by finite differences, which for squares are the derivatives."""
+    found = A.gradient(A.drawn_models(spark, LINE, 20, 5), _line(spark, sf_dir), _squared, 2)
+    return rounded(found.select("id", F.get("gradient", F.lit(0)).alias("da"), F.get("gradient", F.lit(1)).alias("db")))
+
+
+FITTED = f"WITH {SQL_LINE} SELECT CAST(chain AS INTEGER) AS chain, round(regr_intercept(y, x), 3) AS a, round(regr_slope(y, x), 3) AS b FROM d, range(4) c(chain) GROUP BY chain"
+
+
+def _ends(found):
+    return rounded(found.select("chain", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b")), 3)
+
+
+@query(FITTED)
 def powell(spark, sf_dir):
-    return I.powell(spark, BOWL, 4)
+    """Where descents end: at the line of least squares."""
+    return _ends(I.powell(spark, _line_problem(spark, sf_dir), 4))
 
 
-@query()
+@query(FITTED)
 def hypercubes(spark, sf_dir):
-    return I.hypercubes(spark, BOWL, 4, 50, 1e-4)
+    return _ends(I.hypercubes(spark, _line_problem(spark, sf_dir), 4, 50, 1e-4))
 
 
 @query()
-def genetic(spark, sf_dir):
-    return I.genetic(spark, BOWL, 64, 5).agg(F.min("misfit").alias("best"), F.avg("misfit").alias("mean"))
+def mcmc(spark, sf_dir):
+    samples = I.mcmc(spark, _line_problem(spark, sf_dir), 4, 500, sd=0.05, temperature=0.5, burn=100, seed=2)
+    return samples.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("params", F.lit(0))).alias("x"), F.avg(F.get("params", F.lit(1))).alias("y"))
 
 
 @query()
 def neighbourhood(spark, sf_dir):
-    return I.best(I.neighbourhood(spark, BOWL, 50, 20, 4, 3))
+    return I.best(I.neighbourhood(spark, _line_problem(spark, sf_dir), 50, 20, 4, 3))
 
 
 @query()
 def bounded_walks(spark, sf_dir):
-    """How many of 5,000 drawn models hold each value of each axis; no step is over its delta."""
-    four = I.Problem(((0.0, 1.0),) * 4, _bowl)
-    drawn = I.bounded_walks(spark, four, [0.25, 0.25, 0.5], 5000, 9, 4)
+    """How many of as many models as there are nations squared hold each value of each axis: four axes within the range of
+    customers' balances, of which each is at most an eighth of the range off the one before."""
+    low, high, n = table(spark, sf_dir, "customer").agg(F.min("c_acctbal"), F.max("c_acctbal"), F.count_distinct("c_nationkey")).first()
+    four = I.Problem(((low, high),) * 4, lambda p: p[:, 0])
+    drawn = I.bounded_walks(spark, four, [(high - low) / 8] * 3, 8 * n * n, 9, 4)
     return drawn.select(F.posexplode("params").alias("axis", "value")).groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def gradient(spark, sf_dir):
-    models = I.uniform_models(spark, BOWL, 20, 3)
-    return I.gradient(models, BOWL).select("id", F.round(F.get("gradient", F.lit(0)) - 2 * (F.get("params", F.lit(0)) - 0.3), 6).alias("off"))
-
-
 @query()
 def stream_best_model(spark, sf_dir):
     """Best model of a log that is read as a stream of files."""

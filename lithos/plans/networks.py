@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithos.operators import graph as N
 from lithos.operators import stats as S
+from lithos.operators import trajectory as TR
 from lithos.operators import transport as T
 from lithos.plans import views as V
 from lithos.plans.registry import query
 from lithos.plans.views import FLOWS, rounded, table
+from lithos.scratch import Scratch
 
 #: Edges between nations that trade with each other: whole numbers, so that sums are exact.
 EDGES = f"{FLOWS}, edges AS (SELECT r1 AS src, r2 AS dst, CAST(1 + (1000 // n) AS DOUBLE) AS w FROM flows WHERE r1 <> r2)"
@@ -150,3 +153,23 @@ def bracket_incomes(spark, sf_dir):
 @query(f"WITH {MODES} SELECT zone, round(max(cost), 6) AS largest FROM m GROUP BY 1")
 def largest_cost(spark, sf_dir):
     return rounded(S.describe(_modes(spark, sf_dir), "cost", "zone").select("zone", F.col("most").alias("largest")))
+
+
+WALK = TR.Walk(3, 3)
+MOVES = ", ".join(f"({s}, {d}, {p!r})" for s, d, p in zip(*(x.tolist() for x in WALK.edges())))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, (event_id * 37 % 1009) / 1009::DOUBLE * 3 AS y, (event_id * 53 % 1013) / 1013::DOUBLE * 3 AS x FROM events),
+    e(src, dst, p) AS (SELECT a, b, c::DOUBLE FROM (VALUES {MOVES}) e(a, b, c)),
+    v(key, t, s, logp, prev) AS (SELECT key, t, CAST(s AS INTEGER), ln(0.5::DOUBLE) - ln(72) - (pow(s // 48 - y, 2) + pow(s // 16 % 3 - x, 2)) / 0.5::DOUBLE, -1 FROM n, range({WALK.states}) r(s) WHERE t = 0
+        UNION ALL SELECT v.key, n.t, e.dst, max(logp + p) - (pow(e.dst // 48 - n.y, 2) + pow(e.dst // 16 % 3 - n.x, 2)) / 0.5::DOUBLE, arg_max(e.src, logp + p) FROM v JOIN e ON e.src = v.s JOIN n ON n.key = v.key AND n.t = v.t + 1 GROUP BY v.key, n.t, e.dst, n.y, n.x),
+    w(key, t, s) AS (SELECT key, max(t), arg_max(s, (t, logp)) FROM v GROUP BY key UNION ALL SELECT v.key, v.t - 1, v.prev FROM w JOIN v USING (key, t, s) WHERE v.t > 0),
+    l AS (SELECT key, arg_max(logp, (t, logp)) AS logp FROM v GROUP BY key)
+    SELECT event_id, CAST(s // 48 AS INTEGER) AS lati, CAST(s // 16 % 3 AS INTEGER) AS loni, round(l.logp, 6) AS logp FROM n JOIN w USING (key, t) JOIN l USING (key)""")
+def likely_walks(spark, sf_dir):
+    """The most likely way of each user through nine cells, from a place that each event gives with an error of half a cell."""
+    k, order = F.col("event_id"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", (F.row_number().over(order) - 1).cast("long").alias("t"), (k * 37 % 1009 / 1009 * 3).alias("y"), (k * 53 % 1013 / 1013 * 3).alias("x"))
+    placed = Scratch(spark, "walks").save(rows)
+    found = TR.most_likely_walk(placed.withColumn("logp", TR.seen_near(F.col("y"), F.col("x"), WALK, 0.5)), WALK, 16)
+    return rounded(placed.select("key", "t", "event_id").join(found, ["key", "t"]).select("event_id", "lati", "loni", "logp"))

@@ -169,16 +169,29 @@ def point_in_polygon(spark, sf_dir):
     return J.in_polygons(V.points(spark, sf_dir), _polygons(spark), 0.25).select("id", "name")
 
 
-@query(f"WITH {POLYGONS} SELECT name, round(area, 9) AS area FROM areas")
+@query("""WITH v AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS y, l_tax::DOUBLE * 100 AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax)),
+    e AS (SELECT a.k, o.x AS ox, o.y AS oy, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM v a JOIN v b ON b.k = a.k AND b.i = a.i % a.n + 1 JOIN v o ON o.k = a.k AND o.i = 1)
+    SELECT k AS l_orderkey, round(abs(sum((ax - ox) * (b_y - oy) - (bx - ox) * (ay - oy))) / 2, 6) AS area FROM e GROUP BY k""")
 def shoelace(spark, sf_dir):
-    return rounded(_polygons(spark).select("name", geo.ring_area(F.col("ring")).alias("area")), 9)
+    """Area of the ring whose vertices are an order's lines, by quantity and tax."""
+    vertex = F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("lat"), (F.col("l_tax").cast("double") * 100).alias("lon"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
+    ring = F.transform(F.concat("v", F.slice("v", 1, 1)), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return rounded(lines.select("l_orderkey", ring.alias("ring")).select("l_orderkey", geo.ring_area(F.col("ring")).alias("area")))
 
 
-@query("SELECT * FROM (VALUES ('zone_a', 'zone_b')) t(outer_zone, inner_zone)")
+@query(f"""WITH {POINTS}, {SITES}, b AS (SELECT nation, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM sites GROUP BY 1),
+    t AS (SELECT id, nation, unnest([lat, lat + 0.01::DOUBLE, lat + 0.005::DOUBLE]) AS lat, unnest([lon, lon + 0.005::DOUBLE, lon + 0.01::DOUBLE]) AS lon FROM points)
+    SELECT id, bool_and(lat >= s AND lat < n AND lon >= w AND lon < e) AS inside FROM t JOIN b USING (nation) GROUP BY id""")
 def polygon_contains(spark, sf_dir):
-    p = _polygons(spark)
-    a, b = p.select(F.col("name").alias("outer_zone"), F.col("ring").alias("o")), p.select(F.col("name").alias("inner_zone"), F.col("ring").alias("i"))
-    return a.join(b, F.col("outer_zone") != F.col("inner_zone")).where(geo.ring_contains(F.col("o"), F.col("i"))).select("outer_zone", "inner_zone")
+    """Whether a small triangle at each customer lies in the box around the suppliers of the customer's nation."""
+    at = lambda a, b: F.struct((F.col("lat") + F.lit(a)).alias("lat"), (F.col("lon") + F.lit(b)).alias("lon"))
+    small = V.points(spark, sf_dir).select("id", "nation", F.array(F.struct("lat", "lon"), at(0.01, 0.005), at(0.005, 0.01)).alias("inner"))
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
+    sides = V.sites(spark, sf_dir).groupBy("nation").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    boxes = sides.select("nation", F.array(corner("s", "w"), corner("s", "e"), corner("n", "e"), corner("n", "w"), corner("s", "w")).alias("outer"))
+    return small.join(boxes, "nation").select("id", geo.ring_contains(F.col("outer"), F.col("inner")).alias("inside"))
 
 
 @query(f"""WITH {POINTS} SELECT id, CASE WHEN lat BETWEEN -34.505 AND -34.005 THEN 0 WHEN lat BETWEEN -33.995 AND -33.495 THEN 1 ELSE -1 END AS sector FROM points""")

@@ -161,9 +161,12 @@ def decay_focal(spark, sf_dir):
     return rounded(G.decay_sum(V.cells(spark, sf_dir), GRID, 9000, 500), 4)
 
 
-@query(f"WITH {CELLS} SELECT CAST(sum(4 * 4) AS BIGINT) AS cells FROM (SELECT 1 FROM range(16)) t")
+@query(f"""WITH {CELLS}, f AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i >= 40 OR j >= 40 THEN -1 WHEN value > 4500 THEN 1 ELSE 0 END::DOUBLE AS v FROM range(64) a(i) CROSS JOIN range(64) b(j) LEFT JOIN cells ON lati = i AND loni = j),
+    u AS (SELECT CAST(d AS INTEGER) AS depth, i >> (6 - d) AS lati, j >> (6 - d) AS loni, min(v) AS value FROM f, range(7) t(d) GROUP BY ALL HAVING min(v) = max(v))
+    SELECT depth, lati, loni, value FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.depth = u.depth - 1 AND p.lati = u.lati >> 1 AND p.loni = u.loni >> 1)""")
 def quadtree_cover(spark, sf_dir):
-    """Cells of a 16 x 16 grid that the blocks of its quadtree cover: all of them."""
-    cells = spark.range(256).select((F.floor(F.col("id") / 16)).cast("int").alias("lati"), (F.col("id") % 16).cast("int").alias("loni"), (F.floor(F.col("id") / 64) % 2).cast("double").alias("value"))
-    blocks = G.quadtree(cells, 4)
-    return blocks.agg(F.sum(F.pow(F.lit(4.0), 4 - F.col("depth"))).cast("long").alias("cells"))
+    """Blocks of the quadtree of rich cells: the 40 x 40 cells in a grid of 64 x 64, whose rest is -1."""
+    rich = V.cells(spark, sf_dir).select("lati", "loni", (F.col("value") > 4500).cast("double").alias("rich"))
+    places = spark.range(64 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("lati"), (F.col("id") % 64).cast("int").alias("loni"))
+    value = F.when((F.col("lati") >= 40) | (F.col("loni") >= 40), -1.0).otherwise(F.coalesce("rich", F.lit(0.0)))
+    return G.quadtree(places.join(rich, ["lati", "loni"], "left").select("lati", "loni", value.alias("value")), 6)
