@@ -87,26 +87,27 @@ class Steps:
         self.cells = walk.cell(np.arange(walk.states))
 
     def forward(self, ways: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Rows of log probabilities by state after one more step, at which the cells' log probabilities are `seen`."""
+        """Log probabilities of each state (row) after one more step, at which the cells' log probabilities are `seen`; a column
+        for each state that ways may come from."""
         out = np.full(ways.shape, -np.inf)
-        out[:, self.reached] = np.maximum.reduceat(ways[:, self.src] + self.logp, self.first, axis=1)
-        return out + seen[self.cells]
+        out[self.reached] = np.maximum.reduceat(ways[self.src] + self.logp[:, None], self.first, axis=0)
+        return out + seen[self.cells][:, None]
 
     def product(self, seen: np.ndarray, begins: bool) -> np.ndarray:
         """The matrix of a block of steps; one row, from the start, if the record begins with it."""
         if begins:
-            ways, seen = (self.walk.start() + seen[0][self.cells])[None], seen[1:]
+            ways, seen = (self.walk.start() + seen[0][self.cells])[:, None], seen[1:]
         else:
             ways = np.where(np.eye(self.walk.states, dtype=bool), 0.0, -np.inf)
         for row in seen:
             ways = self.forward(ways, row)
-        return ways
+        return ways.T
 
     def path(self, seen: np.ndarray, src: int, dst: int) -> list[int]:
         """The states of a block's best way that comes from `src` (the state before it, or START) and ends in `dst`."""
-        layers = [(self.walk.start() + seen[0][self.cells]) if src == START else self.forward(np.where(np.arange(self.walk.states) == src, 0.0, -np.inf)[None], seen[0])[0]]
+        layers = [(self.walk.start() + seen[0][self.cells]) if src == START else self.forward(np.where(np.arange(self.walk.states) == src, 0.0, -np.inf)[:, None], seen[0])[:, 0]]
         for row in seen[1:]:
-            layers.append(self.forward(layers[-1][None], row)[0])
+            layers.append(self.forward(layers[-1][:, None], row)[:, 0])
         out = [dst]
         for layer in reversed(layers[:-1]):
             into = np.flatnonzero(self.dst == out[-1])
