@@ -22,17 +22,47 @@ def fit_variogram(sites: DataFrame, ident: str, value: str, metres: float, lags:
     pairs = pair_semivariance(sites, ident, value, metres)
     width = metres / lags
     bins = pairs.groupBy(F.floor(F.col("dist") / width).alias("lag")).agg(F.avg("dist").alias("d"), F.avg("semivariance").alias("g"), F.count(F.lit(1)).alias("n"))
+    return fitted(bins, metres, ranges, sills)
+
+
+def fitted(bins: DataFrame, metres: float, ranges: int, sills: int, sill: float | None = None) -> tuple[float, float]:
+    """Range and sill of the spherical model that misses the bins (d, g, n) least; with `sill` the range alone is sought."""
     mean = bins.agg(F.try_divide(F.sum(F.col("g") * F.col("n")), F.sum("n"))).first()[0]
     if not mean:
         return metres, mean or 0.0
-    grid = sites.sparkSession.range(ranges * sills).select(
-        ((F.floor(F.col("id") / sills) + 1) * metres / ranges).alias("r"), (mean * (0.5 + F.pmod("id", F.lit(sills)) / (sills - 1))).alias("s")
-    )
+    span = F.lit(float(sill)) if sill is not None else mean * (0.5 + F.pmod("id", F.lit(sills)) / (sills - 1))
+    grid = bins.sparkSession.range(ranges * sills).select(((F.floor(F.col("id") / sills) + 1) * metres / ranges).alias("r"), span.alias("s")).distinct()
     miss = F.col("g") - spherical_variogram(F.col("d"), F.col("r"), F.col("s"))
     best = bins.crossJoin(F.broadcast(grid)).groupBy("r", "s").agg(F.sum(miss * miss * F.col("n")).alias("e")).orderBy("e", "r", "s").first()
     return best.r, best.s
 
 
+def directional_bins(sites: DataFrame, ident: str, value: str, metres: float, degrees: float, lags: int = 20, spread: float = 22.5) -> DataFrame:
+    """axis, lag, d, g, n: mean distance and semivariance of the pairs of sites up to `metres` apart whose way lies within
+    `spread` degrees of an axis, in `lags` bins of distance. Axis 0 leads `degrees` from east to north, axis 1 across it."""
+    pairs = pair_semivariance(sites, ident, value, metres)
+    end = lambda k: sites.select(F.col(ident).alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    north, east = F.col("lat_b") - F.col("lat_a"), (F.col("lon_b") - F.col("lon_a")) * F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
+    turn = math.radians(degrees)
+    along, across = east * math.cos(turn) + north * math.sin(turn), north * math.cos(turn) - east * math.sin(turn)
+    narrow = math.tan(math.radians(spread))
+    axis = F.when(F.abs(across) <= F.abs(along) * narrow, 0).when(F.abs(along) <= F.abs(across) * narrow, 1)
+    lag = F.floor(F.col("dist") / (metres / lags)).cast("int")
+    return both.withColumn("axis", axis).where("axis IS NOT NULL").groupBy("axis", lag.alias("lag")).agg(F.avg("dist").alias("d"), F.avg("semivariance").alias("g"), F.count(F.lit(1)).alias("n"))
+
+
+def fit_anisotropic(sites: DataFrame, ident: str, value: str, metres: float, degrees: float, lags: int = 20, ranges: int = 20, sills: int = 41) -> tuple[float, float, float]:
+    """Range across the axis, sill, and how many times as long the range along it is. The sill is that of all pairs; a range is
+    fitted for each axis. rotated() with the ratio makes the data fit one range."""
+    bins = directional_bins(sites, ident, value, metres, degrees, lags).persist()
+    whole = bins.groupBy("lag").agg(F.try_divide(F.sum(F.col("d") * F.col("n")), F.sum("n")).alias("d"), F.try_divide(F.sum(F.col("g") * F.col("n")), F.sum("n")).alias("g"), F.sum("n").alias("n"))
+    _, sill = fitted(whole, metres, ranges, sills)
+    along, across = (fitted(bins.where(F.col("axis") == k), metres, ranges, 1, sill)[0] for k in (0, 1))
+    bins.unpersist()
+    return across, sill, along / across
+
+
 def krige(points: DataFrame, sites: DataFrame, value: str, k: int, rng: float, sill: float, point_id: str = "id", site_id: str = "site") -> DataFrame:
     """Ordinary kriging of each point from its k nearest sites with a spherical variogram: point_id, estimate, variance.
     Each point's system is of k + 1 equations; systems of one size are solved as one stack."""
@@ -64,7 +94,8 @@ def krige(points: DataFrame, sites: DataFrame, value: str, k: int, rng: float, s
 
 
 def rotated(points: DataFrame, degrees: float, ratio: float) -> DataFrame:
-    """Points with lat, lon turned and the second axis scaled, so that an isotropic model fits anisotropic data."""
+    """Points with lat, lon turned and the second axis scaled, so that an isotropic model fits anisotropic data: for data whose
+    range along an axis that leads `d` degrees from east to north is `k` times that across it, turn by -d and scale by 1 / k."""
     a = math.radians(degrees)
     y, x = F.col("lat"), F.col("lon")
     return points.withColumns({"lat": y * math.cos(a) - x * math.sin(a), "lon": (y * math.sin(a) + x * math.cos(a)) * ratio})

@@ -9,6 +9,7 @@ from lithos.functions import geo
 from lithos.functions.maths import gaussian_log_pdf, path_loss
 from lithos.operators.grid import PLACE, Grid
 from lithos.operators.stats import shares
+from lithos.scratch import Scratch
 
 KEY = ["sid", "t"]
 
@@ -133,3 +134,43 @@ def sight_map(blocked: DataFrame, observers: DataFrame, grid: Grid, per_cell: in
     at = ways.select("rid", *PLACE, grid.lati(F.col("lat") + (F.col("clat") - F.col("lat")) * share).alias("__i"), grid.loni(F.col("lon") + (F.col("clon") - F.col("lon")) * share).alias("__j"))
     walls = F.broadcast(blocked.select(F.col("lati").alias("__i"), F.col("loni").alias("__j"), F.lit(1).alias("__b")))
     return at.join(walls, ["__i", "__j"], "left").groupBy("rid", *PLACE).agg(F.max("__b").isNull().alias("sight"))
+
+
+# Metres a second from which on a walker moves and above which nobody walks, and the shortest record in seconds.
+STILL, FASTEST, SHORTEST = 0.5, 3.0, 40
+# end of fixed values
+
+
+def direction_weights(pmf: DataFrame, boxes: DataFrame, grid: Grid, size: float, draws: int = 20, least: int = 30, most: int = 120, seed: int = 0) -> DataFrame:
+    """sector, direction (N, S, E, W, or - for who stands) and weight: which way walkers go in each box (sector, s, n, w, e).
+
+    Sentinels are the grids of `pmf` (sid, t, lati, loni, p); sources with one of them or a record under 40 seconds are left out.
+    Each pair of sentinels, by the rule of joins.gap_pairs(), is sampled `draws` times forward and as often backward: a place from
+    each of both grids (cells of `size` metres), which says a speed and a way. Ways within 45 degrees of the row count as E
+    whichever side they lead to, and all are turned round where time is. A draw that is too fast counts in the denominator only.
+    Draws of a source weigh 1 together; each weighs in the sectors of both of its places, which are cells' southwest corners.
+    """
+    from lithos.operators.joins import gap_pairs, in_boxes
+
+    scratch = Scratch(pmf.sparkSession, "directions")
+    times = pmf.select("sid", F.col("t").cast("long").alias("t")).distinct()
+    enough = times.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t") + 1).alias("long")).where((F.col("n") > 1) & (F.col("long") >= SHORTEST))
+    pairs = scratch.save(gap_pairs(times.join(enough.select("sid"), "sid"), "sid", F.col("t"), least, most).withColumnRenamed("source", "sid"))
+    paired = pairs.select("sid", F.col("t0").alias("t")).union(pairs.select("sid", "t1")).distinct()
+    # a sentinel may end a pair and begin the next one, both ways round: four sets of draws
+    cells = scratch.save(sampled_cells(pmf.withColumn("t", F.col("t").cast("long")).join(paired, ["sid", "t"]), 4 * draws, seed))
+    each = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2 * draws))))
+    place = lambda n, t, more: cells.select("sid", F.col("t").alias(t), (F.col("draw") - more).alias("k"), F.col("lati").alias(f"i{n}"), F.col("loni").alias(f"j{n}"))
+    both = each.join(place(0, "t0", 0), ["sid", "t0", "k"]).join(place(1, "t1", 2 * draws), ["sid", "t1", "k"])
+    back = F.col("k") > draws
+    di, dj = F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0")
+    di = F.when(back, -di).otherwise(di)
+    speed = F.sqrt((di * di + dj * dj).cast("double")) * F.lit(float(size)) / (F.col("t1") - F.col("t0"))
+    along = F.when(di * di < dj * dj, "E").when(di >= 0, "N").otherwise("S")
+    turned = F.when(back, F.translate(along, "ENS", "WSN")).otherwise(along)
+    told = both.select("sid", "i0", "j0", "i1", "j1", F.when(speed < STILL, "-").otherwise(turned).alias("direction"), (speed <= FASTEST).alias("walks"))
+    totals = told.groupBy("sid").agg((1 / F.count(F.lit(1))).alias("weight"))
+    counts = told.where("walks").withColumn("end", F.explode(F.array(F.struct(F.col("i0").alias("i"), F.col("j0").alias("j")), F.struct(F.col("i1").alias("i"), F.col("j1").alias("j")))))
+    by_cell = counts.groupBy("sid", "direction", "end").agg(F.count(F.lit(1)).alias("n")).join(totals, "sid").groupBy("direction", "end").agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    placed = in_boxes(by_cell.select(F.concat_ws(":", "direction", "end.i", "end.j").alias("id"), "direction", "weight", (grid.south + F.col("end.i") * grid.dlat).alias("lat"), (grid.west + F.col("end.j") * grid.dlon).alias("lon")), boxes)
+    return placed.where("sector >= 0").groupBy("sector", "direction").agg(F.sum("weight").alias("weight"))

@@ -274,3 +274,31 @@ def bracket_medians(spark, sf_dir):
 
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.floor((F.col("c_acctbal") + 1000) / 2000).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return rounded(bracket_median(counts, "zone", "b", "n", [-1000 + 2000 * i for i in range(8)]), 4)
+
+
+DRAWS = 5
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT user_id AS sid, CAST(floor(epoch(ts)) AS BIGINT) // 60 AS t, event_id % 12 AS y, (event_id // 12) % 12 AS x, value FROM events),
+    pmf AS (SELECT sid, t, CAST(least(y + d, 11) AS INTEGER) AS lati, CAST(x AS INTEGER) AS loni, sum(value / (d + 1)) AS p FROM g, range(3) r(d) GROUP BY ALL),
+    s AS (SELECT sid, t FROM (SELECT DISTINCT sid, t FROM pmf) QUALIFY count(*) OVER (PARTITION BY sid) > 1 AND max(t) OVER (PARTITION BY sid) - min(t) OVER (PARTITION BY sid) + 1 >= 40),
+    a AS (SELECT s.sid, s.t, p.t AS p FROM s ASOF LEFT JOIN s p ON s.sid = p.sid AND s.t + 30 <= p.t),
+    b AS (SELECT a.sid, a.t, CASE WHEN p < a.t + 120 THEN p END AS partner, coalesce(CASE WHEN p < a.t + 120 THEN p END, q.t) AS next FROM a ASOF LEFT JOIN s q ON a.sid = q.sid AND a.t + 120 <= q.t),
+    w AS (SELECT sid, min(t) AS t FROM s GROUP BY 1 UNION ALL SELECT b.sid, b.next FROM w JOIN b USING (sid, t) WHERE b.next IS NOT NULL),
+    pairs AS (SELECT sid, t AS t0, partner AS t1 FROM w JOIN b USING (sid, t) WHERE partner IS NOT NULL), needed AS (SELECT sid, t0 AS t FROM pairs UNION SELECT sid, t1 FROM pairs),
+    r AS (SELECT sid, t, draw, lati, loni, -ln((CAST('0x' || substr(md5(concat_ws(':', 3, sid, t, draw, lati, loni)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) / p AS clock FROM pmf JOIN needed USING (sid, t), range(1, {4 * DRAWS + 1}) d(draw) WHERE p > 0),
+    c AS MATERIALIZED (SELECT sid, t, draw, arg_min(lati, (clock, lati, loni)) AS i, arg_min(loni, (clock, lati, loni)) AS j FROM r GROUP BY ALL),
+    m AS (SELECT pairs.sid, t1 - t0 AS dt, k > {DRAWS} AS back, c.i AS i0, c.j AS j0, e.i AS i1, e.j AS j1, CASE WHEN k > {DRAWS} THEN c.i - e.i ELSE e.i - c.i END AS di, e.j - c.j AS dj
+        FROM pairs CROSS JOIN range(1, {2 * DRAWS + 1}) n(k) JOIN c ON c.sid = pairs.sid AND c.t = t0 AND c.draw = k JOIN c e ON e.sid = pairs.sid AND e.t = t1 AND e.draw = k + {2 * DRAWS}),
+    v AS (SELECT *, sqrt((di * di + dj * dj)::DOUBLE) * 20.0::DOUBLE / dt AS speed, 1 / count(*) OVER (PARTITION BY sid) AS weight, CASE WHEN di * di < dj * dj THEN 'E' WHEN di >= 0 THEN 'N' ELSE 'S' END AS along FROM m),
+    d AS (SELECT CASE WHEN speed < 0.5 THEN '-' WHEN back THEN translate(along, 'ENS', 'WSN') ELSE along END AS direction, weight, unnest([i0, i1]) AS i, unnest([j0, j1]) AS j FROM v WHERE speed <= 3)
+    SELECT CAST(i // 6 * 2 + j // 6 AS INTEGER) AS sector, direction, round(sum(weight), 6) AS weight FROM d GROUP BY ALL""")
+def direction_weights(spark, sf_dir):
+    """Which way users go in the quarters of a grid of 12 x 12 cells; every event is a place and two north of it."""
+    k = F.col("event_id")
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    places = table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.floor(seconds / 60).alias("t"), (k % 12).alias("y"), (F.floor(k / 12) % 12).cast("int").alias("loni"), "value").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    pmf = places.groupBy("sid", "t", F.least(F.col("y") + F.col("d"), F.lit(11)).cast("int").alias("lati"), "loni").agg(F.sum(F.col("value") / (F.col("d") + 1)).alias("p"))
+    half = [(0, -0.5, 5.5), (1, 5.5, 11.5)]
+    boxes = spark.createDataFrame([(2 * a + b, s, n, w, e) for a, s, n in half for b, w, e in half], "sector int, s double, n double, w double, e double")
+    return rounded(K.direction_weights(pmf, boxes, Grid(0.0, 0.0, 12.0, 12.0, 12, 12), 20.0, DRAWS, seed=3))

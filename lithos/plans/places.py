@@ -227,3 +227,14 @@ def kriging(spark, sf_dir):
 @query(f"WITH {CELLS} SELECT count(*) AS cells FROM cells")
 def cell_count(spark, sf_dir):
     return V.cells(spark, sf_dir).agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(f"""WITH {SITES}, p AS (SELECT a.lat AS y, a.lon AS x, b.lat AS v, b.lon AS u, {distance('a', 'b')} AS dist, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM sites a JOIN sites b ON a.site < b.site),
+    t AS (SELECT dist, g, v - y AS north, (u - x) * cos(radians((y + v) / 2)) AS east FROM p WHERE dist <= 40000),
+    w AS (SELECT dist, g, east * cos(radians(30::DOUBLE)) + north * sin(radians(30::DOUBLE)) AS along, north * cos(radians(30::DOUBLE)) - east * sin(radians(30::DOUBLE)) AS across FROM t),
+    k AS (SELECT *, CASE WHEN abs(across) <= abs(along) * tan(radians(22.5::DOUBLE)) THEN 0 WHEN abs(along) <= abs(across) * tan(radians(22.5::DOUBLE)) THEN 1 END AS axis FROM w)
+    SELECT axis, CAST(floor(dist / 2000) AS INTEGER) AS lag, round(avg(dist), 3) AS d, round(avg(g), 2) AS g, count(*) AS n FROM k WHERE axis IS NOT NULL GROUP BY ALL""")
+def directional_variogram(spark, sf_dir):
+    """Semivariances of sites by distance along an axis 30 degrees north of east, and across it."""
+    out = I.directional_bins(V.sites(spark, sf_dir), "site", "v", 40000, 30)
+    return out.select("axis", "lag", F.round("d", 3).alias("d"), F.round("g", 2).alias("g"), "n")
