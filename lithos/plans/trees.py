@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithos.operators import colours as C
 from lithos.operators import forest as R
 from lithos.operators import trees as G
 from lithos.plans.registry import query
 from lithos.plans.views import rounded, table
+from lithos.scratch import Scratch
 
 
 def _hash(*parts) -> str:
@@ -97,3 +99,42 @@ def leaf_errors(spark, sf_dir):
 def split_error(spark, sf_dir):
     """Sum of |residual| ** 1.5 about the means of both sides of a split of orders."""
     return rounded(R.split_error(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 500, 1.5), 0)
+
+
+COLOURS = [(0.0, 50.0), (0.0, 100.0), (900.0, 2000.0)]
+
+
+def coloured_sql(rows: str, trees: int, depth: int, seed: int) -> str:
+    """Blocks of WITH: w<depth> has every row of `rows` (id, x, cls) once a tree with its way, nodes the counts of prefixes."""
+    low, high = (f"[{', '.join(f'{b[k]!r}::DOUBLE' for b in COLOURS)}]" for k in (0, 1))
+    blocks = [f"w0 AS (SELECT id, x, cls, tree, '' AS way, {low} AS low, {high} AS high FROM ({rows}), range({trees}) t(tree))"]
+    for k in range(depth):
+        axis, place = (_uniform(seed, quote(x), "tree", "way") for x in ("axis", "place"))
+        step = f"SELECT *, low[a] + u * (high[a] - low[a]) AS cut FROM (SELECT *, CAST(floor({axis} * 3) AS INTEGER) + 1 AS a, {place} AS u FROM w{k})"
+        side = lambda c, take: f"list_transform({c}, lambda v, i: CASE WHEN i = a AND {take} THEN cut ELSE v END) AS {c}"
+        blocks.append(f"w{k + 1} AS (SELECT id, x, cls, tree, way || CASE WHEN x[a] >= cut THEN '1' ELSE '0' END AS way, {side('low', 'x[a] >= cut')}, {side('high', 'x[a] < cut')} FROM ({step}))")
+    blocks.append(f"nodes AS MATERIALIZED (SELECT tree, substr(way, 1, k) AS node, cls, count(*) AS n FROM w{depth}, range({depth + 1}) r(k) GROUP BY ALL)")
+    return ", ".join(blocks)
+
+
+COLOURED = coloured_sql("SELECT p_partkey AS id, [p_size::DOUBLE, (p_partkey % 100)::DOUBLE, p_retailprice::DOUBLE] AS x, p_brand AS cls FROM part", 3, 6, 11)
+
+
+def _coloured(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double"), F.col("p_retailprice").cast("double")).alias("x"), F.col("p_brand").alias("cls"))
+
+
+@query(f"WITH {COLOURED} SELECT CAST(tree AS INTEGER) AS tree, node, cls, n FROM nodes")
+def colour_counts(spark, sf_dir):
+    """Brands of parts by the nodes of random partitions of size, end of key and price."""
+    return C.counted(_coloured(spark, sf_dir), COLOURS, 3, 6, 11)
+
+
+@query(f"""WITH {COLOURED}, d AS (SELECT id, tree, way AS node FROM w6), s AS (SELECT tree, node, cls, n / sum(n) OVER (PARTITION BY tree, node) AS share FROM nodes),
+    v AS (SELECT id, cls, sum(share) / 3 AS share FROM d JOIN s USING (tree, node) GROUP BY ALL), b AS (SELECT id, max(share) AS best FROM v GROUP BY 1)
+    SELECT id, min(cls) AS cls, round(max(best), 9) AS share FROM v JOIN b USING (id) WHERE abs(share - best) < 1e-9 GROUP BY id""")
+def coloured_parts(spark, sf_dir):
+    """The brand that three partition trees give to each part."""
+    rows = _coloured(spark, sf_dir)
+    counts = Scratch(spark, "colours").save(C.counted(rows, COLOURS, 3, 6, 11))
+    return rounded(C.classified(rows.select("id", "x"), counts, COLOURS, 3, 6, 11), 9)
