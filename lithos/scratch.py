@@ -36,11 +36,11 @@ class Scratch:
         self.n = 0
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write `df` as Parquet and return a DataFrame that reads it back."""
+    def save(self, df: DataFrame, codec: str | None = None) -> DataFrame:
+        """Write `df` as Parquet, compressed with `codec` if one is named, and return a DataFrame that reads it back."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
