@@ -67,12 +67,14 @@ def nearest(v: Column, centres: list[float]) -> Column:
 
 
 def kmeans(df: DataFrame, ident: str, vector: str, k: int, rounds: int = 50) -> DataFrame:
-    """ident, cluster, distance: k-means of vectors of one length. Starts from rank modulo k by ident; stops when no centre
+    """ident, cluster, distance: k-means of vectors of one length. Starts from ident modulo k (a hash of it, if it is no whole
+    number); stops when no centre
     moves; an empty cluster keeps its centre. k centres come to the driver each round; the vectors never do."""
     from lithos.functions.geo import vector_distance
 
     rows = df.where(F.col(vector).isNotNull()).select(ident, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    start = rows.select("v", F.pmod(F.xxhash64(ident), F.lit(k)).cast("int").alias("c"))
+    number = F.col(ident) if dict(rows.dtypes)[ident] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(ident)
+    start = rows.select("v", F.pmod(number, F.lit(k)).cast("int").alias("c"))
     centres = means(start)
     for _ in range(rounds):
         new = centres | means(rows.select("v", closest(F.col("v"), centres).alias("c")))

@@ -231,7 +231,7 @@ def bounded_walks(spark, sf_dir):
     return drawn.select(F.posexplode("params").alias("axis", "value")).groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT count(*) AS n, (min((l_extendedprice, l_orderkey, l_quantity::DOUBLE, l_discount)))[1] AS misfit, (min((l_extendedprice, l_orderkey, l_quantity::DOUBLE, l_discount)))[2] AS t, (min((l_extendedprice, l_orderkey, l_quantity::DOUBLE, l_discount)))[3] AS a, (min((l_extendedprice, l_orderkey, l_quantity::DOUBLE, l_discount)))[4] AS b FROM lineitem")
 def stream_best_model(spark, sf_dir):
     """Best model of a log that is read as a stream of files."""
     import uuid
@@ -246,7 +246,7 @@ def stream_best_model(spark, sf_dir):
     model_lines(lines).write.text(folder)
     q = running_best(tail(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).select("n", "misfit", "t", F.get("params", F.lit(0)).alias("a"), F.get("params", F.lit(1)).alias("b"))
 
 
 @query("""SELECT user_id AS sid, count(*) AS packets, count(DISTINCT event_type) AS observers FROM events GROUP BY 1""")

@@ -97,7 +97,12 @@ def pct_volatility(spark, sf_dir):
     return rounded(T.pct_volatility(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS x, value AS y, row_number() OVER w - 1 AS i, lead(floor(epoch(ts))::DOUBLE) OVER w AS nx, lead(value) OVER w AS ny FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    m AS (SELECT user_id, i, x AS lx, y AS ly, TRUE AS kept FROM n WHERE i = 0
+        UNION ALL SELECT user_id, i, CASE WHEN kept THEN x ELSE lx END, CASE WHEN kept THEN y ELSE ly END, kept FROM (
+            SELECT n.user_id, n.i, x, y, lx, ly, nx IS NULL OR coalesce(abs((nx - lx) * (y - ly) - (ny - ly) * (x - lx)) / nullif(sqrt((nx - lx) * (nx - lx) + (ny - ly) * (ny - ly)), 0),
+                sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly))) > 25 AS kept FROM m JOIN n ON n.user_id = m.user_id AND n.i = m.i + 1))
+    SELECT user_id, count(*) AS kept FROM m WHERE kept GROUP BY 1""")
 def thinned_tracks(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "ts", T.second_of(F.col("ts")).cast("double").alias("x"), "value")
     return T.thinned(events, "user_id", "ts", "x", "value", 25.0).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))

@@ -245,15 +245,36 @@ def sorted_check(spark, sf_dir):
     return O.is_sorted(table(spark, sf_dir, "events"), ["ts", "event_id"], "value")
 
 
-@query()
+def _classes_sql(k: int, rounds: int) -> str:
+    blocks = [f"c0 AS (SELECT quantile_cont(v, [{', '.join(str((i + 0.5) / k) for i in range(k))}]) AS c FROM v)"]
+    near = f"len(list_filter(list_transform(range(1, {k}), lambda i: (c[i] + c[i + 1]) / 2), lambda m: m < v))"
+    for r in range(rounds):
+        blocks.append(f"c{r + 1} AS MATERIALIZED (SELECT list_sort(list(coalesce(m, old))) AS c FROM (SELECT i, c[i + 1] AS old FROM c{r}, range({k}) t(i)) LEFT JOIN (SELECT {near} AS a, avg(v) AS m FROM v, c{r} GROUP BY 1) ON a = i)")
+    return f"""WITH v AS (SELECT c_nationkey, avg(c_acctbal) AS v FROM customer GROUP BY 1), {", ".join(blocks)}
+        SELECT CAST({near} AS INTEGER) AS class, count(*) AS n, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(avg(v), 6) AS mean FROM v, c{rounds} GROUP BY 1"""
+
+
+@query(_classes_sql(4, 20))
 def classify_regions(spark, sf_dir):
     nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("v"))
-    return B.class_statistics(B.classify(nations, "v", 4, "kmeans"), "v").orderBy("class")
+    return rounded(B.class_statistics(B.classify(nations, "v", 4, "kmeans"), "v"))
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    blocks = [f"a0 AS (SELECT id, CAST(id % {k} AS INTEGER) AS c FROM v)"]
+    far = "sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - m[i]) * (v[i] - m[i]))))"
+    mean = "SELECT c, list(m ORDER BY i) AS m FROM (SELECT c, i, avg(x) AS m FROM (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS i FROM v JOIN a{r} USING (id)) GROUP BY c, i) GROUP BY c"
+    for r in range(rounds + 1):
+        old = f"UNION ALL SELECT c, m FROM m{r - 1} WHERE c NOT IN (SELECT c FROM a{r})" if r else ""
+        blocks.append(f"m{r} AS MATERIALIZED ({mean.format(r=r)} {old})")
+        blocks.append(f"a{r + 1} AS MATERIALIZED (SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT id, c, {far} AS d FROM v, m{r}) GROUP BY id)")
+    return f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL), {", ".join(blocks)}
+        SELECT c AS cluster, count(*) AS n, round(avg(d), 6) AS mean FROM a{rounds + 1} GROUP BY c"""
+
+
+@query(_kmeans_sql(10, 8))
 def kmeans(spark, sf_dir):
-    found = B.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    found = B.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, 8)
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("mean"))
 
 
