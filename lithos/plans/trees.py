@@ -56,11 +56,12 @@ def grown_tree(spark, sf_dir):
     return nodes.withColumn("mean", F.round("mean", 7))
 
 
-PARTS = "SELECT p_partkey AS id, [p_size::DOUBLE, (p_partkey % 100)::DOUBLE] AS x, p_retailprice::DOUBLE AS y FROM part"
+#: Sevenths of prices, because means of a few cents may end right where they are rounded.
+PARTS = "SELECT p_partkey AS id, [p_size::DOUBLE, (p_partkey % 100)::DOUBLE] AS x, p_retailprice::DOUBLE / 7 AS y FROM part"
 
 
 def _forest(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")).alias("x"), F.col("p_retailprice").alias("y"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")).alias("x"), (F.col("p_retailprice").cast("double") / 7).alias("y"))
     return G.out_of_bag(*G.grown(rows, 2, trees=30, tries=3, capacity=20, levels=3, seed=7))
 
 
