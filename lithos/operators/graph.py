@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.operators.grid import FOUR, PLACE
+from lithos.operators.trees import drawn
 from lithos.scratch import Scratch
 
 
@@ -170,9 +171,11 @@ def amalgamated(zones: DataFrame, edges: DataFrame, least: float, most_area: flo
         member = moved(into)
 
 
-def grown(candidates: DataFrame, start, steps: int, tries: int, value, forbidden: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """A network that grows by the best of `tries` seeded candidate links a step; links begin at a connected node. `value`
-    takes the edges so far and gives a number to make large. A step's links are few; the candidates stay distributed."""
+def grown(candidates: DataFrame, start, steps: int, tries: int, score, forbidden: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """A network that grows from `start` by the best of `tries` drawn candidate links (src, dst, ...) a step; links begin at a
+    connected node. `score` takes the networks of all tries of a step as one table, with `try`, and gives a number each (try,
+    score) to make large, so that a step is one aggregate; of equal ones the first drawn is taken. The network and a step's
+    tries are few rows; the candidates stay distributed. Links of `forbidden` (src, dst) are never taken."""
     scratch = Scratch(candidates.sparkSession, "growth")
     pool = candidates if forbidden is None else candidates.join(forbidden.select("src", "dst"), ["src", "dst"], "left_anti")
     pool = scratch.save(pool)
@@ -180,11 +183,16 @@ def grown(candidates: DataFrame, start, steps: int, tries: int, value, forbidden
     nodes = candidates.sparkSession.createDataFrame([(start,)], f"src {dict(candidates.dtypes)['src']}")
     for step in range(steps):
         connected = nodes.union(net.select("dst")).distinct()
-        drawn = pool.join(connected, "src", "left_semi").join(net.select("src", "dst"), ["src", "dst"], "left_anti").orderBy(F.xxhash64(F.lit(seed + step), "src", "dst")).limit(tries)
-        scored = [(value(net.union(one)), one) for one in ([candidates.sparkSession.createDataFrame([r], pool.schema) for r in drawn.collect()])]
-        if not scored:
+        near = pool.join(connected, "src", "left_semi").join(net.select("src", "dst"), ["src", "dst"], "left_anti")
+        order = [drawn(seed, step, F.col("src"), F.col("dst")), F.col("src"), F.col("dst")]
+        few = near.orderBy(*order).limit(tries)
+        tried = scratch.save(few.withColumn("try", F.row_number().over(Window.orderBy(*order)) - 1))
+        n = tried.count()
+        if not n:
             break
-        net = scratch.save(net.union(max(scored, key=lambda x: x[0])[1]))
+        networks = net.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).unionByName(tried)
+        best = score(networks).orderBy(F.desc("score"), "try").limit(1).select("try")
+        net = scratch.save(net.unionByName(tried.join(best, "try").drop("try")))
     return net
 
 

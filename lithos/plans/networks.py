@@ -173,3 +173,22 @@ def likely_walks(spark, sf_dir):
     placed = Scratch(spark, "walks").save(rows)
     found = TR.most_likely_walk(placed.withColumn("logp", TR.seen_near(F.col("y"), F.col("x"), WALK, 0.5)), WALK, 16)
     return rounded(placed.select("key", "t", "event_id").join(found, ["key", "t"]).select("event_id", "lati", "loni", "logp"))
+
+
+def _grown_sql(steps: int, tries: int, seed: int) -> str:
+    blocks = ["g0 AS (SELECT src, dst, w FROM edges WHERE FALSE)"]
+    for k in range(steps):
+        order = f"substr(md5(concat_ws(':', {seed}, {k}, src, dst)), 1, 12), src, dst"
+        blocks += [
+            f"o{k} AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (ORDER BY {order}) - 1 AS try FROM edges WHERE (src = 0 OR src IN (SELECT dst FROM g{k})) AND (src, dst) NOT IN (SELECT (src, dst) FROM g{k}) QUALIFY try < {tries})",
+            f"s{k} AS (SELECT try, 1000 * count(DISTINCT dst) - sum(w) AS score FROM (SELECT o.try, g.dst, g.w FROM g{k} g, o{k} o UNION ALL SELECT try, dst, w FROM o{k}) GROUP BY try)",
+            f"g{k + 1} AS MATERIALIZED (SELECT * FROM g{k} UNION ALL SELECT src, dst, w FROM o{k} WHERE try = (SELECT try FROM s{k} ORDER BY score DESC, try LIMIT 1))",
+        ]
+    return ", ".join(blocks)
+
+
+@query(f"WITH {EDGES}, {_grown_sql(8, 6, 9)} SELECT src, dst, w FROM g8")
+def grown_network(spark, sf_dir):
+    """Eight links from nation 0, each the best of six: new nations count much, links cost their weight."""
+    score = lambda nets: nets.groupBy("try").agg((1000 * F.count_distinct("dst") - F.sum("w")).alias("score"))
+    return N.grown(_edges(spark, sf_dir), 0, 8, 6, score, seed=9)
