@@ -109,8 +109,9 @@ def grown(rows: DataFrame, features: int, trees: int = 1, tries: int = 4, capaci
 def predict(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """id, tree, prediction of `rows` (id, x) by every tree: rows go down a level with each join."""
     scratch = Scratch(rows.sparkSession, "predict")
-    trees = nodes.select("tree").distinct()
-    state = rows.select("id", F.col("x").cast("array<double>").alias("x")).join(F.broadcast(trees)).withColumn("node", F.lit(1).cast("long"))
+    last = nodes.agg(F.max("tree")).first()[0]
+    trees = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    state = rows.select("id", F.col("x").cast("array<double>").alias("x"), F.explode(trees).alias("tree"), F.lit(1).cast("long").alias("node"))
     out = None
     while True:
         here = scratch.save(state.join(nodes, ["tree", "node"]))
