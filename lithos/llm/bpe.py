@@ -7,7 +7,8 @@ side with the same id and place; from there on both sides stand, because whether
 neighbouring tokens only. That holds for merges and not for the composition of characters, so a cut never falls where
 characters may compose or change places, or inside a special token: what stands around such a place is held back, as text,
 until both of its sides are there. Where the tokenizer always drops a character (a space or line end), the runs around it
-are independent and a leaf is one such run, with its ids kept in a bounded cache.
+are independent and a leaf is one such run, with its ids kept in a bounded cache. The texts of a batch are split into runs by
+Arrow, which numbers the distinct ones; only these are looked up, and numpy lays their ids out in the order of the texts.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import os
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ PIECE = 32_768
 LEAF, WINDOW = 512, 8
 #: Distinct runs in each of the two generations that a worker keeps, and the longest of them.
 CACHE, CACHED_CHARS = 200_000, 64
+#: Characters of the texts that are split into runs at once; a text alone may hold more.
+AT_ONCE = 1 << 21
 
 @lru_cache(None)
 def composers() -> frozenset:
@@ -74,14 +78,20 @@ class Codec:
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=lambda x: (-len(x), x)))) or r"(?!)")
         self.begins, self.ends, self.reach = {x[0] for x in self.special}, {x[-1] for x in self.special}, max(map(len, self.special), default=1) - 1
         #: The tokenizer of texts that are composed and lower-cased already; what looks like a special token there is none.
-        self.inner = Tokenizer.from_str(json.dumps(kinds | {"normalizer": None, "added_tokens": [], "padding": None, "truncation": None}))
-        #: Bytes of each token's spelling; the mark of a word's end is none of them.
-        self.width = {i: len(x.removesuffix("</w>")) for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.inner = Tokenizer(self.tokenizer.model)
+        self.inner.pre_tokenizer = self.tokenizer.pre_tokenizer
+        if self.tokenizer.post_processor:
+            self.inner.post_processor = self.tokenizer.post_processor
         self.tokenize = self.tokenizer.model.tokenize
         #: The parts of a run.
         self.split = regex.compile(kinds["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.runs_ids = Kept(self.run)
 
+    @cached_property
+    def width(self) -> dict[int, int]:
+        """Bytes of each token's spelling; the mark of a word's end is none of them."""
+        return {i: len(x.removesuffix("</w>")) for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+
     def normal(self, text: str) -> str:
         """A text without special tokens, composed and lower-cased. Characters of Latin-1 don't compose, and Python lower-cases
         them as the tokenizer does; a comma or stop that is a token of its own is set apart, so that fewer runs are distinct."""
@@ -98,18 +108,15 @@ class Codec:
                 text = "".join(chain.from_iterable(zip(parts, marks))) + parts[-1]
         return text
 
-    def pieces(self, text: str) -> list:
-        """The independent pieces of a text in order: normalised runs, and the ids of special tokens that it spells out."""
-        out, at = [], 0
-        if self.special and not self.begins.isdisjoint(text):
+    def stretches(self, text: str) -> tuple[list[str], list[int]]:
+        """The stretches of a text around the special tokens that it spells out, normalised, and the ids of these."""
+        out, marks, at = [], [], 0
+        if any(c in text for c in self.begins):
             for m in self.specials.finditer(text):
-                out += [*self.runs(text[at : m.start()]), self.special[m[0]]]
+                out.append(self.normal(text[at : m.start()]))
+                marks.append(self.special[m[0]])
                 at = m.end()
-        return out + self.runs(text[at:])
-
-    def runs(self, text: str) -> list[str]:
-        """What stands between the gaps of a text without special tokens, normalised."""
-        return self.normal(text).replace("\n", " ").split(" ")
+        return [*out, self.normal(text[at:])], marks
 
     def cuts(self, text: str) -> tuple[int, int]:
         """Where the first and the last place are at which `text`, cut from a longer one, may be cut again: characters on
@@ -176,29 +183,55 @@ class Codec:
         run = self.normal(text)
         return run, self.tree(run, 0, len(run))
 
-    def run(self, run) -> bytes:
-        """Packed ids of a run. One of printable Latin-1 is split into its parts here, and these go to the model as the vocabulary
-        spells them; the tokenizer itself takes all others."""
-        if run.__class__ is int:
-            return packed([run])
+    def run(self, run: str) -> bytes:
+        """Packed ids of a run. One of printable Latin-1 is split into its parts here, which are runs of their own; a part goes to
+        the model as the vocabulary spells it. The tokenizer itself takes all others."""
         if len(run) > LEAF:
             return packed(self.tree(run, 0, len(run))[:, 0])
         if run.isascii() and run.isalpha():
             return packed([t.id for t in self.tokenize(run)])
         if run.isprintable() and LATIN(run):
-            parts = [run] if run.isalpha() else self.split.findall(run)
-            return packed([t.id for p in parts for t in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))])
+            parts = [] if run.isalpha() else self.split.findall(run)
+            if len(parts) > 1:
+                return b"".join(map(self.runs_ids.__getitem__, parts))
+            return packed([t.id for t in self.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(BYTES))])
         return packed(self.inner.encode(run, add_special_tokens=False).ids)
 
+    def laid_out(self, stretches: list[str]) -> list[np.ndarray]:
+        """Ids of each of some normalised stretches, whose equal runs are looked up once."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(stretches, pa.large_string()), "\n", " "), " ")
+        runs = split.flatten().dictionary_encode()
+        found = list(map(self.runs_ids.__getitem__, runs.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        self.runs_ids.age()
+        ids, which = np.frombuffer(b"".join(found), dtype=np.int32), runs.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        each, begins = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = ids[np.repeat(begins - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, whole. Equal texts are encoded once."""
-        found = {}
-        for t in texts:
-            if t not in found:
-                found[t] = np.frombuffer(b"".join(map(self.runs_ids.__getitem__, self.pieces(t))), dtype=np.int32)
-                self.runs_ids.age()
+        found, waiting, chars = {}, {}, 0
+        for t in dict.fromkeys(texts):
+            waiting[t] = self.stretches(t)
+            chars += len(t)
+            if chars >= AT_ONCE:
+                found |= self.put_together(waiting)
+                waiting, chars = {}, 0
+        found |= self.put_together(waiting)
         return [found[t] for t in texts]
 
+    def put_together(self, waiting: dict) -> dict:
+        """Ids of each text from its stretches and the ids of the special tokens between them."""
+        some = iter(self.laid_out([s for stretches, _ in waiting.values() for s in stretches]))
+        out = {}
+        for t, (stretches, marks) in waiting.items():
+            x = next(some)
+            out[t] = np.concatenate([x, *chain.from_iterable((np.array([m], dtype=np.int32), next(some)) for m in marks)]) if marks else x
+        return out
+
 
 class Kept(dict):
     """What make(key) gives, for the keys asked for of late: when there are CACHE, the short ones become the older generation,
@@ -215,7 +248,7 @@ class Kept(dict):
 
     def age(self) -> None:
         if len(self) > CACHE:
-            self.old = {w: x for w, x in self.items() if w.__class__ is int or len(w) <= CACHED_CHARS}
+            self.old = {w: x for w, x in self.items() if len(w) <= CACHED_CHARS}
             self.clear()
 
 

@@ -76,3 +76,33 @@ def test_empty_and_clashing_columns(spark):
     row = B.bpe_encode(df, PATH).first()
     assert isinstance(row.ids, list) and row.key == 3
     assert B.bpe_encode(df.limit(0), PATH).collect() == []
+
+
+def test_batches(library, monkeypatch):
+    """Texts of a batch, also where it is dealt out by characters, with special tokens, equal texts and empty ones."""
+    monkeypatch.setattr(B, "LEAF", 64)
+    some = [*texts(5, 150), "", "<|endoftext|>", "a <|startoftext|><|endoftext|> b<|endoftext|>", " \n ", "a b", "Ab. Ü!?& 'stop it's 4²", "a b"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    for at_once in (1, 500, B.AT_ONCE):
+        monkeypatch.setattr(B, "AT_ONCE", at_once)
+        codec = B.Codec(B.read_spec(PATH))
+        assert [x.tolist() for x in codec.ids(some)] == want
+    assert codec.ids([]) == []
+
+
+def test_runs_of_a_batch_are_looked_up_once():
+    """Lookups grow with a batch's distinct runs, not with its words; parts of runs that were seen aren't encoded again."""
+    asked, encoded = [], []
+
+    class Counted(B.Kept):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    codec = B.Codec(B.read_spec(PATH))
+    codec.runs_ids, tokenize = Counted(codec.run), codec.tokenize
+    codec.tokenize = lambda part: encoded.append(part) or tokenize(part)
+    codec.ids([f"the words of the text {k}\nare the words" for k in range(500)])
+    assert [asked.count(w) for w in "the words of text are".split()] == [1] * 5
+    codec.ids(["the*** (words) the*** text's"])
+    assert encoded.count("the") == encoded.count("words") == encoded.count("text") == encoded.count("***") == 1
