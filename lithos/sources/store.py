@@ -125,15 +125,16 @@ class Store:
         return out
 
     def check(self) -> None:
-        """Raises ValueError unless membership ids are whole, from 0 and dense and no table repeats a region."""
+        """Raises ValueError unless membership ids are whole and each names one of the layer's categories, and no table repeats a
+        region. A region may have no cell of its own: it can be smaller than one, or covered by others."""
         from lithos.operators.joins import require_unique
 
         require_unique(self.tables, ["layer", "table", "region"])
         for row in self.layers().collect():
             _, cells = self.membership(row.layer)
-            bad = cells.where("value IS NOT NULL").agg(F.bool_or((F.col("value") < 0) | (F.col("value") != F.floor("value"))), F.max("value"), F.count_distinct("value")).first()
-            if bad[0] or bad[1] is not None and bad[1] + 1 != bad[2]:
-                raise ValueError(f"{row.layer}: region ids aren't dense")
+            bad = cells.where("value IS NOT NULL").agg(F.bool_or((F.col("value") < 0) | (F.col("value") != F.floor("value"))), F.max("value")).first()
+            if bad[0] or bad[1] is not None and bad[1] >= len(row.categories):
+                raise ValueError(f"{row.layer}: cells of regions without a name")
 
     def dump(self) -> DataFrame:
         """All tables and settings as lines."""

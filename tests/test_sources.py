@@ -123,3 +123,16 @@ def test_store(spark, tmp_path):
     assert store.request(s, "getValueForRegion tz people/income elsewhere").startswith("ERROR")
     at = s.values_at("tz", "people/income", spark.createDataFrame([(0.5, 1.5)], "lat double, lon double")).first()
     assert at.region == "south" and at.value_double == 6
+
+
+@pytest.mark.parametrize(("cells", "fits"), [([0.0, 2.0], True), ([2.0, 2.0], True), ([0.0, 3.0], False), ([0.5, 1.0], False), ([-1.0, 1.0], False)])
+def test_store_checks_ids_of_cells(spark, tmp_path, cells, fits):
+    """Regions without a cell are fine (the second has none here); cells of regions that have no name aren't."""
+    write(tmp_path / "gis" / "tz" / "membership.gis", raster.encode(Grid(0.0, 0.0, 1.0, 2.0, 1, 2), np.array([cells]), "CONTINUOUS", "tz", ["north", "middle", "south"]))
+    write(tmp_path / "gis" / "tz" / "income.tab", "north 5.5\n")
+    s = store.Store(spark, str(tmp_path))
+    if fits:
+        s.check()
+    else:
+        with pytest.raises(ValueError):
+            s.check()
