@@ -51,6 +51,18 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(LARGEST)).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b of doubles as processors and SQL engines divide: infinite by the signs of both where b is 0, NaN for 0 / 0."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """`x` times a power of ten, rounded half away from zero and divided again, as SQL engines round doubles. F.round() goes by
+    the shortest decimal instead: 66.77 / 32 prints as 2.0865625 but is less, and rounds to 2.086562."""
+    scale = float(10**digits)
+    return F.when(F.abs(x) < 1e300, F.round(x * scale) / scale).otherwise(x)
+
+
 def safe_log(x: Column) -> Column:
     """Logarithm of the absolute value; the least double where that is 0."""
     return F.when(x == 0, F.lit(LEAST)).otherwise(F.ln(F.abs(F.when(x == 0, F.lit(1.0)).otherwise(x))))

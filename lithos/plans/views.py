@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions.maths import round_scaled
 from lithos.operators.grid import Grid
 
 
@@ -82,4 +83,4 @@ def flows(spark, sf_dir) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
     """Doubles rounded, because engines add in another order; minus zero made zero."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes))
+    return df.select(*((round_scaled(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes))

@@ -78,3 +78,29 @@ def test_triangle_inequality(spark, points):
     (a, b, c) = [tuple(map(F.lit, p)) for p in points]
     ab, bc, ac = spark.range(1).select(geo.haversine(*a, *b), geo.haversine(*b, *c), geo.haversine(*a, *c)).first()
     assert ac <= ab + bc + 1e-3
+
+
+def test_rounding_and_division_as_sql_does(spark):
+    """Near halves, whose shortest decimals are halves, and zeros of either sign, held against DuckDB."""
+    import duckdb
+
+    from lithos.plans.views import rounded
+
+    pairs = [(66.77, 32.0), (33.38, 16.0), (-66.77, 32.0), (12.0, 0.0), (-12.0, 0.0), (0.0, 0.0), (12.0, -0.0), (None, 0.0), (1.0, None), (1e303, 1.0), (0.285, 1.0), (1.005, 1.0)]
+    pairs += [(k / 100, d) for k in range(1, 20000, 37) for d in (16.0, 32.0, 64.0, 3.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double").select("i", maths.ieee_divide(F.col("a"), F.col("b")).alias("x"))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t(i INTEGER, a DOUBLE, b DOUBLE)")
+    duck.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, *p) for i, p in enumerate(pairs)])
+    for digits in (2, 6):
+        expected = duck.execute(f"SELECT i, round(a / b, {digits}) FROM t ORDER BY i").fetchall()
+        assert [repr(tuple(r)) for r in rounded(df, digits).orderBy("i").collect()] == [repr(r) for r in expected]
+
+
+def test_earlier_close_of_zeros(spark):
+    from lithos.operators import timeseries as T
+
+    rows = [(1, 66.77), (2, 5.0), (3, 32.0), (4, 0.0), (5, 1.0), (6, 0.0), (7, 0.0), (8, 0.0)]
+    w = T.chain(None, ["t"])
+    told = spark.createDataFrame(rows, "t int, v double").select("t", T.earlier_close(F.col("v"), w, 2).alias("x")).orderBy("t").collect()
+    assert repr([r.x for r in told]) == repr([None, None, 66.77 / 32, float("inf"), 32.0, float("nan"), float("inf"), float("nan")])
