@@ -126,3 +126,13 @@ def test_pct_volatility_of_zeros(spark):
     rows, sql = zeros(spark)
     told = rounded(T.pct_volatility(rows, "k", "t", "v"))
     assert sorted(repr(tuple(r)) for r in told.collect()) == sql("SELECT k, round(stddev_samp(pct), 6) FROM d GROUP BY k")
+
+
+def test_volatility_of_zeros(spark):
+    from lithos.operators import timeseries as T
+    from lithos.plans.views import rounded
+
+    rows, sql = zeros(spark)
+    told = rounded(T.with_volatility(rows, "k", "t", "v", 3).select("k", "t", "mean_pct", "pct_vol"))
+    frame = "(PARTITION BY d.k ORDER BY d.t ROWS 2 PRECEDING)"
+    assert sorted(repr(tuple(r)) for r in told.collect()) == sql(f"SELECT k, t, round(avg(pct) OVER {frame}, 6), round(stddev_samp(pct) OVER {frame}, 6) FROM d")
