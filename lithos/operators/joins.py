@@ -197,12 +197,17 @@ def two_nearest_blend(points: DataFrame, sites: DataFrame, value: str, point_id:
 
 
 def inverse_distance(points: DataFrame, sites: DataFrame, value: str, point_id: str = "id") -> DataFrame:
-    """Values of all sites weighted by 1 / km^2; a site at the point itself takes no part."""
-    s = sites.select(F.col("lat").alias("__slat"), F.col("lon").alias("__slon"), F.col(value).alias("__v"))
-    p = points.select(point_id, "lat", "lon")
-    d = geo.haversine(F.col("lat"), F.col("lon"), F.col("__slat"), F.col("__slon")) / 1000
-    met = in_blocks(p, s).withColumn("__w", F.when(d > 0, 1 / (d * d)))
-    return met.groupBy(point_id).agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")), F.sum("__w")).alias("idw"))
+    """Values of all sites weighted by 1 / km^2; a site at the point itself takes no part. What a place is told is the same for
+    all of its points, and the sites of a place weigh as one with their sum: places are measured, not points and sites."""
+    s = sites.groupBy(F.col("lat").alias("__slat"), F.col("lon").alias("__slon")).agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
+    p = points.select(F.col(point_id).alias("__point"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    scratch = Scratch(points.sparkSession, "idw")
+    d = geo.haversine(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon")) / 1000
+    met = in_blocks(p.select("__lat", "__lon").distinct(), scratch.save(s)).withColumn("__w", F.when(d > 0, 1 / (d * d)))
+    sums = met.groupBy("__lat", "__lon").agg(F.sum(F.col("__v") * F.col("__w")).alias("__top"), F.sum(F.col("__n") * F.col("__w")).alias("__of"))
+    told = scratch.save(sums.withColumnsRenamed({"__lat": "__y", "__lon": "__x"}))
+    found = p.join(told, F.col("__lat").eqNullSafe(F.col("__y")) & F.col("__lon").eqNullSafe(F.col("__x")))
+    return found.groupBy(F.col("__point").alias(point_id)).agg(F.try_divide(F.sum("__top"), F.sum("__of")).alias("idw"))
 
 
 def pair_semivariance(sites: DataFrame, ident: str, value: str, metres: float) -> DataFrame:

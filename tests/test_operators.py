@@ -204,3 +204,29 @@ def test_kmeans(spark):
     df = values(spark, [0, 0.1, 0.2, 10, 10.1, 10.2])
     out, centres = B.kmeans_1d(df, "v", 2)
     assert [r.cluster for r in out.orderBy("v").collect()] == [0, 0, 0, 1, 1, 1] and centres == pytest.approx([0.1, 10.1])
+
+
+def town(spark, points: int = 600, sites: int = 300):
+    """Points and sites that share a few places, some of them with both; some values, and one place of each, are null."""
+    rng = random.Random(8)
+    places = [(-33.8 + i / 50, 151.0 + j / 40) for i in range(4) for j in range(4)]
+    p = [(i, *rng.choice(places[:12]), float(rng.randrange(100)) if i % 7 else None) for i in range(points)] + [(points, None, 151.0, 1.0)]
+    s = [(i, *rng.choice(places[4:]), rng.random() * 100 if i % 9 else None) for i in range(sites)] + [(sites, -33.8, None, 1.0)]
+    return p, s, spark.createDataFrame(p, "id int, lat double, lon double, value double"), spark.createDataFrame(s, "site int, lat double, lon double, v double")
+
+
+def metres(a, b):
+    u, v, w = math.radians(a[1]), math.radians(b[1]), math.radians(a[2] - b[2])
+    return 2 * 6372795 * math.asin(math.sqrt(min(1, math.sin((u - v) / 2) ** 2 + math.cos(u) * math.cos(v) * math.sin(w / 2) ** 2)))
+
+
+def test_idw_measures_places(spark, monkeypatch):
+    """Points and sites at a few places: the same sums as by pairs, from a pair for each two places."""
+    p, s, points, sites = town(spark)
+    seen, blocks = [], J.in_blocks
+    monkeypatch.setattr(J, "in_blocks", lambda a, b: seen.append((a.count(), b.count())) or blocks(a, b))
+    found = {r.id: r.idw for r in J.inverse_distance(points, sites, "v").collect()}
+    assert seen == [(13, 13)] and len(found) == len(p)
+    for x in p[:40]:
+        w = [(1 / (metres(x, y) / 1000) ** 2, y[3]) for y in s[:-1] if metres(x, y) > 0]
+        assert found[x[0]] == pytest.approx(sum(a * v for a, v in w if v is not None) / sum(a for a, _ in w), rel=1e-6)
