@@ -1,8 +1,9 @@
 """The most likely way of a walker through a grid, by products of step matrices.
 
-A state is a cell, one of eight orientations and a speed. A step's matrix holds the log probability of going from any state to
+A state is a cell, one of eight orientations and a speed. A task goes step by step through records of up to LONG steps, many of
+them side by side. Of longer ones a step's matrix holds the log probability of going from any state to
 any other and of what is observed there; in the algebra of maximum and sum the matrices of a row of steps have a product that
-says how likely the best way between any two states is. Steps are dealt into blocks of time; every block's product is made by
+says how likely the best way between any two states is. Their steps are dealt into blocks of time; every block's product is made by
 a task of its own, neighbouring products are joined pairwise up a tree, and the best end is handed down it: each pair of blocks
 learns the state in which they meet, and each block finds its own way between two known states. So one long record is the
 work of many tasks, in as many rounds as its number of blocks has bits.
@@ -27,6 +28,11 @@ DIRECTIONS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -
 
 START = -1
 BLOCK = 64
+#: Records of up to this many steps are one task's work: the layers of one take 19 MB with 144 states. Products of matrices
+#: take as many times the work of a pass as there are states, so only longer records are dealt into blocks.
+LONG = 16_384
+#: Rows of short records that a task goes through at once.
+SIDE_BY_SIDE = 20_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +91,10 @@ class Steps:
         self.walk, (self.src, self.dst, self.logp) = walk, walk.edges()
         self.reached, self.first = np.unique(self.dst, return_index=True)
         self.cells = walk.cell(np.arange(walk.states))
+        # the moves into each state, in order, filled up with some that can't be
+        nth = np.arange(len(self.dst)) - self.first[np.searchsorted(self.reached, self.dst)]
+        self.from_, self.by = (np.full((walk.states, nth.max() + 1), x) for x in (0, -np.inf))
+        self.from_[self.dst, nth], self.by[self.dst, nth] = self.src, self.logp
 
     def forward(self, ways: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """Log probabilities of each state (row) after one more step, at which the cells' log probabilities are `seen`; a column
@@ -93,6 +103,29 @@ class Steps:
         out[self.reached] = np.maximum.reduceat(ways[self.src] + self.logp[:, None], self.first, axis=0)
         return out + seen[self.cells][:, None]
 
+    def best(self, seen: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states of the best ways of records that stand one after another in `seen`, and each way's log probability. The
+        records go side by side, the longest first, so that those under way at a step are the first ones."""
+        order = np.argsort(-lengths, kind="stable")
+        begin, n = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        layers = [self.walk.start()[:, None] + seen[begin].T[self.cells]]
+        for t in range(1, n[0]):
+            some = np.searchsorted(-n, -t)
+            out = np.full((self.walk.states, some), -np.inf)
+            out[self.reached] = np.maximum.reduceat(layers[-1][:, :some][self.src] + self.logp[:, None], self.first, axis=0)
+            layers.append(out + seen[begin[:some] + t].T[self.cells])
+        path, total, now, going = np.empty(len(seen), dtype=np.int64), np.empty(len(n)), np.empty(len(n), dtype=np.int64), 0
+        for t in range(n[0] - 1, -1, -1):
+            layer = layers[t]
+            at = np.arange(going)
+            into = self.from_[now[:going]]
+            now[:going] = into[at, np.argmax(layer[into, at[:, None]] + self.by[now[:going]], axis=1)]
+            ends = slice(going, layer.shape[1])
+            now[ends], total[order[ends]] = np.argmax(layer[:, ends], axis=0), np.max(layer[:, ends], axis=0)
+            going = layer.shape[1]
+            path[begin[:going] + t] = now[:going]
+        return path, total
+
     def product(self, seen: np.ndarray, begins: bool) -> np.ndarray:
         """The matrix of a block of steps; one row, from the start, if the record begins with it."""
         if begins:
@@ -129,12 +162,60 @@ def packed(m: np.ndarray) -> bytes:
     return np.ascontiguousarray(m, dtype="<f8").tobytes()
 
 
-def most_likely_walk(seen: DataFrame, walk: Walk, block: int = BLOCK) -> DataFrame:
+def most_likely_walk(seen: DataFrame, walk: Walk, block: int = BLOCK, longest: int = LONG) -> DataFrame:
     """key, t, lati, loni, orientation, speed, logp of the most likely way of each walker through `seen` (key, t, logp): t are
     whole numbers from 0 without gaps, logp an array of the log probabilities of what is observed at t in each cell, row by row
-    from the south. logp is that of the whole way. Of equally likely ways any one is told."""
+    from the south. logp is that of the whole way. Of equally likely ways any one is told. Records of more than `longest` steps
+    are dealt into blocks of `block`."""
+    ship(seen.sparkSession)
+    seen = seen.select("key", "t", "logp")
+    beyond = seen.where(F.col("t") == longest).select(F.col("key").alias("__long"))
+    if beyond.isEmpty():
+        return _side_by_side(seen, walk)
+    beyond = Scratch(seen.sparkSession, "walk").save(beyond)
+    is_long = F.col("key").eqNullSafe(F.col("__long"))
+    return _side_by_side(seen.join(beyond, is_long, "left_anti"), walk).union(_by_blocks(seen.join(beyond, is_long, "left_semi"), walk, block))
+
+
+def _side_by_side(seen: DataFrame, walk: Walk) -> DataFrame:
+    """The ways of records that a task can hold: each task goes through its records some thousand rows at once."""
+
+    def told(table: pa.Table) -> pa.Table:
+        t = table.column("t").to_numpy()
+        begin = np.flatnonzero(t == 0)
+        lengths = np.diff(np.append(begin, len(t)))
+        flat = table.column("logp").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        path, total = steps_of(walk).best(flat, lengths)
+        cell = path // 16
+        columns = {"lati": cell // walk.columns, "loni": cell % walk.columns, "orientation": path // 2 % 8, "speed": path % 2}
+        return pa.table({"key": table.column("key"), "t": pa.array(t, pa.int64()), **{c: pa.array(v.astype(np.int32)) for c, v in columns.items()}, "logp": pa.array(np.repeat(total, lengths))})
+
+    def walk_all(batches):
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows < SIDE_BY_SIDE:
+                continue
+            # the last record may go on in the next batch
+            whole = int(np.flatnonzero(held.column("t").to_numpy() == 0)[-1])
+            if whole:
+                yield from told(held.slice(0, whole)).to_batches()
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from told(held).to_batches()
+
+    kind = dict(seen.dtypes)["key"]
+    rows = seen.select("key", F.col("t").cast("long").alias("t"), F.col("logp").cast("array<double>").alias("logp"))
+    return rows.repartition("key").sortWithinPartitions("key", "t").mapInArrow(walk_all, OUT.format(kind))
+
+
+OUT = "key {}, t long, lati int, loni int, orientation int, speed int, logp double"
+
+
+def _by_blocks(seen: DataFrame, walk: Walk, block: int) -> DataFrame:
+    """The ways of records of any length, by products of matrices."""
     spark = seen.sparkSession
-    ship(spark)
     scratch = Scratch(spark, "walk")
     states = walk.states
     kind = dict(seen.dtypes)["key"]
@@ -193,8 +274,7 @@ def most_likely_walk(seen: DataFrame, walk: Walk, block: int = BLOCK) -> DataFra
         pairs = below.withColumn("up", F.shiftright("block", 1))
         told = ends.groupBy("key", "block").cogroup(pairs.groupBy("key", "up")).applyInArrow(meet, f"key {kind}, block int, src int, dst int, total double")
         ends = scratch.save(told)
-    out = f"key {kind}, t long, lati int, loni int, orientation int, speed int, logp double"
-    return ends.groupBy("key", "block").cogroup(rows.groupBy("key", "block")).applyInArrow(find, out)
+    return ends.groupBy("key", "block").cogroup(rows.groupBy("key", "block")).applyInArrow(find, OUT.format(kind))
 
 
 def seen_near(lati: Column, loni: Column, walk: Walk, sd: float) -> Column:

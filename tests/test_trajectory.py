@@ -53,3 +53,33 @@ def test_moves():
 
 def test_empty(spark):
     assert most_likely_walk(spark.createDataFrame([], "key int, t long, logp array<double>"), Walk(2, 2)).collect() == []
+
+
+@pytest.mark.parametrize("block,longest", [(1, 3), (4, 0), (4, 4), (64, 20)])
+def test_short_and_long_records(spark, block, longest):
+    """Short records go side by side and long ones by blocks, with the same ways; one has no key, some begin in other batches."""
+    r, walk = random.Random(block), Walk(2, 3)
+    lengths = {**{f"k{i}": r.randrange(1, 9) for i in range(40)}, "long": 30, "edge": longest + 1, None: 6}
+    rows = [(key, t, [r.gauss(0, 3) for _ in range(6)]) for key, n in lengths.items() for t in range(n)]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = most_likely_walk(spark.createDataFrame(rows, "key string, t long, logp array<double>"), walk, block, longest).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(rows)
+    for key, n in lengths.items():
+        logp, path = by_hand([x for k, _, x in sorted(rows, key=lambda x: x[1]) if k == key], walk)
+        found = sorted((x for x in out if x.key == key), key=lambda x: x.t)
+        assert len(found) == n and all(x.logp == pytest.approx(logp) for x in found)
+        assert [(x.lati, x.loni) for x in found] == [divmod(s // 16, 3) for s in path]
+
+
+def test_short_records_need_no_matrices(spark, monkeypatch):
+    from lithos.operators import trajectory
+
+    monkeypatch.setattr(trajectory.Steps, "product", None)
+    monkeypatch.setattr(trajectory, "_by_blocks", None)
+    monkeypatch.setattr(trajectory, "SIDE_BY_SIDE", 50)
+    rows = [(k, t, [0.0, float(t % 3), 0.5, float(k % 2)]) for k in range(30) for t in range(70)]
+    assert most_likely_walk(spark.createDataFrame(rows, "key int, t long, logp array<double>"), Walk(2, 2)).count() == 2100
