@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lithos.operators import colours as C
@@ -54,3 +55,33 @@ def test_counts_add_up_and_empty(spark):
     assert both == {(x.tree, x.node, x.cls): x.n for x in C.counted(rows, BOUNDS, 2, 4, 1).collect()}
     none = C.counted(rows.limit(0), BOUNDS, 2, 4, 1)
     assert none.collect() == [] and C.classified(rows.selectExpr("cls AS id", "x"), none, BOUNDS, 2, 4, 1).collect() == []
+
+
+def test_missing_values_and_many_points_of_a_leaf(spark):
+    """Missing coordinates lead down and leave the box as it is, NaN leads up; nodes are made once."""
+    def odd_way(x, tree, depth, seed):
+        low, high, bits = [a for a, _ in BOUNDS], [b for _, b in BOUNDS], ""
+        for _ in range(depth):
+            axis = int(uniform(seed, "axis", tree, bits) * 3)
+            at = low[axis] + uniform(seed, "place", tree, bits) * (high[axis] - low[axis])
+            v = x[axis] if x is not None and axis < len(x) else None
+            above = v is not None and (v != v or v >= at)
+            if above:
+                low[axis] = at
+            elif v is not None:
+                high[axis] = at
+            bits += "1" if above else "0"
+        return bits
+
+    r = random.Random(3)
+    points = [[r.choice([None, float("nan"), r.uniform(0, 256)]) for _ in range(3)] for _ in range(60)] + [None, [7.0], []]
+    rows = spark.createDataFrame(list(enumerate(points)), "id int, x array<double>")
+    found = {(x.id, x.tree): x.way for x in C.ways(rows, BOUNDS, 3, 7, 5).collect()}
+    assert found == {(i, t): odd_way(x, t, 7, 5) for i, x in enumerate(points) for t in range(3)}
+
+    same = spark.range(5000).selectExpr("CAST(id AS INT) AS id", "array(10.0D, 20.0D, 30.0D + id % 2) AS x", "id % 3 AS cls")
+    counts = C.counted(same, BOUNDS, 2, 4, 1)
+    assert C.classified(same, counts, BOUNDS, 2, 4, 1).count() == 5000
+    tree = C.Tree(BOUNDS, 0, 1)
+    tree.ways(np.full((5000, 3), 10.0), np.zeros((5000, 3), dtype=bool), 6)
+    assert len(tree.bits) == 7  # a node a level, however many points
