@@ -189,6 +189,16 @@ def within(points: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
     return met.where(F.col("dist") <= metres).drop("__y", "__x", "__dy", "__dx")
 
 
+def totals_within(points: DataFrame, sites: DataFrame, metres: float, value: str, site_id: str = "site") -> DataFrame:
+    """site_id, n, total: how many points lie at most `metres` from each site that has any, and the sum of their values. Places
+    are held against places, however many points and sites share them."""
+    scratch = Scratch(points.sparkSession, "within")
+    p = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__total"))
+    near = within(p, sites.select("lat", "lon").distinct(), metres).groupBy("s_lat", "s_lon").agg(F.sum("__n").alias("__n"), F.sum("__total").alias("__total"))
+    told = scratch.save(near.withColumnsRenamed({"s_lat": "lat", "s_lon": "lon"}))
+    return sites.select(site_id, "lat", "lon").join(told, ["lat", "lon"]).groupBy(site_id).agg(F.sum("__n").alias("n"), F.sum("__total").alias("total"))
+
+
 def two_nearest_blend(points: DataFrame, sites: DataFrame, value: str, point_id: str = "id", site_id: str = "site") -> DataFrame:
     """Values of the two nearest sites weighted by 1 / distance; that of a site at the point itself."""
     near = nearest(points, sites, 2, point_id, site_id).join(sites.select(site_id, value), site_id)

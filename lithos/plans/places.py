@@ -60,8 +60,7 @@ def pairs_semivariance(spark, sf_dir):
 
 @query(f"WITH {POINTS}, {SITES} SELECT s.site, count(*) AS n, round(sum(p.value), 4) AS total FROM points p, sites s WHERE {distance('p', 's')} <= 15000 GROUP BY 1")
 def radius_sum(spark, sf_dir):
-    near = J.within(V.points(spark, sf_dir), V.sites(spark, sf_dir), 15000)
-    return rounded(near.groupBy(F.col("s_site").alias("site")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
+    return rounded(J.totals_within(V.points(spark, sf_dir), V.sites(spark, sf_dir), 15000, "value"), 4)
 
 
 @query(f"WITH {POINTS}, {SITES} SELECT id FROM points p WHERE EXISTS (SELECT 1 FROM sites s WHERE {distance('p', 's')} <= 4000)")

@@ -230,3 +230,15 @@ def test_idw_measures_places(spark, monkeypatch):
     for x in p[:40]:
         w = [(1 / (metres(x, y) / 1000) ** 2, y[3]) for y in s[:-1] if metres(x, y) > 0]
         assert found[x[0]] == pytest.approx(sum(a * v for a, v in w if v is not None) / sum(a for a, _ in w), rel=1e-6)
+
+
+def test_totals_within_measure_places(spark, monkeypatch):
+    p, s, points, sites = town(spark)
+    seen, pairs = [], J.within
+    monkeypatch.setattr(J, "within", lambda a, b, far: seen.append((a.count(), b.count())) or pairs(a, b, far))
+    found = {r.site: r for r in J.totals_within(points, sites, 3000, "value").collect()}
+    assert seen == [(13, 13)]
+    expected = {y[0]: [x[3] for x in p[:-1] if metres(x, y) <= 3000] for y in s[:-1]}
+    assert set(found) == {k for k, v in expected.items() if v}
+    for k, r in found.items():
+        assert r.n == len(expected[k]) and r.total == sum(v for v in expected[k] if v is not None)
