@@ -16,6 +16,8 @@ JOIN_FAILED = "***JOINFAILED***"
 SITES = 20_000
 #: Up to this many sites are one array that each point looks through.
 FEW_SITES = 64
+#: Of places that repeat this often or more, each is measured once for all that is there.
+REPEATS = 1.5
 #: Nine cells with more sites than this are dense: their points begin with finer cells, down to FINEST degrees. A finer
 #: round leaves a sixteenth of the sites to measure, of which a third lie within its reach, and costs a pass over the points.
 CROWD = 128
@@ -85,9 +87,9 @@ def nearest(
     those of its cell and the eight around it. It is done when its k-th distance can't be beaten from farther cells; what is
     left goes on with cells of four times the size, and at the end with all sites in blocks. Where nine cells hold more than
     `crowd` sites (CROWD, or 96 a neighbour asked for), the points in their middle begin with cells of a quarter of the size,
-    and so on, so that dense places cost no more than others. Of sites at one place, which no cell parts, only the k smallest
-    ids count. With `haversine` longitudes go round: sites near 180 degrees stand in the cells beyond it too, and points close
-    to a pole meet all sites.
+    and so on, so that dense places cost no more than others. Where points share places, each place is looked up once and its
+    points are told by a join; of sites at one place only the k smallest ids count. With `haversine` longitudes go round: sites
+    near 180 degrees stand in the cells beyond it too, and points close to a pole meet all sites.
     """
     globe = metric == "haversine"
     lon = F.col("lon").cast("double")
@@ -97,7 +99,7 @@ def nearest(
     left = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(point_id).alias("__point"), F.col("lat").cast("double").alias("__lat"), lon.alias("__lon"))
     measure = {"haversine": geo.haversine, "planar": geo.planar, "planar_squared": geo.planar_squared}[metric]
     dist = lambda slat, slon: measure(F.col("__lat"), F.col("__lon"), slat, slon)
-    facts = s.agg(F.count(F.lit(1)).alias("n"), F.min("__slon").alias("west"), F.max("__slon").alias("east")).first()
+    facts = s.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("__slat", "__slon")).alias("places"), F.min("__slon").alias("west"), F.max("__slon").alias("east")).first()
     crowd = max(CROWD, 96 * k) if crowd is None else crowd
     if facts.n <= few:
         every = s.agg(F.collect_list(F.struct("__site", "__slat", "__slon")).alias("__sites"))
@@ -106,6 +108,15 @@ def nearest(
         best = left.crossJoin(F.broadcast(every)).select("__point", F.posexplode(F.slice(F.array_sort(keyed), 1, k)).alias("pos", "of"))
         return best.select(F.col("__point").alias(point_id), F.col("of.site").alias(site_id), "of.dist", (F.col("pos") + 1).alias("rank"))
 
+    at_place = Window.partitionBy("__slat", "__slon").orderBy("__site")
+    firsts = lambda s: scratch.save(s.withColumn("__nth", F.row_number().over(at_place)).where(F.col("__nth") <= k).drop("__nth"))
+    every, left = left, _places(left, scratch)
+    if facts.n > REPEATS * facts.places:
+        s = firsts(s)
+        n_sites = s.count()
+    else:
+        n_sites = facts.n
+
     def placed(df, lat, lon):
         return df.withColumns({"__y": F.floor(F.col(lat) / cell), "__x": F.floor(F.col(lon) / cell)})
 
@@ -118,7 +129,7 @@ def nearest(
         return placed(both, "__slat", "__slon")
 
     crowded = {}
-    while facts.n > crowd and cell > FINEST:
+    while n_sites > crowd and cell > FINEST:
         counts = _around(placed_sites().groupBy("__y", "__x").agg(F.count(F.lit(1)).alias("n")))
         full = counts.groupBy("__y", "__x").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).select("__y", "__x")
         if full.isEmpty():
@@ -126,10 +137,9 @@ def nearest(
         crowded[cell] = scratch.save(full)
         cell /= 4
     if cell <= FINEST:
-        at_place = Window.partitionBy("__slat", "__slon").orderBy("__site")
-        s = scratch.save(s.withColumn("__nth", F.row_number().over(at_place)).where(F.col("__nth") <= k).drop("__nth"))
+        s = firsts(s)
     order = Window.partitionBy("__point").orderBy(F.round("dist", digits), "__site")
-    found = []
+    found, shared = [], left
     while True:
         last = cell > (100 if globe else 400)  # three cells must not go round the globe
         if last:
@@ -159,9 +169,20 @@ def nearest(
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
+    if shared is not every:
+        told = out.select("__point", "__site", "dist", "rank").join(shared, "__point").select(F.col("__lat").alias("__y"), F.col("__lon").alias("__x"), "__site", "dist", "rank")
+        out = every.join(scratch.save(told), (F.col("__lat") == F.col("__y")) & (F.col("__lon") == F.col("__x")))
     return out.select(F.col("__point").alias(point_id), F.col("__site").alias(site_id), "dist", "rank")
 
 
+def _places(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct places of points (__point, __lat, __lon), with numbers for __point; `points` itself where few places repeat."""
+    n, places = points.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("__lat", "__lon"))).first()
+    if n <= REPEATS * places:
+        return points
+    return scratch.save(points.select("__lat", "__lon").distinct().select(F.monotonically_increasing_id().alias("__point"), "__lat", "__lon"))
+
+
 def in_blocks(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Every point with every site, for sums over all sites: sites are broadcast up to SITES rows, else dealt into blocks
     that each point meets one by one, in tasks of their own. Sum by point; don't keep the pairs."""

@@ -242,3 +242,24 @@ def test_totals_within_measure_places(spark, monkeypatch):
     assert set(found) == {k for k, v in expected.items() if v}
     for k, r in found.items():
         assert r.n == len(expected[k]) and r.total == sum(v for v in expected[k] if v is not None)
+
+
+class Counting(J.Scratch):
+    """Tables that tell how many rows the largest of them had."""
+
+    most = 0
+
+    def save(self, df, codec=None):
+        out = super().save(df, codec)
+        Counting.most = max(Counting.most, out.count())
+        return out
+
+
+def test_nearest_looks_places_up_once(spark, monkeypatch):
+    """Points and sites at a few places: no table on the way holds a row for each point."""
+    p, s, points, sites = town(spark)
+    monkeypatch.setattr(J, "Scratch", Counting)
+    monkeypatch.setattr(Counting, "most", 0)
+    found = {(r.id, r["rank"]): r.site for r in J.nearest(points, sites, 5).collect()}
+    assert found == {(x[0], n + 1): j for x in p[:-1] for n, (_, j) in enumerate(sorted((round(metres(x, y), 3), y[0]) for y in s[:-1])[:5])}
+    assert Counting.most <= 60  # five for each of twelve places
