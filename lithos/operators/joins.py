@@ -221,10 +221,16 @@ def totals_within(points: DataFrame, sites: DataFrame, metres: float, value: str
 
 
 def two_nearest_blend(points: DataFrame, sites: DataFrame, value: str, point_id: str = "id", site_id: str = "site") -> DataFrame:
-    """Values of the two nearest sites weighted by 1 / distance; that of a site at the point itself."""
-    near = nearest(points, sites, 2, point_id, site_id).join(sites.select(site_id, value), site_id)
+    """Values of the two nearest sites weighted by 1 / distance; that of a site at the point itself. Points of one place get one
+    blend. Points without a place get none."""
+    scratch = Scratch(points.sparkSession, "blend")
+    at = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    places = scratch.save(at.select(F.monotonically_increasing_id().alias("__place"), "lat", "lon"))
+    near = nearest(places, sites, 2, "__place", site_id).join(sites.select(site_id, value), site_id)
     w = 1 / F.greatest(F.col("dist"), F.lit(1e-9))
-    return near.groupBy(point_id).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("blend"))
+    blend = near.groupBy("__place").agg((F.sum(F.col(value) * w) / F.sum(w)).alias("__blend"))
+    told = scratch.save(places.join(blend, "__place").select("lat", "lon", "__blend"))
+    return points.select(point_id, "lat", "lon").join(told, ["lat", "lon"]).select(point_id, F.col("__blend").alias("blend"))
 
 
 def inverse_distance(points: DataFrame, sites: DataFrame, value: str, point_id: str = "id") -> DataFrame:

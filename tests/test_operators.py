@@ -263,3 +263,17 @@ def test_nearest_looks_places_up_once(spark, monkeypatch):
     found = {(r.id, r["rank"]): r.site for r in J.nearest(points, sites, 5).collect()}
     assert found == {(x[0], n + 1): j for x in p[:-1] for n, (_, j) in enumerate(sorted((round(metres(x, y), 3), y[0]) for y in s[:-1])[:5])}
     assert Counting.most <= 60  # five for each of twelve places
+
+
+def test_two_nearest_blend_of_places(spark, monkeypatch):
+    """One blend a place; points without a place have none."""
+    p, s, points, sites = town(spark)
+    asked, near = [], J.nearest
+    monkeypatch.setattr(J, "nearest", lambda a, *more: asked.append(a.count()) or near(a, *more))
+    found = {r.id: r.blend for r in J.two_nearest_blend(points, sites, "v").collect()}
+    assert asked == [12] and set(found) == {x[0] for x in p[:-1]}
+    for x in p[:40]:
+        two = sorted((round(metres(x, y), 3), y[0], metres(x, y), y[3]) for y in s[:-1])[:2]
+        told = [(1 / max(d, 1e-9), v) for _, _, d, v in two]
+        top = [w * v for w, v in told if v is not None]
+        assert found[x[0]] == (pytest.approx(sum(top) / sum(w for w, _ in told), rel=1e-6) if top else None)
