@@ -60,7 +60,10 @@ def round_scaled(x: Column, digits: int) -> Column:
     """`x` times a power of ten, rounded half away from zero and divided again, as SQL engines round doubles. F.round() goes by
     the shortest decimal instead: 66.77 / 32 prints as 2.0865625 but is less, and rounds to 2.086562."""
     scale = float(10**digits)
-    return F.when(F.abs(x) < 1e300, F.round(x * scale) / scale).otherwise(x)
+    y = F.abs(x * scale)
+    whole = F.floor(y).cast("double")
+    away = F.when(y - whole >= 0.5, whole + 1).otherwise(whole)
+    return F.when(y < 2.0**52, F.signum(x) * away / scale).when(y < float("inf"), x * scale / scale).otherwise(x)
 
 
 def safe_log(x: Column) -> Column:

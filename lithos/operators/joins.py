@@ -16,6 +16,8 @@ JOIN_FAILED = "***JOINFAILED***"
 SITES = 20_000
 #: Up to this many sites are one array that each point looks through.
 FEW_SITES = 64
+#: Sites of one place whose pairs are unfolded together.
+TOGETHER = 200
 #: Of places that repeat this often or more, each is measured once for all that is there.
 REPEATS = 1.5
 #: Nine cells with more sites than this are dense: their points begin with finer cells, down to FINEST degrees. A finer
@@ -248,11 +250,22 @@ def inverse_distance(points: DataFrame, sites: DataFrame, value: str, point_id:
 
 
 def pair_semivariance(sites: DataFrame, ident: str, value: str, metres: float) -> DataFrame:
-    """a, b (a < b), distance and half the squared difference of the values of sites at most `metres` apart."""
-    near = within(sites.select(ident, "lat", "lon", value), sites.select(ident, "lat", "lon", value), metres)
-    near = near.where(F.col(ident) < F.col(f"s_{ident}"))
-    diff = F.col(value) - F.col(f"s_{value}")
-    return near.select(F.col(ident).alias("a"), F.col(f"s_{ident}").alias("b"), "dist", (diff * diff / 2).alias("semivariance"))
+    """a, b (a < b), distance and half the squared difference of the values of sites at most `metres` apart. Places are measured
+    once for all of their sites; what they give is unfolded from parts of TOGETHER sites, so that no task holds many."""
+    scratch = Scratch(sites.sparkSession, "pairs")
+    s = sites.where(F.col(ident).isNotNull()).select("lat", "lon", F.struct(F.col(ident).alias("id"), F.col(value).alias("v")).alias("__of"))
+    counts = scratch.save(s.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("__n")))
+    dealt = s.join(counts, ["lat", "lon"]).withColumn("__part", F.pmod(F.xxhash64("__of.id"), F.ceil(F.col("__n") / TOGETHER)))
+    parts = dealt.groupBy("lat", "lon", "__part").agg(F.collect_list("__of").alias("__of"))
+    parts = scratch.save(parts.withColumn("__k", F.monotonically_increasing_id()).drop("__part"))
+    # what a task unfolds grows with its parts times all sites around, so there are as many tasks as all sites ask for
+    n = counts.agg(F.sum("__n")).first()[0] or 0
+    near = within(parts.repartition(max(1, math.ceil(n / TOGETHER))), parts, metres).where("__k <= s___k")
+    unfolded = near.select("dist", (F.col("__k") == F.col("s___k")).alias("__same"), "s___of", F.explode("__of").alias("__a")).select("dist", "__same", "__a", F.explode("s___of").alias("__b"))
+    a, b = F.col("__a.id"), F.col("__b.id")
+    diff = F.col("__a.v") - F.col("__b.v")
+    pairs = unfolded.where((a < b) | (~F.col("__same") & (a > b)))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "dist", (diff * diff / 2).alias("semivariance"))
 
 
 def transect(points: DataFrame, a: tuple[float, float], b: tuple[float, float], tolerance: float) -> DataFrame:

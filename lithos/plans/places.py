@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithos.functions import geo
+from lithos.functions.maths import round_scaled
 from lithos.operators import interpolate as I
 from lithos.operators import joins as J
 from lithos.operators import stats as S
@@ -55,7 +56,7 @@ def idw(spark, sf_dir):
     WHERE {distance('a', 'b')} <= 20000""")
 def pairs_semivariance(spark, sf_dir):
     out = J.pair_semivariance(V.sites(spark, sf_dir), "site", "v", 20000)
-    return out.select("a", "b", F.round("dist", 3).alias("dist"), F.round("semivariance", 2).alias("semivariance"))
+    return out.select("a", "b", round_scaled(F.col("dist"), 3).alias("dist"), round_scaled(F.col("semivariance"), 2).alias("semivariance"))
 
 
 @query(f"WITH {POINTS}, {SITES} SELECT s.site, count(*) AS n, round(sum(p.value), 4) AS total FROM points p, sites s WHERE {distance('p', 's')} <= 15000 GROUP BY 1")

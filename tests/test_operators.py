@@ -277,3 +277,23 @@ def test_two_nearest_blend_of_places(spark, monkeypatch):
         told = [(1 / max(d, 1e-9), v) for _, _, d, v in two]
         top = [w * v for w, v in told if v is not None]
         assert found[x[0]] == (pytest.approx(sum(top) / sum(w for w, _ in told), rel=1e-6) if top else None)
+
+
+def test_semivariance_of_pairs_at_few_places(spark, monkeypatch):
+    """Every pair once, from one distance for each two places; parts of a place meet each other, equal ids and rows without an id
+    or a place make no pair."""
+    rng = random.Random(2)
+    _, s, _, _ = town(spark)
+    s = [*s, (7, *s[11][1:3], 5.0), (None, *s[3][1:3], 5.0)]
+    rng.shuffle(s)
+    sites = spark.createDataFrame(s, "site int, lat double, lon double, v double")
+    seen, pairs = [], J.within
+    monkeypatch.setattr(J, "TOGETHER", 10)
+    monkeypatch.setattr(J, "within", lambda a, b, far: seen.append((a.count(), a.rdd.getNumPartitions())) or pairs(a, b, far))
+    found = sorted((r.a, r.b, round(r.dist, 3), r.semivariance) for r in J.pair_semivariance(sites, "site", "v", 3000).collect())
+    assert seen[0][0] < 60 and seen[0][1] > 20  # three parts or so for each place, dealt to many tasks
+    ok = [x for x in s if None not in x[:3]]
+    expected = [(x[0], y[0], round(metres(x, y), 3), None if None in (x[3], y[3]) else (x[3] - y[3]) ** 2 / 2) for x in ok for y in ok if x[0] < y[0] and metres(x, y) <= 3000]
+    assert [f[:3] for f in found] == [e[:3] for e in sorted(expected, key=lambda e: e[:3])]
+    total = lambda rows: sum(r[3] for r in rows if r[3] is not None)
+    assert total(found) == pytest.approx(total(expected)) and sum(r[3] is None for r in found) == sum(r[3] is None for r in expected)
