@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.functions.maths import spherical_variogram
-from lithos.operators.joins import inverse_distance, nearest, pair_semivariance, part, two_nearest_blend
+from lithos.operators.joins import inverse_distance, nearest, pair_semivariance, part, placed_pairs, two_nearest_blend, within
 from lithos.operators.order import folds
+from lithos.scratch import Scratch
 
 
 def fit_variogram(sites: DataFrame, ident: str, value: str, metres: float, lags: int = 40, ranges: int = 20, sills: int = 41) -> tuple[float, float]:
@@ -40,16 +41,41 @@ def fitted(bins: DataFrame, metres: float, ranges: int, sills: int, sill: float
 def directional_bins(sites: DataFrame, ident: str, value: str, metres: float, degrees: float, lags: int = 20, spread: float = 22.5) -> DataFrame:
     """axis, lag, d, g, n: mean distance and semivariance of the pairs of sites up to `metres` apart whose way lies within
     `spread` degrees of an axis, in `lags` bins of distance. Axis 0 leads `degrees` from east to north, axis 1 across it."""
-    pairs = pair_semivariance(sites, ident, value, metres)
-    end = lambda k: sites.select(F.col(ident).alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    pairs = pair_sums(sites, ident, value, metres)
     north, east = F.col("lat_b") - F.col("lat_a"), (F.col("lon_b") - F.col("lon_a")) * F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
     turn = math.radians(degrees)
     along, across = east * math.cos(turn) + north * math.sin(turn), north * math.cos(turn) - east * math.sin(turn)
     narrow = math.tan(math.radians(spread))
     axis = F.when(F.abs(across) <= F.abs(along) * narrow, 0).when(F.abs(along) <= F.abs(across) * narrow, 1)
     lag = F.floor(F.col("dist") / (metres / lags)).cast("int")
-    return both.withColumn("axis", axis).where("axis IS NOT NULL").groupBy("axis", lag.alias("lag")).agg(F.avg("dist").alias("d"), F.avg("semivariance").alias("g"), F.count(F.lit(1)).alias("n"))
+    means = F.try_divide(F.sum(F.col("dist") * F.col("n")), F.sum("n")).alias("d"), F.try_divide(F.sum("g"), F.sum("known")).alias("g")
+    return pairs.withColumn("axis", axis).where("axis IS NOT NULL").groupBy("axis", lag.alias("lag")).agg(*means, F.sum("n").alias("n"))
+
+
+def pair_sums(sites: DataFrame, ident: str, value: str, metres: float) -> DataFrame:
+    """lat_a, lon_a, lat_b, lon_b, dist, n, known, g: for each two places at most `metres` apart how many pairs of sites with
+    different ids there are, how many of them have both values, and the sum of these pairs' semivariances.
+
+    Of a place's sites their number, mean and squared deviations say all that is asked, so no pair is made, unless an id stands
+    at more than one row, or a value is infinite: then each pair is a row with n = 1."""
+    ends = lambda k: (F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"))
+    odd = sites.groupBy(ident).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(value).cast("double"))).alias("most"))
+    if not odd.where((F.col(ident).isNotNull() & (F.col("n") > 1)) | (F.col("most") == float("inf"))).isEmpty():
+        pairs, n = placed_pairs(sites, ident, value, metres), F.lit(1).cast("long")
+        known = F.when(F.col("semivariance").isNotNull(), n).alias("known")
+        return pairs.select(*ends("a"), F.col("s_lat").alias("lat_b"), F.col("s_lon").alias("lon_b"), "dist", n.alias("n"), known, F.col("semivariance").alias("g"))
+    v = F.col(value).cast("double")
+    facts = F.count(F.lit(1)).alias("n"), F.count(v).alias("m"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("off")
+    places = sites.where(F.col(ident).isNotNull()).groupBy("lat", "lon").agg(*facts).withColumn("k", F.monotonically_increasing_id())
+    places = Scratch(sites.sparkSession, "places").save(places)
+    near = within(places, places, metres).where("k <= s_k")
+    same = F.col("k") == F.col("s_k")
+    apart = F.col("mean") - F.col("s_mean")
+    n = F.when(same, F.floor(F.col("n") * (F.col("n") - 1) / 2)).otherwise(F.col("n") * F.col("s_n"))
+    known = F.when(same, F.floor(F.col("m") * (F.col("m") - 1) / 2)).otherwise(F.col("m") * F.col("s_m"))
+    g = F.when(same, F.col("m") * F.col("off")).otherwise(F.col("s_m") * F.col("off") + F.col("m") * F.col("s_off") + F.col("m") * F.col("s_m") * apart * apart) / 2
+    told = near.select(*ends("a"), F.col("s_lat").alias("lat_b"), F.col("s_lon").alias("lon_b"), "dist", n.alias("n"), known.alias("known"), g.alias("g"))
+    return told.where("n > 0")
 
 
 def fit_anisotropic(sites: DataFrame, ident: str, value: str, metres: float, degrees: float, lags: int = 20, ranges: int = 20, sills: int = 41) -> tuple[float, float, float]:

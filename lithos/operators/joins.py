@@ -250,8 +250,13 @@ def inverse_distance(points: DataFrame, sites: DataFrame, value: str, point_id:
 
 
 def pair_semivariance(sites: DataFrame, ident: str, value: str, metres: float) -> DataFrame:
-    """a, b (a < b), distance and half the squared difference of the values of sites at most `metres` apart. Places are measured
-    once for all of their sites; what they give is unfolded from parts of TOGETHER sites, so that no task holds many."""
+    """a, b (a < b), distance and half the squared difference of the values of sites at most `metres` apart."""
+    return placed_pairs(sites, ident, value, metres).select("a", "b", "dist", "semivariance")
+
+
+def placed_pairs(sites: DataFrame, ident: str, value: str, metres: float) -> DataFrame:
+    """pair_semivariance() with the places of each pair, in either order: lat, lon, s_lat, s_lon. Places are measured once for all
+    of their sites; what they give is unfolded from parts of TOGETHER sites, so that no task holds many."""
     scratch = Scratch(sites.sparkSession, "pairs")
     s = sites.where(F.col(ident).isNotNull()).select("lat", "lon", F.struct(F.col(ident).alias("id"), F.col(value).alias("v")).alias("__of"))
     counts = scratch.save(s.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("__n")))
@@ -261,11 +266,12 @@ def pair_semivariance(sites: DataFrame, ident: str, value: str, metres: float) -
     # what a task unfolds grows with its parts times all sites around, so there are as many tasks as all sites ask for
     n = counts.agg(F.sum("__n")).first()[0] or 0
     near = within(parts.repartition(max(1, math.ceil(n / TOGETHER))), parts, metres).where("__k <= s___k")
-    unfolded = near.select("dist", (F.col("__k") == F.col("s___k")).alias("__same"), "s___of", F.explode("__of").alias("__a")).select("dist", "__same", "__a", F.explode("s___of").alias("__b"))
+    kept = "lat", "lon", "s_lat", "s_lon", "dist"
+    unfolded = near.select(*kept, (F.col("__k") == F.col("s___k")).alias("__same"), "s___of", F.explode("__of").alias("__a")).select(*kept, "__same", "__a", F.explode("s___of").alias("__b"))
     a, b = F.col("__a.id"), F.col("__b.id")
     diff = F.col("__a.v") - F.col("__b.v")
     pairs = unfolded.where((a < b) | (~F.col("__same") & (a > b)))
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "dist", (diff * diff / 2).alias("semivariance"))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *kept, (diff * diff / 2).alias("semivariance"))
 
 
 def transect(points: DataFrame, a: tuple[float, float], b: tuple[float, float], tolerance: float) -> DataFrame:
