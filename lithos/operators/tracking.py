@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from lithos.functions import geo
 from lithos.functions.maths import gaussian_log_pdf, path_loss
 from lithos.operators.grid import PLACE, Grid
+from lithos.operators.joins import part
 from lithos.operators.stats import shares
 from lithos.scratch import Scratch
 
 KEY = ["sid", "t"]
+#: Up to this many observers, what each cell expects of them rides with every task.
+FEW_OBSERVERS = 256
 
 
 def normalised(pmf: DataFrame) -> DataFrame:
@@ -21,16 +24,35 @@ def normalised(pmf: DataFrame) -> DataFrame:
 
 def signal_grid(observations: DataFrame, observers: DataFrame, grid: Grid, at_one: float = -30.0, exponent: float = 2.0, sd: float = 6.0) -> DataFrame:
     """sid, t, lati, loni, p: for each source and second the product over its observations (rid, sid, t, dbm) of the normal
-    density of what the path from each cell to the observer (rid, lat, lon, z) would leave, normalised."""
+    density of what the path from each cell to the observer (rid, lat, lon, z) would leave, normalised.
+
+    Up to FEW_OBSERVERS observers a source's second is one row with an array of its cells until it is done; with more of them, or
+    if one stands twice, each cell is a row."""
     cells = grid.cells(observations.sparkSession).select(*PLACE, grid.lat(F.col("lati")).alias("clat"), grid.lon(F.col("loni")).alias("clon"))
     # the map of expected signals has one row for each observer and cell and doesn't grow with the observations
     flat = geo.haversine(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon"))
     maps = observers.join(F.broadcast(cells)).select("rid", *PLACE, path_loss(geo.distance_3d(flat, F.col("z")), at_one, exponent).alias("expected"))
     seen = observations.groupBy(*KEY, "rid").agg(F.avg("dbm").alias("dbm"), F.count(F.lit(1)).alias("n"))
-    logp = F.col("n") * gaussian_log_pdf(F.col("dbm"), F.col("expected"), sd)
-    joint = seen.join(maps, "rid").groupBy(*KEY, *PLACE).agg(F.sum(logp).alias("logp"))
-    top = joint.groupBy(*KEY).agg(F.max("logp").alias("top"))
-    return normalised(joint.join(top, KEY).select(*KEY, *PLACE, F.exp(F.col("logp") - F.col("top")).alias("p")))
+    some, distinct = observers.agg(F.count("rid"), F.count_distinct("rid")).first()
+    if some > FEW_OBSERVERS or some != distinct:
+        logp = F.col("n") * gaussian_log_pdf(F.col("dbm"), F.col("expected"), sd)
+        joint = seen.join(maps, "rid").groupBy(*KEY, *PLACE).agg(F.sum(logp).alias("logp"))
+        top = joint.groupBy(*KEY).agg(F.max("logp").alias("top"))
+        return normalised(joint.join(top, KEY).select(*KEY, *PLACE, F.exp(F.col("logp") - F.col("top")).alias("p")))
+    known = maps.where(F.col("rid").isNotNull()).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(*PLACE, "expected"))).alias("cells"))
+    every = known.agg(F.map_from_entries(F.collect_list(F.struct("rid", part("cells", "expected")))).alias("maps"))
+    heard = seen.join(F.broadcast(observers.select("rid")), "rid", "left_semi")
+    each = heard.groupBy(*KEY).agg(F.collect_list(F.struct("rid", "dbm", "n")).alias("heard"), F.count("dbm").alias("told"))
+    add = lambda sums, o: F.zip_with(sums, F.element_at("maps", o["rid"]), lambda x, e: x + F.coalesce(o["n"] * gaussian_log_pdf(o["dbm"], e, sd), F.lit(0.0)))
+    none = F.array_repeat(F.when(F.col("told") > 0, F.lit(0.0)), grid.latsteps * grid.lonsteps)
+    # arrays of one element name what is used more than once, so that no cell computes it again
+    logp = F.transform(F.array(F.aggregate("heard", none, add)), lambda x: F.struct(x.alias("v"), F.array_max(x).alias("top")))
+    mass = F.transform(logp, lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    summed = F.transform(mass, lambda m: F.struct(m.alias("v"), F.aggregate(m, F.lit(0.0), lambda a, x: a + x).alias("of")))
+    share = F.transform(summed, lambda s: F.transform(s["v"], lambda x: x / s["of"]))
+    rows = each.crossJoin(F.broadcast(every)).select(*KEY, F.posexplode(F.get(share, F.lit(0))).alias("k", "p"))
+    k = F.col("k")
+    return rows.select(*KEY, F.floor(k / grid.lonsteps).cast("int").alias("lati"), (k % grid.lonsteps).cast("int").alias("loni"), "p")
 
 
 def seen_by(observations: DataFrame, around: int = 1) -> DataFrame:
